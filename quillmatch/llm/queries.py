@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.llm import jaccard, quality
+from quillmatch.llm import decontaminate, jaccard, packing, quality, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op3_quality": quality.op3_quality,
+        "op4_token_orc": tokens.op4_token_orc,
+        "op6_packing": packing.op6_packing,
         "op8_jaccard": jaccard.op8_jaccard,
+        "op9_substrings": substrings.op9_substrings,
     }
 
 
