@@ -6,23 +6,24 @@ A line of ``MIN_CHARS`` code points or more is removed if an earlier line, in th
 the connected components of lines within ``EDITS`` insertions, deletions or
 substitutions of each other. Shorter lines and lines without text always stay.
 
-1. Lines are grouped by a 128-bit digest, after counting within tasks, so a line that a
-   third of all documents hold is one row a task.
+1. Lines are grouped by a 128-bit digest after repeats in a batch of a task were dropped,
+   so a line that a third of all documents hold is one row a batch.
 2. A distinct line of length n is cut into EDITS + 1 segments; of two lines within EDITS
    edits one segment of the shorter stands unchanged in the longer, near its place. Every
    line therefore enters the cells (length, segment number, segment) of its own segments,
    and probes the cells of lengths n - EDITS to n with those substrings that the
-   multi-match-aware window of Pass-Join allows. Cells without a pair are dropped by
-   counts before any text moves.
+   multi-match-aware window of Pass-Join allows. Cells are 16 bytes a line; those without
+   a pair go before any text moves.
 3. In a cell, pairs whose character counts differ too much are excluded by a matrix of
-   counts, and the rest is verified with Myers' bit-parallel edit distance on the band of
+   counts, and the rest is verified with a bit-parallel edit distance on the band of
    cells within EDITS of the diagonal. A line that was reached is not compared again; cells
    emit trees, never all pairs. A cell beyond ``BLOCK`` lines is cut into blocks, one task
    for each pair of blocks.
 
-Null texts stay null and have no lines. Repeated rows are in the order of their text and
-then equal: the first keeps its lines. Null ids come first. Empty tables give empty
-results. Other columns of the input are kept as they are.
+Null texts stay null and have no lines. Null ids come first. Rows of one id share line
+numbers: a line stays if the line at its place in any row of that id is the first of its
+class, so repeated rows stay equal to each other. Empty tables give empty results. Other
+columns of the input are kept as they are.
 """
 
 from __future__ import annotations
@@ -32,12 +33,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.llm.shared import bounds, components, sorted_runs, stored, table
 
 EDITS, MIN_CHARS, BLOCK = 2, 40, 2048
+#: Rows of ids that may be broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 TRIM = " \t\r"
 
 
@@ -70,7 +74,11 @@ def probes(n: int, edits: int) -> list[tuple[int, int, int, int]]:
 
 
 def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance is at most ``edits``: Myers' bit vectors, of which only the 2 * edits + 1 rows about the diagonal are kept, after the common ends are cut off."""
+    """Whether the edit distance is at most ``edits``.
+
+    After the common ends are cut off, one bit vector for each number of edits holds
+    the diagonals (2 * edits + 1 of them, the band) that are reached with so many.
+    """
     if abs(len(a) - len(b)) > edits:
         return False
     lo, hi = 0, min(len(a), len(b))
@@ -80,75 +88,229 @@ def within(a: str, b: str, edits: int) -> bool:
     while tail < hi - lo and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     a, b = a[lo : len(a) - tail], b[lo : len(b) - tail]
-    if not a or not b:
-        return len(a) + len(b) <= edits
-    # Hyyrö's banded form: bit r of a column j stands for row j - edits + r.
-    width = 2 * edits + 1
-    top, mask = 1 << (width - 1), (1 << width) - 1
-    where: dict[str, int] = {}
-    for j, ch in enumerate(a[:edits]):
-        where[ch] = where.get(ch, 0) | 1 << (j + edits + 1)
-    seen: dict[str, int] = dict.fromkeys(where, 0)
-    plus, minus, score = mask << edits & mask, 0, edits
-    last = len(a) - 1
+    n = len(a)
+    if not n or not b:
+        return n + len(b) <= edits
+    # Bit r: diagonal r - edits, that is, j + r - edits characters of a against j of b.
+    valid = [sum(1 << r for r in range(2 * edits + 1) if 0 <= j + r - edits <= n) for j in range(len(b) + 1)]
+    reached, sofar = [], 0
+    for e in range(edits + 1):
+        sofar = (sofar | sofar << 1 | 1 << edits) & valid[0]
+        reached.append(sofar)
     for j, ch in enumerate(b):
-        # Where ch stands in the rows j - edits .. j + edits of a.
         hits = 0
-        for r in range(max(j - edits, 0), min(j + edits, last) + 1):
-            if a[r] == ch:
-                hits |= 1 << (r - j + edits)
-        zero = ((((hits & plus) + plus) ^ plus) | hits | minus) & mask
-        hp = (minus | ~(zero | plus)) & mask
-        hm = zero & plus
-        if j < len(a) - edits:
-            score += not zero & top
-        else:
-            shift = width - 2 - (j - (len(a) - edits))
-            if shift >= 0:
-                bit = 1 << shift
-                score += (hp & bit > 0) - (hm & bit > 0)
-        moved = zero >> 1
-        plus = (hm | ~(moved | hp)) & mask
-        minus = moved & hp
-        if score > 2 * edits + 1:
+        for r in range(2 * edits + 1):
+            if 0 <= j + r - edits < n and a[j + r - edits] == ch:
+                hits |= 1 << r
+        new = [reached[0] & hits & valid[j + 1]]
+        for e in range(1, edits + 1):
+            less = reached[e - 1]
+            new.append((reached[e] & hits | less | less >> 1 | new[e - 1] << 1) & valid[j + 1])
+        reached = new
+        if not reached[edits]:
             return False
-    return score <= edits
+    end = n - len(b) + edits
+    return bool(0 <= end <= 2 * edits and reached[edits] >> end & 1)
+
+
+def digest(line: str) -> tuple[int, int]:
+    """128 bits of a line, as two longs."""
+    raw = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def long_lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
+    """(number, trimmed line) of the lines of at least so many code points."""
+    for at, line in enumerate(text.split("\n") if text is not None else ()):
+        line = line.strip(TRIM)
+        if len(line) >= least:
+            yield at, line
+
+
+def _first_lines(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text) to the first occurrence in a batch of each long line: (h1, h2, doc_id, at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first: dict[tuple[int, int], tuple] = {}
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for at, line in long_lines(text.as_py(), least):
+                    name, key = digest(line), (doc is not None, doc or 0, at)
+                    if name not in first or key < first[name]:
+                        first[name] = key
+            docs = [v[1] if v[0] else None for v in first.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in first], pa.int64()), pa.array([k[1] for k in first], pa.int64()), pa.array(docs, pa.int64()), pa.array([v[2] for v in first.values()], pa.int32())],
+                ["h1", "h2", "doc_id", "at"],
+            )
 
+    return run
 
-def _row(line: str, start: str) -> bool:
-    return True
 
+def _cells(least: int, edits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text) to (cell, lid) of each long line, once a batch; the lowest bit of lid is 1 where the cell is of a segment of its own."""
 
-def split_lines(text: str | None) -> list[str]:
-    return text.split("\n") if text is not None else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                seen: set[tuple[int, int]] = set()
+                cells: list[int] = []
+                lids: list[int] = []
+                for text in batch.slice(k, 2000).column("text"):
+                    for _, line in long_lines(text.as_py(), least):
+                        name = digest(line)
+                        if name in seen:
+                            continue
+                        seen.add(name)
+                        lid, n = name[0] & -2, len(line)
+                        for shorter, number, a, b in probes(n, edits):
+                            cells.append(hashed(line[a:b], shorter * 64 + number))
+                        plan = len(probes(n, edits))
+                        lids += [lid | 1] * (edits + 1) + [lid] * (plan - edits - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(cells, np.uint64).view(np.int64)), pa.array(lids, pa.int64())], ["cell", "lid"])
+
+    return run
 
 
-def digest(line: str) -> bytes:
-    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell, those of cells with two lines of which one has the segment as its own: (cell, lid, n)."""
+    for run in sorted_runs(batches, "cell"):
+        cell, lid = run["cell"].to_numpy(), run["lid"].to_numpy()
+        order = np.lexsort((lid, cell))
+        cell, lid = cell[order], lid[order]
+        new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (lid[1:] >> 1 != lid[:-1] >> 1)))
+        at = bounds(cell)
+        group = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        n = np.bincount(group, new).astype(np.int64)
+        own = np.bincount(group, lid & 1)
+        keep = np.flatnonzero(((n > 1) & (own > 0))[group] & new)
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(lid[keep] & -2), pa.array(n[group[keep]])], ["cell", "lid", "n"])
 
 
-def _lines(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc_id, text) to the first occurrence of each long line in a batch: (line, doc_id, row, at, n)."""
+def _texts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (text, wanted) to the lines whose first long is wanted: (lid, line, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                first: dict[bytes, tuple] = {}
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    row = None
-                    for at, line in enumerate(split_lines(text)):
-                        line = line.strip(TRIM)
-                        if len(line) >= min_chars:
-                            row = row or digest(text)
-                            name = digest(line)
-                            key = (doc is not None, doc or 0, row, at)
-                            if name not in first or key < first[name][0]:
-                                first[name] = (key, doc, row, at)
-                values = list(first.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(first), pa.binary()), pa.array([v[1] for v in values], pa.int64()), pa.array([v[2] for v in values], pa.binary()), pa.array([v[3] for v in values], pa.int32())],
-                    ["line", "doc_id", "row", "at"],
-                )
+            out: dict[bytes, tuple[int, str]] = {}
+            for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+                wanted = set(wanted)
+                for _, line in long_lines(text.as_py(), least):
+                    h1, h2 = digest(line)
+                    if h1 in wanted:
+                        out[name_of(h1, h2)] = (h1 & -2, line)
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in out.values()], pa.int64()), pa.array(list(out), pa.binary()), pa.array([v[1] for v in out.values()], pa.string())], ["lid", "line", "text"])
 
     return run
+
+
+def name_of(h1: int, h2: int) -> bytes:
+    return h1.to_bytes(8, "big", signed=True) + h2.to_bytes(8, "big", signed=True)
+
+
+def tree(lines: list[str], edits: int) -> list[tuple[int, int]]:
+    """Edges of trees over what is connected by at most ``edits`` edits; each line that was reached is compared with those that were not."""
+    counts = np.zeros((len(lines), 64), np.int16)
+    for k, line in enumerate(lines):
+        counts[k] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") % 64, minlength=64)
+    free = np.ones(len(lines), bool)
+    edges = []
+    for seed in range(len(lines)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        queue = [seed]
+        while queue:
+            i = queue.pop()
+            rest = np.flatnonzero(free)
+            if not len(rest):
+                return edges
+            # An edit changes at most two counts by one.
+            for j in rest[np.abs(counts[rest] - counts[i]).sum(1) <= 2 * edits].tolist():
+                if within(lines[i], lines[j], edits):
+                    free[j] = False
+                    edges.append((i, j))
+                    queue.append(j)
+    return edges
+
+
+def _trees(edits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_runs(batches, "g"):
+            at = bounds(group["g"].to_numpy())
+            names, texts = group["line"].to_pylist(), group["text"].to_pylist()
+            a, b = [], []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                own = dict(zip(names[lo:hi], texts[lo:hi], strict=True))
+                keys = list(own)
+                for i, j in tree(list(own.values()), edits):
+                    a.append(keys[i])
+                    b.append(keys[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _kept(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with text and kept (numbers of the long lines that stay) to rows with the new text, and the numbers of lines before and removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, before, gone = [], [], []
+            for text, kept in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True):
+                lines = text.split("\n") if text is not None else []
+                stay = set(kept or ())
+                out = [x for at, x in enumerate(lines) if at in stay or len(x.strip(TRIM)) < least]
+                texts.append(None if text is None else "\n".join(out))
+                before.append(len(lines))
+                gone.append(len(lines) - len(out))
+            names = [n for n in batch.schema.names if n != "kept"]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*names, "_n_lines", "_n_removed"])
+
+    return run
+
+
+def edit_classes(docs: DataFrame, first: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """(node, root) of the long lines that are within ``edits`` of another one, by their 16-byte names; ``first``: (h1, h2, doc_id, at) of every distinct line."""
+    active = stored(docs.mapInArrow(_cells(least, edits), "cell long, lid long").repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs, "cell long, lid long, n long"))
+    lids = stored(active.select("lid").distinct())
+    where = first.withColumn("lid", F.col("h1").bitwiseAND(F.lit(-2))).join(lids, "lid").groupBy("doc_id").agg(F.collect_set("h1").alias("wanted"))
+    where = stored(where.withColumnRenamed("doc_id", "_id"))
+    if where.count() <= BROADCAST_ROWS and lids.count() <= BROADCAST_ROWS:
+        where = F.broadcast(where)
+    texts = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "wanted").mapInArrow(_texts(least), "lid long, line binary, text string")
+    texts = texts.groupBy("line").agg(F.first("lid").alias("lid"), F.first("text").alias("text"))
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    own = F.pmod(F.xxhash64("lid"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("cell", F.least(own, j), F.greatest(own, j)))
+    rows = active.select("lid", F.explode(F.when(blocks <= 1, F.array(F.col("cell"))).otherwise(pairs)).alias("g")).join(texts, "lid")
+    return components(rows.select("g", "line", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_trees(edits), "a binary, b binary"))
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with text without the lines that repeat an earlier one, and the columns _n_lines and _n_removed."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    firsts = slim.mapInArrow(_first_lines(least), "h1 long, h2 long, doc_id long, at int")
+    first = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("f"))
+    first = stored(first.select("h1", "h2", "f.doc_id", "f.at"))
+    classes = edit_classes(slim, first, edits, least)
+    named = first.withColumn("node", F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))))
+    by_class = named.join(classes, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
+    kept = by_class.select(F.col("f.doc_id").alias("_id"), F.col("f.at").alias("at")).groupBy("_id").agg(F.collect_list("at").alias("kept"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "kept")
+    return joined.mapInArrow(_kept(least), f"{schema}, _n_lines long, _n_removed long")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without repeated lines, with n_chars of what is left. A document of which nothing is left, as all its lines stand elsewhere, goes."""
+    out = dedup_lines(docs).where("text is null or _n_removed = 0 or length(trim(text)) > 0")
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.llm import decontaminate, jaccard, packing, quality, substrings, tokens
+import corpus_pipeline
+from quillmatch.llm import decontaminate, html, jaccard, licenses, lines, packing, quality, substrings, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_licenses": licenses.op2_licenses,
         "op3_quality": quality.op3_quality,
         "op4_token_orc": tokens.op4_token_orc,
+        "op5_warc": warc.op5_warc,
         "op6_packing": packing.op6_packing,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_substrings": substrings.op9_substrings,
+        "op10_html": html.op10_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.OP3_SQL}
+    return {"op3_quality": quality.OP3_SQL, "op5_warc": warc.OP5_SQL}
