@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import NOT_ALNUM, Words, as_bytes, table, windows
+from quillmatch.llm.shared import NOT_ALNUM, Words, as_bytes, fresh, table, windows
 
 SHINGLE, SIMILAR = 5, 0.75
 RADIUS, BLOCKS, STEPS, RATIO = 18, 4, 8, 1.1
@@ -230,5 +230,5 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no item of the benchmark is found. Rows of one id go or stay together."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    leaks = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    key = fresh("_id", docs)
+    return docs.join(found.select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.shared import SPACES, Words, as_bytes, bounds, components, sorted_runs, stored, table, windows
+from quillmatch.llm.shared import SPACES, Words, as_bytes, bounds, components, fresh, sorted_runs, stored, table, windows
 
 SHINGLE, NEAR = 5, 75
 CELLS, SKETCH, BLOCK, LEAF, PIVOTS = 16, 64, 4096, 512, 8
@@ -280,10 +280,11 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose id is that of their component, so one of each group stays; rows that repeat another's id and words stay once. Rows without words stay."""
+    key, node = fresh("_id", docs), fresh("_node", docs)
     found = stored(jaccard_components(docs))
-    lone = found.where("node is null or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), "node")
-    kept = docs.join(lone.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if lone.where("node is not null").groupBy("_id", "node").count().where("count > 1").isEmpty():
+    lone = found.where("node is null or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias(key), F.col("node").alias(node))
+    kept = docs.join(lone.select(key).distinct(), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    if lone.where(F.col(node).isNotNull()).groupBy(key, node).count().where("count > 1").isEmpty():
         return kept
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return kept.groupBy("doc_id", "text").agg(F.first(F.lit(0)).alias("_"), *[F.first(c).alias(c) for c in rest]).select(*docs.columns)
+    rest = [F.first(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return kept.groupBy("doc_id", "text").agg(F.count("*").alias(fresh("_n", docs)), *rest).select(*[F.col(f"`{c}`") for c in docs.columns])

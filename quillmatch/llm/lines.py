@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmatch.llm.shared import bounds, components, sorted_runs, stored, table
+from quillmatch.llm.shared import bounds, components, fresh, sorted_runs, stored, table
 
 EDITS, MIN_CHARS, BLOCK = 2, 40, 2048
 #: Rows of ids that may be broadcast (16 MB); more are joined by a shuffle.
@@ -253,22 +254,22 @@ def _trees(edits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _kept(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows with text and kept (numbers of the long lines that stay) to rows with the new text, and the numbers of lines before and removed."""
+def _kept(least: int, name: str, lines: str, gone: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with text and ``name`` (numbers of the long lines that stay) to rows with the new text, and the numbers of lines before and removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, before, gone = [], [], []
-            for text, kept in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True):
-                lines = text.split("\n") if text is not None else []
+            texts, before, removed = [], [], []
+            for text, kept in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
+                own = text.split("\n") if text is not None else []
                 stay = set(kept or ())
-                out = [x for at, x in enumerate(lines) if at in stay or len(x.strip(TRIM)) < least]
+                out = [x for at, x in enumerate(own) if at in stay or len(x.strip(TRIM)) < least]
                 texts.append(None if text is None else "\n".join(out))
-                before.append(len(lines))
-                gone.append(len(lines) - len(out))
-            names = [n for n in batch.schema.names if n != "kept"]
+                before.append(len(own))
+                removed.append(len(own) - len(out))
+            names = [n for n in batch.schema.names if n != name]
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*names, "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], [*names, lines, gone])
 
     return run
 
@@ -290,8 +291,8 @@ def edit_classes(docs: DataFrame, first: DataFrame, edits: int = EDITS, least: i
     return components(rows.select("g", "line", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_trees(edits), "a binary, b binary"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with text without the lines that repeat an earlier one, and the columns _n_lines and _n_removed."""
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with text without the lines that repeat an earlier one, and two columns more: how many lines a row had and how many went."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     firsts = slim.mapInArrow(_first_lines(least), "h1 long, h2 long, doc_id long, at int")
     first = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("f"))
@@ -299,18 +300,21 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) ->
     classes = edit_classes(slim, first, edits, least)
     named = first.withColumn("node", F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))))
     by_class = named.join(classes, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
-    kept = by_class.select(F.col("f.doc_id").alias("_id"), F.col("f.at").alias("at")).groupBy("_id").agg(F.collect_list("at").alias("kept"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "kept")
-    return joined.mapInArrow(_kept(least), f"{schema}, _n_lines long, _n_removed long")
+    key, stay = fresh("_id", docs), fresh("_kept", docs)
+    kept = by_class.select(F.col("f.doc_id").alias(key), F.col("f.at").alias("at")).groupBy(key).agg(F.collect_list("at").alias(stay))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], stay)
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_removed, T.LongType())])
+    return joined.mapInArrow(_kept(least, stay, n_lines, n_removed), schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated lines, with n_chars of what is left. A document of which nothing is left, as all its lines stand elsewhere, goes."""
-    out = dedup_lines(docs).where("text is null or _n_removed = 0 or length(trim(text)) > 0")
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    before, gone = fresh("_n_lines", docs), fresh("_n_removed", docs)
+    out = dedup_lines(docs, n_lines=before, n_removed=gone)
+    out = out.where(F.col("text").isNull() | (F.col(gone) == 0) | (F.length(F.trim("text")) > 0))
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

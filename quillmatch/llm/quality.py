@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import table
+from quillmatch.llm.shared import fresh, table
 
 SPACE = r"[\x20\x09-\x0D]"
 MARKS = " \t\n\x0b\x0c\r"
@@ -92,16 +92,19 @@ def n_repeat_words(w: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of the whole text."""
+    """``docs`` with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of the whole text; columns of these names are replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        "*",
-        word_chars(t).alias("word_chars"),
-        n_symbols(t).alias("n_symbols"),
-        F.struct(let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("r")))).alias("_w"),
-        F.size(lines_with_words(t)).cast("long").alias("n_lines"),
-        n_dup_lines(t).alias("n_dup_lines"),
-    ).select("*", F.col("_w.col1.n").alias("n_words"), F.col("_w.col1.r").alias("n_repeat_words")).drop("_w")
+    both = fresh("_both", docs)
+    counted = docs.withColumns(
+        {
+            both: let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("r"))),
+            "word_chars": word_chars(t),
+            "n_symbols": n_symbols(t),
+            "n_lines": F.size(lines_with_words(t)).cast("long"),
+            "n_dup_lines": n_dup_lines(t),
+        }
+    )
+    return counted.withColumns({"n_words": F.col(both)["n"], "n_repeat_words": F.col(both)["r"]}).drop(both)
 
 
 def default_rules(text: Column) -> list[Rule]:

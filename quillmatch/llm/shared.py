@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_FALLBACK = "file:///tmp/checkpoints"
+from quillmatch.operators.graph import components, shared_folder, stored
 
+__all__ = ["NOT_ALNUM", "SPACES", "Words", "as_bytes", "bounds", "components", "fresh", "shared_folder", "sliding_min", "sorted_runs", "stored", "table", "windows"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-    return f"{base.rstrip('/')}/quillmatch-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and the loss of an executor costs nothing that is stored."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -162,35 +155,3 @@ NOT_ALNUM = (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 
 def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
-
-
-def plain(batch: pa.RecordBatch) -> dict[str, list]:
-    return {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-
-
-# ---------------------------------------------------------------- connected components
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node of ``edges``: root is the smallest node that can be reached.
-
-    Minimum labels go along the edges and labels are then followed once (pointer
-    jumping), so paths shorten by half in each round. Each round is a table in the
-    shared folder; the driver sees one count a round.
-    """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = stored(pairs.union(pairs.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        lower = stored(lower)
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = stored(lower.join(jump, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("was")).alias("moved")))
-        labels = new.select("node", "root")
-        if new.where("moved").isEmpty():
-            return labels
-
-
-def id_column(df: DataFrame, name: str) -> Column:
-    return df[name].cast("long")

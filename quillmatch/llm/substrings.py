@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import SPACES, Words, as_bytes, bounds, plain, shared_folder, sliding_min, stored, table, windows
+from quillmatch.llm.shared import SPACES, Words, as_bytes, shared_folder, sliding_min, stored, table, windows
 
 WINDOW, GRAM, BATCHES = 35, 8, 2
 _one, _two = Words(SPACES, lower=False, seed=1), Words(SPACES, lower=False, seed=2)
