@@ -38,6 +38,7 @@ RADIUS, BLOCKS, STEPS, RATIO = 18, 4, 8, 1.1
 ITEMS = 5000
 CHUNK = 1 << 14
 _U = np.uint64
+_LOW = _U((1 << 20) - 1)
 _words = Words(NOT_ALNUM, lower=True)
 FOUND = "doc_id long, item_id long, similarity double, distance int, first_word long"
 
@@ -51,7 +52,12 @@ def _signs(shingles: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    return np.packbits(2 * (sums[starts + size] - sums[starts]) > size, axis=1).view(_U).ravel()
+    return np.packbits(sums[starts + size] - sums[starts] > size // 2, axis=1).view(_U).ravel()
+
+
+def _regular(sums: np.ndarray, step: int, size: int) -> np.ndarray:
+    """The fingerprints at 0, ``step``, 2 * ``step`` and so on, from views without copies."""
+    return np.packbits(sums[size::step] - sums[: len(sums) - size : step] > size // 2, axis=1).view(_U).ravel()
 
 
 def _near(bits: int) -> np.ndarray:
@@ -60,27 +66,35 @@ def _near(bits: int) -> np.ndarray:
     return x[np.bitwise_count(x) <= bits]
 
 
+def _limits() -> list[int]:
+    """How many bits a block may differ: one more in each, summed, exceeds RADIUS, so not all blocks can differ by more."""
+    spare = RADIUS + 1 - BLOCKS
+    return [spare // BLOCKS + (b < spare % BLOCKS) for b in range(BLOCKS)]
+
+
 class _Class:
     """Items of about one size, with the tables of their blocks."""
 
     def __init__(self, size: int, prints: np.ndarray, items: np.ndarray) -> None:
         self.size, self.prints, self.items = size, prints, items
-        near = _near(RADIUS // BLOCKS)
         self.tables = []
-        for b in range(BLOCKS):
+        for b, limit in enumerate(_limits()):
+            near = _near(limit)
             own = (prints >> _U(16 * b)).astype(np.uint16)
             keys = (own[:, None] ^ near[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
-            self.tables.append((np.repeat(np.arange(len(prints), dtype=np.int32), len(near))[order], np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=1 << 16))))))
+            many = np.bincount(keys, minlength=1 << 16).astype(np.int32)
+            self.tables.append((np.repeat(np.arange(len(prints), dtype=np.int32), len(near))[order], np.cumsum(many, dtype=np.int32) - many, many))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all pairs within the radius."""
         w, i, d = [], [], []
-        for b, (items, at) in enumerate(self.tables):
+        for b, (items, at, many) in enumerate(self.tables):
             key = (prints >> _U(16 * b)).astype(np.uint16)
-            lo, n = at[key], at[key.astype(np.int64) + 1] - at[key]
-            window = np.repeat(np.arange(len(prints)), n)
-            item = items[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            lo, n = at[key], many[key]
+            ends = np.cumsum(n, dtype=np.int32)
+            window = np.repeat(np.arange(len(prints), dtype=np.int32), n)
+            item = items[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
             far = np.bitwise_count(prints[window] ^ self.prints[item])
             ok = far <= RADIUS
             w.append(window[ok])
@@ -105,9 +119,13 @@ class Benchmark:
             for x in set(s.tolist()):
                 count[x] += 1
         self.shingles = [np.unique(s) for s in self.shingles]
-        self.weights = [np.array([1 / count[x] for x in s.tolist()]) for s in self.shingles]
+        self.weight_of = [{x: 1 / count[x] for x in s.tolist()} for s in self.shingles]
+        self.total = [sum(w.values()) for w in self.weight_of]
         self.short = [k for k, n in enumerate(lengths) if n < SHINGLE]
         self.lengths = np.array(lengths)
+        every = np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, _U)
+        self.known = np.zeros(int(_LOW) + 1, bool)  # by the low bits of a shingle: whether an item may have it
+        self.known[every & _LOW] = True
         self.classes = []
         order = [k for k in np.argsort(self.lengths, kind="stable").tolist() if lengths[k] >= SHINGLE]
         while order:
@@ -118,7 +136,11 @@ class Benchmark:
             self.classes.append(_Class(size - SHINGLE + 1, prints, np.array(own)))
 
     def _verify(self, shingles: np.ndarray, first: int, last: int, k: int) -> float:
-        return float(self.weights[k][np.isin(self.shingles[k], shingles[max(first, 0) : last])].sum() / self.weights[k].sum())
+        """The part of item k's weight that stands among these shingles."""
+        here = shingles[first:last]
+        here = here[self.known[here & _LOW]]
+        own = self.weight_of[k]
+        return sum(own[x] for x in set(here.tolist()) if x in own) / self.total[k]
 
     def search(self, words: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
         """Of texts put end to end, starting at ``starts``: (text, item) to (similarity, distance, first word)."""
@@ -132,23 +154,27 @@ class Benchmark:
             if similarity >= SIMILAR - 1e-9 and similarity > found.get((text, k), (0.0,))[0]:
                 found[text, k] = (similarity, distance, at)
 
+        # How many shingles before each that an item may have; text around a window without any has no weight of an item.
+        before = np.concatenate(([0], np.cumsum(self.known[sh & _LOW])))
         for c in self.classes:
             m, step = c.size, max(1, c.size // STEPS)
             words_in = m + SHINGLE - 1
             if len(words) < words_in:
                 continue
-            at = np.union1d(np.arange(0, len(words) - words_in + 1, step), starts[starts <= len(words) - words_in])
-            at = at[text_of[at] == text_of[at + words_in - 1]]
-            window, item, far = c.within(_fingerprints(sums, at, m))
+            first = starts[starts <= len(words) - words_in]
+            at = np.concatenate((np.arange(0, len(words) - words_in + 1, step), first))
+            window, item, far = c.within(np.concatenate((_regular(sums, step, m), _fingerprints(sums, first, m))))
+            longer = self.lengths[c.items] - words_in
+            a, text = at[window], text_of[at[window]]
+            lo = np.maximum(a - step - longer[item], starts[text])
+            hi = np.minimum(a + m + step + longer[item], ends[text] - SHINGLE + 1)
+            some = (text == text_of[a + words_in - 1]) & (before[np.maximum(hi, lo)] > before[lo])
             tried = set()
-            for a, i, d in zip(at[window].tolist(), item.tolist(), far.tolist(), strict=True):
-                if (a, i) in tried:
-                    continue
-                tried.add((a, i))
-                k, text = int(c.items[i]), int(text_of[a])
-                longer = int(self.lengths[k]) - words_in
-                first, last = max(a - step - longer, int(starts[text])), min(a + m + step + longer, int(ends[text]) - SHINGLE + 1)
-                keep(text, k, self._verify(sh, first, last, k), d, a - int(starts[text]))
+            for x, i, d, text_, f, z in zip(*(v[some].tolist() for v in (a, item, far, text, lo, hi)), strict=True):
+                k = int(c.items[i])
+                if (x, i) not in tried and found.get((text_, k), (0.0,))[0] < 1 - 1e-9:
+                    tried.add((x, i))
+                    keep(text_, k, self._verify(sh, f, z, k), d, x - int(starts[text_]))
         for k in self.short:
             runs = windows(words, int(self.lengths[k]))
             for a in np.flatnonzero(runs == self.shingles[k][0]).tolist():
