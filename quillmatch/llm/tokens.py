@@ -3,10 +3,12 @@
 Encoding. The vocabulary's pre-tokenizer starts a token at a single space between two
 characters that aren't white space, whatever stands on either side, so a text may be cut
 before each such space and its pieces encoded one by one: the ids are those of the whole
-text. Pieces repeat, so a worker keeps the ids of those it has met (at most
-``CACHE_PIECES``; a full cache is emptied, which costs time and nothing else) and gives
-the tokenizers library only new ones. Texts that hold an added token's string are
-encoded whole.
+text. New pieces are cut further where a token surely ends too: before a full stop or
+comma after a letter, and around a line feed between characters that aren't white space.
+Pieces and their parts repeat, so a worker keeps the ids of those it has met lately
+(two generations of at most ``CACHE_PIECES``; what is forgotten costs time and nothing
+else) and gives the tokenizers library only new parts. Texts that hold an added token's
+string are encoded whole.
 
 Format. Documents are range-partitioned by id and sorted, so files and the stripes in
 them hold disjoint ascending id ranges. The ids of a document are an ``array<int>``, which
@@ -26,7 +28,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,9 +41,12 @@ from pyspark.sql import functions as F
 from quillmatch.llm.shared import shared_folder, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 _CUT = re.compile(r" (?=[^\s᠎])")
 _UNSAFE = re.compile(r" [\s᠎]")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SOLID = _LETTER + "0-9.,;:!?%*&$#|"
+_PARTS = re.compile(rf"(?<=[{_LETTER}])(?=[.,])|(?<=[{_SOLID}])(?=\n)|(?<=[{_SOLID}]\n)(?=[{_SOLID}])")
 
 
 class Encoder:
@@ -52,9 +59,33 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Adds what isn't known to ``known``: from the older generation, from known parts, or from the library."""
+        known, older = self.known, self.older
+        split: dict[str, list[str]] = {}
+        new: set[str] = set()
+        for p in pieces:
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            else:
+                parts = split[p] = [p] if any(a in p for a in self.added) else _PARTS.split(p)
+                new.update(parts)
+        new = new.difference(known)
+        if older:
+            for p in [p for p in new if p in older]:
+                known[p] = older[p]
+                new.discard(p)
+        fresh_ = list(new)
+        if fresh_:
+            known.update(zip(fresh_, self._encode(fresh_), strict=True))
+        for p, parts in split.items():
+            if len(parts) > 1:
+                known[p] = b"".join([known[x] for x in parts])
 
     def _pieces(self, text: str) -> list[str]:
         """The text, cut before each space that surely starts a token."""
@@ -70,16 +101,21 @@ class Encoder:
         return [first, *[" " + p for p in rest]]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
         for k in range(0, len(texts), 200):
+            if len(self.known) > CACHE_PIECES:
+                self.known, self.older = {}, self.known
+            known = self.known
             cut = [self._pieces(t or "") for t in texts[k : k + 200]]
-            new = list({p for pieces in cut for p in pieces}.difference(known))
-            if new:
-                known.update(zip(new, self._encode(new), strict=True))
+            flat = list(chain.from_iterable(cut))
+            ids = list(map(known.get, flat))
+            if gaps := [i for i, x in enumerate(ids) if x is None]:
+                self._learn({flat[i] for i in gaps})
+                for i in gaps:
+                    ids[i] = known[flat[i]]
+            at = 0
             for pieces in cut:
-                yield b"".join([known[p] for p in pieces]) + self.end
+                yield b"".join(ids[at : at + len(pieces)]) + self.end
+                at += len(pieces)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
