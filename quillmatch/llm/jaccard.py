@@ -288,3 +288,20 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         return kept
     rest = [F.first(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
     return kept.groupBy("doc_id", "text").agg(F.count("*").alias(fresh("_n", docs)), *rest).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: For DuckDB: shingle sets, all links, and what they reach.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT k, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d
+), e AS (SELECT k, unnest(g) AS x FROM s),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN s p ON p.k = a JOIN s q ON q.k = b WHERE 100 * n >= 75 * (len(p.g) + len(q.g) - n)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k, k AS z FROM s UNION SELECT t.b, r.z FROM r JOIN t ON t.a = r.k)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT r.k, min(y.doc_id) AS component_id FROM r JOIN s y ON y.k = r.z GROUP BY 1) m ON m.k = s.k
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.OP3_SQL, "op5_warc": warc.OP5_SQL}
+    return {"op3_quality": quality.OP3_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_substrings": substrings.OP9_SQL}
