@@ -45,7 +45,13 @@ BLOCKS = frozenset(
 )
 #: Blocks that aren't kept open: what follows ends them.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr hr option caption legend summary figcaption".split())
+#: What ends a head, or a control, that is never closed.
+CONTROLS = frozenset("button select textarea title".split())
+ENDS_CONTROL = frozenset("article main section p h1 h2 h3 h4 h5 h6 table ul ol footer nav".split())
+ENDS_HEAD = BLOCKS - {"html"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: With one of these words, a header is the article's own.
+OWN = frozenset("article post entry story content main".split())
 _NAME = re.compile(r"[a-z]+")
 SIGMA, HOLDS = 1.0, 0.9
 
@@ -71,11 +77,13 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if self.hidden and tag in (ENDS_HEAD if self.hidden == "head" else ENDS_CONTROL if self.hidden in CONTROLS else ()):
+            self.hidden = None  # never closed
         if self.hidden:
             self.depth += tag == self.hidden
             return
         if tag in HIDDEN:
-            if tag == "head" or tag in BLOCKS:
+            if tag == "head":
                 self.end_line()
             self.hidden, self.depth = tag, 1
         elif tag in BLOCKS:
@@ -114,7 +122,12 @@ class _Lines(HTMLParser):
         self._push(tag, True)
 
     def _marked(self, attrs: list[tuple[str, str | None]]) -> bool:
-        return any(v and k in ("class", "id", "role") and not MARKS.isdisjoint(_NAME.findall(v.lower())) for k, v in attrs)
+        for k, v in attrs:
+            if v and k in ("class", "id", "role"):
+                marks = MARKS.intersection(words := _NAME.findall(v.lower()))
+                if marks and (marks != {"header"} or OWN.isdisjoint(words)):
+                    return True
+        return False
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -139,8 +152,6 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
-            if self.hidden == "head" and data.strip() and False:
-                self.hidden = None
             return
         self.parts.append(data)
         if self.links:

@@ -199,6 +199,8 @@ def test_main_text():
     body = "".join(f"<p>{'sentence of the text ' * 12}</p>" for _ in range(6))
     assert html.main_text(f"<div id=menu><a href=x>link</a></div><div class=content><h2>Head</h2>{body}</div><div class=footer>end</div>").split("\n")[0] == "Head"
     assert html.main_text("<article><p>cut off &am") == "cut off &am"
+    assert html.main_text("<head><title>t</title><body><p>no end of the head") == "no end of the head"
+    assert html.main_text("<article><div class='post-header'><h1>Own</h1></div><p>text</p><button>Go<p>more</p></article>") == "Own\ntext\nmore"
 
 
 def test_html_query(spark, corpus):
