@@ -107,19 +107,30 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumns({"n_words": F.col(both)["n"], "n_repeat_words": F.col(both)["r"]}).drop(both)
 
 
-def default_rules(text: Column) -> list[Rule]:
-    """The rules of this engine, each from the whole text alone."""
+def default_rules(text: Column, w: Column | None = None) -> list[Rule]:
+    """The rules of this engine, each from the whole text alone; ``w``: its words, if they are at hand."""
     t = F.coalesce(text, F.lit(""))
-    n = F.size(words(t))
+    w = words(t) if w is None else w
+    n = F.size(w)
     return [
         Rule("few_words", n < 50),
-        Rule("repeated_windows", let(words(t), lambda w: 100 * n_repeat_words(w) > 50 * F.size(w))),
+        Rule("repeated_windows", let(w, lambda x: 100 * n_repeat_words(x) > 50 * F.size(x))),
         Rule("symbols", 4 * n_symbols(t) > n),
         Rule("word_length", let(n, lambda k: (word_chars(t) < 2 * k) | (word_chars(t) > 15 * k))),
         Rule("repeated_lines", let(lines_with_words(t), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
     ]
 
 
+def rejected_by(text: Column, order: list[str]) -> Column:
+    """The name of the first of the default rules in ``order`` that rejects, or null; the text is split into words once for all of them."""
+
+    def verdict(w: Column) -> Column:
+        by_name = {r.name: r for r in default_rules(text, w)}
+        return cascade([by_name[n] for n in order])
+
+    return let(words(F.coalesce(text, F.lit(""))), verdict)
+
+
 def ordered(rules: list[Rule], sample: DataFrame) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected) in descending order of rejection per cost, measured on ``sample``.
 
@@ -182,8 +193,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    rules = [r for r, _, _ in ordered(default_rules(docs["text"]), sampled(docs))]
-    return docs.where(cascade(rules).isNull())
+    order = [r.name for r, _, _ in ordered(default_rules(F.col("text")), sampled(docs))]
+    return docs.where(rejected_by(F.col("text"), order).isNull())
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
