@@ -56,7 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Whether a text holds the string of an added token.
+        self.special = re.compile("|".join(added) or r"(?!)").search
         self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -66,15 +68,18 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Adds what isn't known to ``known``: from the older generation, from known parts, or from the library."""
-        known, older = self.known, self.older
+        known, older, special = self.known, self.older, self.special
         split: dict[str, list[str]] = {}
         new: set[str] = set()
         for p in pieces:
             if (ids := older.get(p)) is not None:
                 known[p] = ids
             else:
-                parts = split[p] = [p] if any(a in p for a in self.added) else _PARTS.split(p)
-                new.update(parts)
+                if p[1:].isalpha() or special(p):
+                    new.add(p)
+                else:
+                    parts = split[p] = _PARTS.split(p)
+                    new.update(parts)
         new = new.difference(known)
         if older:
             for p in [p for p in new if p in older]:
@@ -89,7 +94,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str]:
         """The text, cut before each space that surely starts a token."""
-        if any(a in text for a in self.added):
+        if self.special(text):
             return [text]
         if _UNSAFE.search(text):
             first, *rest = _CUT.split(text)
