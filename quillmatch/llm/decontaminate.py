@@ -23,6 +23,7 @@ like others. Empty tables give empty results. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,20 +36,30 @@ from quillmatch.llm.shared import NOT_ALNUM, Words, as_bytes, fresh, table, wind
 
 SHINGLE, SIMILAR = 5, 0.75
 RADIUS, BLOCKS, STEPS, RATIO = 18, 4, 8, 1.1
-ITEMS = 5000
-CHUNK = 1 << 14
+ITEMS = 2000  # their tables take about 120 KB each
+CHUNK, ROWS = 1 << 14, 128
 _U = np.uint64
 _LOW = _U((1 << 20) - 1)
+_BLOCK = np.arange(BLOCKS) << 16
 _words = Words(NOT_ALNUM, lower=True)
 FOUND = "doc_id long, item_id long, similarity double, distance int, first_word long"
 
 
-def _signs(shingles: np.ndarray) -> np.ndarray:
-    """Running sums of the shingles' bits as 1 and -1; windows' sums are differences (modulo 2**16, which is more than twice a window)."""
-    bits = np.unpackbits(shingles.view(np.uint8)).reshape(-1, 64)
-    out = np.zeros((len(shingles) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
-    return out
+def _signs(shingles: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums of the shingles' bits; windows' sums are differences, modulo more than the ``longest`` window.
+
+    Rows are summed by columns of ``ROWS`` x ``ROWS`` tiles, then over the tiles, so each
+    step adds many bytes at once (a cumsum goes through every bit's column by itself).
+    """
+    kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
+    tiles = len(shingles) // ROWS + 1
+    out = np.zeros((tiles, ROWS, 64), kind)
+    out.reshape(-1, 64)[1 : len(shingles) + 1] = np.unpackbits(shingles.view(np.uint8)).reshape(-1, 64)
+    for k in range(1, ROWS):
+        out[:, k] += out[:, k - 1]
+    for k in range(1, tiles):
+        out[k] += out[k - 1, -1]
+    return out.reshape(-1, 64)[: len(shingles) + 1]
 
 
 def _fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -76,31 +87,33 @@ class _Class:
     """Items of about one size, with the tables of their blocks."""
 
     def __init__(self, size: int, prints: np.ndarray, items: np.ndarray) -> None:
-        self.size, self.prints, self.items = size, prints, items
-        self.tables = []
+        self.size, self.items = size, items
+        whose, keys = [], []
         for b, limit in enumerate(_limits()):
             near = _near(limit)
             own = (prints >> _U(16 * b)).astype(np.uint16)
-            keys = (own[:, None] ^ near[None, :]).ravel()
-            order = np.argsort(keys, kind="stable")
-            many = np.bincount(keys, minlength=1 << 16).astype(np.int32)
-            self.tables.append((np.repeat(np.arange(len(prints), dtype=np.int32), len(near))[order], np.cumsum(many, dtype=np.int32) - many, many))
+            keys.append((own[:, None] ^ near[None, :]).ravel().astype(np.int32) + (b << 16))
+            whose.append(np.repeat(np.arange(len(prints), dtype=np.int32), len(near)))
+        key = np.concatenate(keys)
+        # One table of all blocks: the items near a key stand in ``whose`` from the table's high half on, as many as its low half says.
+        self.whose = np.concatenate(whose)[np.argsort(key, kind="stable")]
+        self.near_prints = prints[self.whose]
+        many = np.bincount(key, minlength=BLOCKS << 16)
+        self.table = (np.cumsum(many) - many << 32) + many
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all pairs within the radius."""
-        w, i, d = [], [], []
-        for b, (items, at, many) in enumerate(self.tables):
-            key = (prints >> _U(16 * b)).astype(np.uint16)
-            lo, n = at[key], many[key]
-            ends = np.cumsum(n, dtype=np.int32)
-            window = np.repeat(np.arange(len(prints), dtype=np.int32), n)
-            item = items[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-            far = np.bitwise_count(prints[window] ^ self.prints[item])
-            ok = far <= RADIUS
-            w.append(window[ok])
-            i.append(item[ok])
-            d.append(far[ok])
-        return np.concatenate(w), np.concatenate(i), np.concatenate(d)
+        key = (prints.view("<u2").reshape(-1, BLOCKS) + _BLOCK).ravel()
+        both = self.table.take(key)
+        n = both & 0xFFFFFFFF
+        ends = np.cumsum(n)
+        place = np.repeat((both >> 32) - (ends - n), n)
+        place += np.arange(len(place))
+        other = np.repeat(prints, n.reshape(-1, BLOCKS).sum(axis=1))
+        other ^= self.near_prints.take(place)
+        far = np.bitwise_count(other)
+        ok = np.flatnonzero(far <= RADIUS)
+        return np.searchsorted(ends, ok, side="right") // BLOCKS, self.whose[place[ok]], far[ok]
 
 
 class Benchmark:
@@ -132,7 +145,7 @@ class Benchmark:
             size = lengths[order[0]]
             own = [k for k in order if lengths[k] <= size * RATIO]
             order = order[len(own) :]
-            prints = np.concatenate([_fingerprints(_signs(s), np.array([0]), len(s)) for s in (self.shingles[k] for k in own)])
+            prints = np.concatenate([_fingerprints(_signs(s, len(s)), np.array([0]), len(s)) for s in (self.shingles[k] for k in own)])
             self.classes.append(_Class(size - SHINGLE + 1, prints, np.array(own)))
 
     def _verify(self, shingles: np.ndarray, first: int, last: int, k: int) -> float:
@@ -146,7 +159,7 @@ class Benchmark:
         """Of texts put end to end, starting at ``starts``: (text, item) to (similarity, distance, first word)."""
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
         sh = windows(words, SHINGLE)
-        sums = _signs(sh)
+        sums = _signs(sh, max((c.size for c in self.classes), default=0))
         ends = np.concatenate((starts[1:], [len(words)]))
         text_of = np.repeat(np.arange(len(starts)), ends - starts)
 
@@ -183,6 +196,18 @@ class Benchmark:
         return found
 
 
+_built: dict[bytes, Benchmark] = {}
+
+
+def _benchmark(items: list[tuple[int | None, str | None]]) -> Benchmark:
+    """Tables are built by each worker process, once for the block it is at; only the items themselves travel."""
+    key = hashlib.blake2b(repr(items).encode("utf-8", "surrogatepass")).digest()
+    if key not in _built:
+        _built.clear()
+        _built[key] = Benchmark(items)
+    return _built[key]
+
+
 def _search(bench: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = int(bench.lengths.max()) if len(bench.lengths) else 0
     for batch in batches:
@@ -235,8 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
     spark, out, block = docs.sparkSession, None, []
 
     def passed(rows: list) -> DataFrame:
-        bench = Benchmark(rows)
-        return docs.mapInArrow(lambda batches: _search(bench, batches), FOUND)
+        return docs.mapInArrow(lambda batches: _search(_benchmark(rows), batches), FOUND)
 
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append((row["item_id"], row["text"]))
