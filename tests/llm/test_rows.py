@@ -103,7 +103,7 @@ def crc(ids):
 def test_encoder_equals_the_library():
     rng, encode = seeded(6), tokens.encoder(tokens.vocabulary_path())
     same = truth()
-    parts = [" ", "  ", "a", ".", ",", "\n", "a.", "\nb", "B", "é", "\n", "\t", "\xa0", "᠎", "\x1c", "1", "!", "'s", "<|endoftext|>", "中", "　", "\x85", "ab", "​"]
+    parts = [" ", "  ", "a", ".", ",", "\n", "a.", "\nb", "B", "é", "\n", "\x00", "Ab. cd,\nEf", "\t", "\xa0", "᠎", "\x1c", "1", "!", "'s", "<|endoftext|>", "中", "　", "\x85", "ab", "​"]
     for _ in range(1500):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(next(encode([x])), "<u4").tolist() == same(x), repr(x)
