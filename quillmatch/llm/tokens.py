@@ -43,6 +43,7 @@ from quillmatch.llm.shared import shared_folder, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
 CACHE_PIECES = 500_000
+GROUP = 64  # pieces a text; the library slows down on long ones
 _CUT = re.compile(r" (?=[^\s᠎])")
 _UNSAFE = re.compile(r" [\s᠎]")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -66,12 +67,36 @@ class Encoder:
         #: Whether a text holds the string of an added token.
         self.special = re.compile("|".join(added) or r"(?!)").search
         self.end = np.array([end], "<u4").tobytes()
+        one = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_feed = one[0] if len(one) == 1 else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _add(self, pieces: set[str]) -> None:
+        """Encodes new pieces. Those without white space (but for one space before them) go to the library as lines of texts of ``GROUP`` pieces: a line feed between them is a token of its own, so the ids are cut at its id."""
+        plain, other = [], []
+        for p in pieces:
+            bare = p[1:] if p[:1] == " " else p
+            (plain if bare and bare.isprintable() and " " not in bare else other).append(p)
+        if plain:
+            groups = ["\n".join(plain[k : k + GROUP]) for k in range(0, len(plain), GROUP)]
+            if self.line_feed is None or any(map(self.special, groups)):
+                other += plain
+            else:
+                # The last line feed of a group is the encoder's own, so that each piece has one after it.
+                found = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+                ids = np.fromiter(chain.from_iterable([*e.ids, self.line_feed] for e in found), "<u4")
+                cuts = np.flatnonzero(ids == self.line_feed) * 4
+                if len(cuts) != len(plain):
+                    raise ValueError("a line feed wasn't a token of its own")
+                raw = ids.tobytes()
+                self.known.update(zip(plain, [raw[x:y] for x, y in zip([0, *(cuts[:-1] + 4).tolist()], cuts.tolist(), strict=True)], strict=True))
+        if other:
+            self.known.update(zip(other, self._encode(other), strict=True))
+
     def _learn(self, pieces: set[str]) -> None:
         """Adds what isn't known to ``known``: from the older generation, from known parts, or from the library."""
         known, older, special = self.known, self.older, self.special
@@ -91,9 +116,7 @@ class Encoder:
             for p in [p for p in new if p in older]:
                 known[p] = older[p]
                 new.discard(p)
-        fresh_ = list(new)
-        if fresh_:
-            known.update(zip(fresh_, self._encode(fresh_), strict=True))
+        self._add(new)
         for p, parts in split.items():
             if len(parts) > 1:
                 known[p] = b"".join([known[x] for x in parts])
