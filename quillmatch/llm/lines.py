@@ -3,15 +3,17 @@
 Lines are the ``\\n``-split parts of a text, trimmed of spaces, tabs and carriage returns.
 A line of ``MIN_CHARS`` code points or more is removed if an earlier line, in the order of
 (doc_id, line number), is equal to it or belongs to the same class of lines; classes are
-the connected components of lines within ``EDITS`` insertions, deletions or
-substitutions of each other. Shorter lines and lines without text always stay.
+the connected components of lines within so many insertions, deletions or substitutions
+of each other as the shorter may have: one for each ``CHARS_AN_EDIT`` code points, at most
+``EDITS``. Lines of fewer than ``CHARS_AN_EDIT`` thus go as exact repeats only. Lines
+without text always stay.
 
 1. Lines are grouped by a 128-bit digest after repeats in a batch of a task were dropped,
    so a line that a third of all documents hold is one row a batch.
-2. A distinct line of length n is cut into EDITS + 1 segments; of two lines within EDITS
-   edits one segment of the shorter stands unchanged in the longer, near its place. Every
-   line therefore enters the cells (length, segment number, segment) of its own segments,
-   and probes the cells of lengths n - EDITS to n with those substrings that the
+2. A distinct line of length n with k edits is cut into k + 1 segments; of two lines within
+   the edits of the shorter one segment of it stands unchanged in the longer, near its
+   place. Every line with an edit therefore enters the cells (length, segment number,
+   segment) of its own segments, and probes the cells of lengths n - k to n with those substrings that the
    multi-match-aware window of Pass-Join allows. Cells are 16 bytes a line; those without
    a pair go before any text moves.
 3. In a cell, pairs whose character counts differ too much are excluded by a matrix of
@@ -40,12 +42,17 @@ from pyspark.sql import types as T
 
 from quillmatch.llm.shared import bounds, components, fresh, sorted_runs, stored, table
 
-EDITS, MIN_CHARS, BLOCK = 2, 40, 2048
+EDITS, MIN_CHARS, CHARS_AN_EDIT, BLOCK = 2, 1, 16, 2048
 #: Rows of ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 TRIM = " \t\r"
 
 
+def allowed(n: int, edits: int) -> int:
+    """How many edits a line of length n may be from a line that is not shorter."""
+    return min(edits, n // CHARS_AN_EDIT)
+
+
 def segments(n: int, parts: int) -> list[tuple[int, int]]:
     """(start, end) of the segments of a line of length n; the later ones are longer by one where n doesn't divide."""
     short, more = divmod(n, parts)
@@ -63,12 +70,14 @@ _plans: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
 def probes(n: int, edits: int) -> list[tuple[int, int, int, int]]:
     """(length of the shorter line, segment number, start, end) of the substrings of a line of length n that can match a segment; first its own segments."""
     if (n, edits) not in _plans:
-        out = [(n, k, a, b) for k, (a, b) in enumerate(segments(n, edits + 1))]
+        out = [(n, k, a, b) for k, (a, b) in enumerate(segments(n, allowed(n, edits) + 1))]
         for shorter in range(max(n - edits, edits + 1), n + 1):
-            more = n - shorter
-            for k, (a, b) in enumerate(segments(shorter, edits + 1)):
-                lo = max(a - k, a + more - (edits - k), 0)
-                hi = min(a + k, a + more + (edits - k), n - (b - a))
+            more, few = n - shorter, allowed(shorter, edits)
+            if not few or more > few:
+                continue
+            for k, (a, b) in enumerate(segments(shorter, few + 1)):
+                lo = max(a - k, a + more - (few - k), 0)
+                hi = min(a + k, a + more + (few - k), n - (b - a))
                 out += [(shorter, k, p, p + b - a) for p in range(lo, hi + 1) if (shorter, p) != (n, a)]
         _plans[n, edits] = out
     return _plans[n, edits]
@@ -149,7 +158,7 @@ def _first_lines(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _cells(least: int, edits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc_id, text) to (cell, lid) of each long line, once a batch; the lowest bit of lid is 1 where the cell is of a segment of its own."""
+    """Rows (doc_id, text) to (cell, lid) of each line that may have an edit, once a batch; the lowest bit of lid is 1 where the cell is of a segment of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_64_intdigest
@@ -160,15 +169,19 @@ def _cells(least: int, edits: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 lids: list[int] = []
                 for text in batch.slice(k, 2000).column("text"):
                     for _, line in long_lines(text.as_py(), least):
+                        n = len(line)
+                        own = allowed(n, edits) + 1
+                        if own == 1:
+                            continue
                         name = digest(line)
                         if name in seen:
                             continue
                         seen.add(name)
-                        lid, n = name[0] & -2, len(line)
+                        lid = name[0] & -2
                         for shorter, number, a, b in probes(n, edits):
                             cells.append(hashed(line[a:b], shorter * 64 + number))
                         plan = len(probes(n, edits))
-                        lids += [lid | 1] * (edits + 1) + [lid] * (plan - edits - 1)
+                        lids += [lid | 1] * own + [lid] * (plan - own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(cells, np.uint64).view(np.int64)), pa.array(lids, pa.int64())], ["cell", "lid"])
 
     return run
@@ -212,7 +225,7 @@ def name_of(h1: int, h2: int) -> bytes:
 
 
 def tree(lines: list[str], edits: int) -> list[tuple[int, int]]:
-    """Edges of trees over what is connected by at most ``edits`` edits; each line that was reached is compared with those that were not."""
+    """Edges of trees over what is connected by at most ``edits`` edits, fewer for short lines; each line that was reached is compared with those that were not."""
     counts = np.zeros((len(lines), 64), np.int16)
     for k, line in enumerate(lines):
         counts[k] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") % 64, minlength=64)
@@ -230,7 +243,7 @@ def tree(lines: list[str], edits: int) -> list[tuple[int, int]]:
                 return edges
             # An edit changes at most two counts by one.
             for j in rest[np.abs(counts[rest] - counts[i]).sum(1) <= 2 * edits].tolist():
-                if within(lines[i], lines[j], edits):
+                if within(lines[i], lines[j], allowed(min(len(lines[i]), len(lines[j])), edits)):
                     free[j] = False
                     edges.append((i, j))
                     queue.append(j)

@@ -151,6 +151,45 @@ def test_line_stage(spark, corpus):
     assert lines.stage_lines(spark, spark.read.parquet(f"{corpus([])}/documents.parquet"), path).collect() == []
 
 
+def test_short_lines_go_as_repeats(spark, corpus):
+    heading, menu, note = "Home | About", "see also the pages below", "read the whole page before use"
+    rows = [
+        (1, "\n".join([heading, menu, "", note, "x"])), (2, "\n".join([heading, menu + "s", "", note + "rs", "y"])), (3, "\n".join(["Home | Abouts", " " + heading, "x", "", "own"])),
+        (4, "\n".join([note[:-1] + "d", "x"])),
+    ]
+    path = corpus(rows)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs.select("doc_id", "text")).collect()}
+    # 12 code points: exact repeats only; 24 and 30: one edit; two edits in 30 stay; lines without text stay.
+    assert kept == {1: rows[0][1], 2: "\n" + note + "rs\ny", 3: "Home | Abouts\n\nown", 4: ""}
+    assert {r["doc_id"]: r["n_removed"] for r in lines.op7_line_dedup(spark, path).collect()} == {1: 0, 2: 2, 3: 2, 4: 2}
+    left = lines.stage_lines(spark, docs, path).collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {i: t for i, t in kept.items() if i != 4}
+
+
+def test_edits_shrink_with_the_length(spark, corpus):
+    rng = seeded(11)
+    texts = []
+    for n in [*range(12, 20), *range(28, 36)]:
+        base = "".join(rng.choice("abcdefgh ") for _ in range(n)).strip() or "a"
+        for edits in (0, 1, 1, 2, 2, 3):
+            line = base
+            for _ in range(edits):
+                p = rng.randrange(len(line))
+                line = line[:p] + rng.choice(["", "x", "yz"]) + line[p + rng.randint(0, 1) :]
+            texts.append(line.strip(" ") or "a")
+    rng.shuffle(texts)
+    names = list(dict.fromkeys(texts))
+    u = Union(range(len(names)))
+    for a in range(len(names)):
+        for b in range(a):
+            if edit_distance(names[a], names[b]) <= min(2, min(len(names[a]), len(names[b])) // 16):
+                u.join(a, b)
+    gone = {k for k, t in enumerate(texts) if names.index(t) != u.find(names.index(t)) or texts.index(t) < k}
+    got = {r["doc_id"]: r["n_removed"] for r in lines.op7_line_dedup(spark, corpus(list(enumerate(texts)))).collect()}
+    assert {k for k, n in got.items() if n} == gone and len(gone) > 20
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_repeats(spark, corpus, batches):
     rng = seeded(5)
