@@ -3,7 +3,10 @@
 Words are runs of letters, digits and characters beyond ASCII, lower-cased (A-Z), so
 punctuation and spacing don't matter. Items fall into size classes; for each class
 every document is covered by windows of that many words, ``1 / STEPS`` of a window
-apart and at each start. A window and an item have 64-bit SimHash fingerprints over
+apart and at each start, and at both ends by windows that are clipped to the text, down
+to ``SIMILAR`` of the class's shingles in the same steps; a text that is shorter than the
+window is one window as a whole. Clipped windows without an item's shingle nearby are
+left out before their fingerprints, as they have nothing to verify. A window and an item have 64-bit SimHash fingerprints over
 their five-word shingles. Fingerprints are cut into ``BLOCKS`` blocks of 16 bits; within
 ``RADIUS`` of an item at least one block is within RADIUS // BLOCKS bits of the item's, so
 a table of those neighbours for each block finds every fingerprint within the radius
@@ -24,6 +27,7 @@ like others. Empty tables give empty results. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -62,8 +66,10 @@ def _signs(shingles: np.ndarray, longest: int) -> np.ndarray:
     return out.reshape(-1, 64)[: len(shingles) + 1]
 
 
-def _fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    return np.packbits(sums[starts + size] - sums[starts] > size // 2, axis=1).view(_U).ravel()
+def _fingerprints(sums: np.ndarray, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """The fingerprints at ``starts``, of windows of one size or of a size each."""
+    half = np.asarray(size // 2, sums.dtype).reshape(-1, 1)
+    return np.packbits(sums[starts + size] - sums[starts] > half, axis=1).view(_U).ravel()
 
 
 def _regular(sums: np.ndarray, step: int, size: int) -> np.ndarray:
@@ -83,6 +89,17 @@ def _limits() -> list[int]:
     return [spare // BLOCKS + (b < spare % BLOCKS) for b in range(BLOCKS)]
 
 
+def _clipped(starts: np.ndarray, n: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the windows that reach past an end of texts of ``n`` shingles each, without what is past it."""
+    whole = np.flatnonzero((n > 0) & (n < size))
+    at, sizes = [starts[whole]], [n[whole]]
+    for part in range(size - step, math.ceil(SIMILAR * size) - 1, -step):
+        own = np.flatnonzero(n > part)
+        at += [starts[own], starts[own] + n[own] - part]
+        sizes.append(np.full(2 * len(own), part))
+    return np.concatenate(at), np.concatenate(sizes)
+
+
 class _Class:
     """Items of about one size, with the tables of their blocks."""
 
@@ -172,21 +189,28 @@ class Benchmark:
         for c in self.classes:
             m, step = c.size, max(1, c.size // STEPS)
             words_in = m + SHINGLE - 1
-            if len(words) < words_in:
-                continue
-            first = starts[starts <= len(words) - words_in]
-            at = np.concatenate((np.arange(0, len(words) - words_in + 1, step), first))
-            window, item, far = c.within(np.concatenate((_regular(sums, step, m), _fingerprints(sums, first, m))))
             longer = self.lengths[c.items] - words_in
-            a, text = at[window], text_of[at[window]]
+            at, prints = np.zeros(0, np.int64), np.zeros(0, _U)
+            if len(words) >= words_in:
+                first = starts[starts <= len(words) - words_in]
+                at = np.concatenate((np.arange(0, len(words) - words_in + 1, step), first))
+                prints = np.concatenate((_regular(sums, step, m), _fingerprints(sums, first, m)))
+            clipped, sizes = _clipped(starts, ends - starts - SHINGLE + 1, m, step)
+            near, text = step + int(longer.max()), text_of[clipped]
+            some = before[np.minimum(clipped + sizes + near, ends[text] - SHINGLE + 1)] > before[np.maximum(clipped - near, starts[text])]
+            clipped, sizes = clipped[some], sizes[some]
+            n = np.concatenate((np.full(len(at), m), sizes))
+            at = np.concatenate((at, clipped))
+            window, item, far = c.within(np.concatenate((prints, _fingerprints(sums, clipped, sizes))))
+            a, n, text = at[window], n[window], text_of[at[window]]
             lo = np.maximum(a - step - longer[item], starts[text])
-            hi = np.minimum(a + m + step + longer[item], ends[text] - SHINGLE + 1)
-            some = (text == text_of[a + words_in - 1]) & (before[np.maximum(hi, lo)] > before[lo])
+            hi = np.minimum(a + n + step + longer[item], ends[text] - SHINGLE + 1)
+            some = (text == text_of[a + n + SHINGLE - 2]) & (before[np.maximum(hi, lo)] > before[lo])
             tried = set()
-            for x, i, d, text_, f, z in zip(*(v[some].tolist() for v in (a, item, far, text, lo, hi)), strict=True):
+            for x, size, i, d, text_, f, z in zip(*(v[some].tolist() for v in (a, n, item, far, text, lo, hi)), strict=True):
                 k = int(c.items[i])
-                if (x, i) not in tried and found.get((text_, k), (0.0,))[0] < 1 - 1e-9:
-                    tried.add((x, i))
+                if (x, size, i) not in tried and found.get((text_, k), (0.0,))[0] < 1 - 1e-9:
+                    tried.add((x, size, i))
                     keep(text_, k, self._verify(sh, f, z, k), d, x - int(starts[text_]))
         for k in self.short:
             runs = windows(words, int(self.lengths[k]))

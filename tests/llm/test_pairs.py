@@ -265,6 +265,35 @@ def test_decontamination(spark, corpus):
     assert left == {d for d, _ in got}
 
 
+def test_decontamination_of_parts_at_the_ends(spark, corpus):
+    rng = seeded(12)
+    items = [(k, prose(rng, 55 + k)) for k in range(6)] + [(10 + k, prose(rng, 9)) for k in range(3)]
+    must, may, rows = set(), set(), []
+
+    def add(item, text, sure):
+        (must if sure else may).add((len(rows), item))
+        rows.append((len(rows), text))
+
+    for i, text in items:
+        w = text.split(" ")
+        add(i, " ".join(w[1:]), True)
+        add(i, " ".join(w[:-1]), True)
+        part = 1 + len(w) // 7
+        for own in (w[part:], w[:-part]):
+            add(i, " ".join(own), False)
+        add(i, prose(rng, 150) + " " + " ".join(w[:-part]), False)
+        add(i, " ".join(w[part:]) + " " + prose(rng, 150), False)
+        add(i, prose(rng, 10) + " " + " ".join(w[:-part]), False)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.op1_decontaminate(spark, corpus(rows, benchmark=items)).collect()}
+    grams = {i: {tuple(alnum(t)[k : k + 5]) for k in range(len(alnum(t)) - 4)} for i, t in items}
+    have = {d: {tuple(alnum(t)[k : k + 5]) for k in range(len(alnum(t)) - 4)} for d, t in rows}
+    share = {x: len(grams[x[1]] & have[x[0]]) / len(grams[x[1]]) for x in must | may}
+    may = {x for x in may if share[x] >= 0.75}
+    assert must <= set(got) <= must | may and len(must) == 18
+    assert len(may) > 25 and len(may & set(got)) >= 0.9 * len(may)
+    assert all(abs(got[x] - share[x]) < 1e-9 for x in got)
+
+
 def test_decontamination_of_nothing(spark, corpus):
     path = corpus([(1, "a b c d e f g")], benchmark=[])
     assert decontaminate.op1_decontaminate(spark, path).collect() == []
