@@ -17,7 +17,10 @@ it), is at least 0.75. An item of fewer than five words is one shingle.
 
 Documents are never shuffled; a hot source or thousands of copies cost what their words
 cost. The benchmark is read in blocks of at most ``ITEMS`` items; a larger benchmark takes
-further passes over the documents, so what a worker holds is bounded.
+further passes over the documents, so what a worker holds is bounded. How many items have
+a shingle and which lengths items have is found over the whole benchmark before, for the
+weights and the size classes, so results are the same at every block size and in every
+order of the items.
 
 Null and empty texts hold no item; null items and items without words are found nowhere.
 Equal documents are found alike, equal items each under its own id. Null ids are values
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import NOT_ALNUM, Words, as_bytes, fresh, table, windows
+from quillmatch.llm.shared import NOT_ALNUM, Words, as_bytes, fresh, stored, table, windows
 
 SHINGLE, SIMILAR = 5, 0.75
 RADIUS, BLOCKS, STEPS, RATIO = 18, 4, 8, 1.1
@@ -133,24 +136,46 @@ class _Class:
         return np.searchsorted(ends, ok, side="right") // BLOCKS, self.whose[place[ok]], far[ok]
 
 
-class Benchmark:
-    """Fingerprints, shingles and weights of a block of items."""
+def _shingles(text: str | None) -> tuple[np.ndarray, int]:
+    """(the distinct shingles of an item, how many words it has)."""
+    w = _words.hashes(np.frombuffer(as_bytes(text), np.uint8))
+    return (np.unique(windows(w, min(SHINGLE, len(w)))), len(w)) if len(w) else (w, 0)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, text, n) to (name, n, shingle, length), a row for each distinct shingle."""
+    for batch in batches:
+        found = [_shingles(t.as_py()) for t in batch.column("text")]
+        row = np.repeat(np.arange(len(found)), [len(s) for s, _ in found])
+        shingles = np.concatenate([s for s, _ in found]) if found else np.zeros(0, _U)
+        lengths = np.array([n for _, n in found], np.int64)
+        pick = pa.array(row)
+        yield pa.RecordBatch.from_arrays([batch.column("name").take(pick), batch.column("n").take(pick), pa.array(shingles.view(np.int64)), pa.array(lengths[row])], ["name", "n", "shingle", "length"])
 
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
-        self.ids, self.shingles, lengths = [], [], []
-        for item, text in items:
-            w = _words.hashes(np.frombuffer(as_bytes(text), np.uint8))
-            if len(w):
+
+def _sizes(lengths: list[int]) -> list[int]:
+    """The least length of each class, of the lengths of all items."""
+    sizes: list[int] = []
+    for n in sorted(lengths):
+        if n >= SHINGLE and (not sizes or n > sizes[-1] * RATIO):
+            sizes.append(n)
+    return sizes
+
+
+class Benchmark:
+    """Fingerprints, shingles and weights of a block of items: (id, text, the shingles that several items of the whole benchmark have and in how many)."""
+
+    def __init__(self, items: list[tuple[int | None, str | None, list[tuple[int, int]]]], sizes: list[int]) -> None:
+        self.ids, self.shingles, self.weight_of, lengths = [], [], [], []
+        for item, text, shared in items:
+            s, n = _shingles(text)
+            if n:
+                count = {x % (1 << 64): many for x, many in shared}
                 self.ids.append(item)
-                self.shingles.append(windows(w, min(SHINGLE, len(w))))
-                lengths.append(len(w))
-        count: dict[int, int] = defaultdict(int)
-        for s in self.shingles:
-            for x in set(s.tolist()):
-                count[x] += 1
-        self.shingles = [np.unique(s) for s in self.shingles]
-        self.weight_of = [{x: 1 / count[x] for x in s.tolist()} for s in self.shingles]
-        self.total = [sum(w.values()) for w in self.weight_of]
+                self.shingles.append(s)
+                self.weight_of.append({x: 1 / count.get(x, 1) for x in s.tolist()})
+                lengths.append(n)
+        self.total = [math.fsum(w.values()) for w in self.weight_of]
         self.short = [k for k, n in enumerate(lengths) if n < SHINGLE]
         self.lengths = np.array(lengths)
         every = np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, _U)
@@ -159,7 +184,7 @@ class Benchmark:
         self.classes = []
         order = [k for k in np.argsort(self.lengths, kind="stable").tolist() if lengths[k] >= SHINGLE]
         while order:
-            size = lengths[order[0]]
+            size = sizes[bisect_right(sizes, lengths[order[0]]) - 1]
             own = [k for k in order if lengths[k] <= size * RATIO]
             order = order[len(own) :]
             prints = np.concatenate([_fingerprints(_signs(s, len(s)), np.array([0]), len(s)) for s in (self.shingles[k] for k in own)])
@@ -170,7 +195,7 @@ class Benchmark:
         here = shingles[first:last]
         here = here[self.known[here & _LOW]]
         own = self.weight_of[k]
-        return sum(own[x] for x in set(here.tolist()) if x in own) / self.total[k]
+        return math.fsum(own[x] for x in set(here.tolist()) if x in own) / self.total[k]
 
     def search(self, words: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
         """Of texts put end to end, starting at ``starts``: (text, item) to (similarity, distance, first word)."""
@@ -223,17 +248,17 @@ class Benchmark:
 _built: dict[bytes, Benchmark] = {}
 
 
-def _benchmark(items: list[tuple[int | None, str | None]]) -> Benchmark:
+def _benchmark(items: list[tuple[int | None, str | None, list[tuple[int, int]]]], sizes: list[int]) -> Benchmark:
     """Tables are built by each worker process, once for the block it is at; only the items themselves travel."""
-    key = hashlib.blake2b(repr(items).encode("utf-8", "surrogatepass")).digest()
+    key = hashlib.blake2b(repr((items, sizes)).encode("utf-8", "surrogatepass")).digest()
     if key not in _built:
         _built.clear()
-        _built[key] = Benchmark(items)
+        _built[key] = Benchmark(items, sizes)
     return _built[key]
 
 
-def _search(bench: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    reach = int(bench.lengths.max()) if len(bench.lengths) else 0
+def _search(bench: Benchmark, reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``reach``: the words of the longest item of the whole benchmark."""
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         out: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -243,7 +268,7 @@ def _search(bench: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
         def flush() -> None:
             nonlocal held
-            if parts and reach:
+            if parts and bench.ids:
                 starts = np.cumsum([0, *map(len, parts)])[:-1]
                 for (text, k), (s, d, a) in bench.search(np.concatenate(parts), starts).items():
                     row, offset = rows[text]
@@ -282,12 +307,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
     """(doc_id, item_id, similarity, distance, first_word) of every document and item that it holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, out, block = docs.sparkSession, None, []
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.sha2("text", 256).alias("name"))
+    counted = stored(named.where("text is not null").groupBy("name").agg(F.first("text").alias("text"), F.count("*").alias("n")).mapInArrow(_counted, "name string, n long, shingle long, length long"))
+    lengths = [r["length"] for r in counted.select("length").distinct().collect()]
+    sizes, reach = _sizes(lengths), max(lengths, default=0)
+    several = counted.groupBy("shingle").agg(F.sum("n").alias("many")).where("many > 1")
+    shared = counted.join(several, "shingle").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("shingle", "many"))).alias("shared"))
 
     def passed(rows: list) -> DataFrame:
-        return docs.mapInArrow(lambda batches: _search(_benchmark(rows), batches), FOUND)
+        return docs.mapInArrow(lambda batches: _search(_benchmark(rows, sizes), reach, batches), FOUND)
 
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((row["item_id"], row["text"]))
+    for row in named.join(shared, "name", "left").select("item_id", "text", "shared").toLocalIterator():
+        block.append((row["item_id"], row["text"], [(x, many) for x, many in row["shared"] or ()]))
         if len(block) == items:
             found = passed(block)
             out, block = (found if out is None else out.union(found)), []

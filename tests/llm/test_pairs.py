@@ -294,6 +294,29 @@ def test_decontamination_of_parts_at_the_ends(spark, corpus):
     assert all(abs(got[x] - share[x]) < 1e-9 for x in got)
 
 
+def test_decontamination_is_the_same_at_every_block_size(spark):
+    rng = seeded(13)
+    items = []
+    for t in range(4):
+        template = prose(rng, 50)
+        items += [(10 * t + k, template + " " + prose(rng, 16)) for k in range(5)]
+        items += [(100 + 10 * t + k, prose(rng, 15) + " " + prose(rng, rng.randint(20, 70))) for k in range(3)]
+    items += [(200, items[0][1]), (None, items[1][1]), (201, "two words"), (202, "two words"), (203, None)]
+    rows = [(i, prose(rng, 30) + " " + t + " " + prose(rng, 30)) for i, t in items if t]
+    rows += [(500 + t, " ".join(items[8 * t][1].split(" ")[:50])) for t in range(4)]  # templates alone
+    rows += [(600 + t, " ".join(items[8 * t + 1][1].split(" ")[8:])) for t in range(4)] + [(700, prose(rng, 20_000) + " " + items[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def found(order, size):
+        benchmark = spark.createDataFrame(order, "item_id long, text string").coalesce(1)
+        return sorted(decontaminate.contaminated(docs, benchmark, items=size).collect(), key=repr)
+
+    whole = found(items, 100)
+    assert whole and not any(500 <= r["doc_id"] < 510 for r in whole if r["doc_id"] is not None)
+    for order, size in ((items, 1), (items[::-1], 7), (rng.sample(items, len(items)), 11)):
+        assert found(order, size) == whole
+
+
 def test_decontamination_of_nothing(spark, corpus):
     path = corpus([(1, "a b c d e f g")], benchmark=[])
     assert decontaminate.op1_decontaminate(spark, path).collect() == []
