@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quillmatch.llm import html, licenses, packing, quality, queries, tokens, warc
 
-from .brute import ODD, alnum, prose, seeded, words
+from .brute import ODD, alnum, edit_distance, prose, seeded, words
 
 
 def test_quality_measures(spark, corpus):
@@ -88,6 +88,36 @@ def test_pieces_guarantee_a_seed():
             assert any(p in "".join(text) for _, p in licenses.pieces(notice))
 
 
+def test_licenses_with_all_their_edits():
+    rng, scanner = seeded(14), licenses.Scanner()
+    for notice in (n for n in licenses.NOTICES if licenses.edits(n) > 4):
+        for k in range(licenses.edits(notice) + 1):
+            for ch in "qéЖ":
+                text = list(notice)
+                for p in rng.sample([i for i, x in enumerate(notice) if x != " " and 0 < i < len(notice) - 1], k):
+                    text[p] = ch
+                text = "".join(text)
+                got = scanner.scan(f"ünder zz {text} zz. Then zz {notice} zz")
+                assert got["labels"] == licenses.NOTICES[notice] and got["score"] == 1
+                assert [s["errors"] for s in got["spans"]] == [k, 0] and got["spans"][0]["first_word"] == 2
+                (s,) = scanner.scan(f"ünder zz {text} zz")["spans"]
+                assert (s["start"], s["end"], s["errors"]) == (9, 9 + len(notice), k)
+        text = notice[:10] + "#####" + notice[15:]
+        assert [x["errors"] for x in scanner.scan(f"{text.replace('#', 'é')} " * 3000)["spans"]] == [5] * 3000
+    (s,) = scanner.scan("réleaséd under the mit license")["spans"]
+    assert s["errors"] == 2 and s["label"] == "mit"
+
+
+def test_distances_of_notices():
+    rng = seeded(15)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé ") for _ in range(rng.randint(1, n))) for n in (8, 12))
+        ends = range(1, len(b) + 1)
+        masks = licenses._masks(a)
+        assert licenses.distances(masks, len(a), b, anchored=True) == [edit_distance(a, b[:e]) for e in ends]
+        assert licenses.distances(masks, len(a), b) == [min(edit_distance(a, b[s:e]) for s in range(e + 1)) for e in ends]
+
+
 TEXTS = [(0, "Hello world, hello  world \n x"), (1, " lead"), (2, "trail "), (3, "a<|endoftext|> b"), (4, "tab\t x  y"), (5, "  "), (6, "don't 12 34"), (7, "漢字 ñ 😀"), (9, " "), (8, "x" * 5000 + " y" * 3000), (10, prose(seeded(5), 60_000))]
 
 
