@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = LOCAL_FALLBACK
     return f"{base.rstrip('/')}/quillmatch-{uuid.uuid4().hex}"
 
 
@@ -24,22 +29,35 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``stored`` table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("quillmatch-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of ``edges``: root is the smallest node that can be reached.
 
     Minimum labels go along the edges and labels are then followed once (pointer
     jumping), so paths shorten by half in each round. Each round is a table in the
-    shared folder; the driver sees one count a round.
+    shared folder that replaces the one before; the driver sees one count a round. A
+    hub's edges are one key of a sort-merge join, which adaptive execution splits.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = stored(pairs.union(pairs.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    table = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
+        labels = table.select("node", "root")
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        lower = stored(lower)
+        lower = stored(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
         new = stored(lower.join(jump, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("was")).alias("moved")))
-        labels = new.select("node", "root")
+        discard(table)
+        discard(lower)
+        table = new
         if new.where("moved").isEmpty():
-            return labels
+            discard(both)
+            return new.select("node", "root")
