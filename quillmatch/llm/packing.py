@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import table
+from quillmatch.llm.shared import slices, table, tidy
 from quillmatch.llm.tokens import END, encoder, vocabulary_path
 
 LENGTH, POOL_TOKENS = 1024, 1 << 20
@@ -96,17 +96,17 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> Da
         from pyspark import TaskContext
 
         first, encode = TaskContext.get().partitionId() << 36, encoder(vocabulary, end)
-        pool: list[tuple[int | None, bytes]] = []
+        pool: list[tuple[int | None, np.ndarray]] = []
         held = 0
 
         def emit() -> pa.RecordBatch:
             nonlocal first, held
-            rows = pack([len(x) // 4 for _, x in pool])
+            rows = pack([len(x) for _, x in pool])
             table_ = np.array(rows, np.int64).reshape(-1, 5)
             d, start, length, sequence, offset = table_.T
-            sums = [zlib.crc32(memoryview(pool[i][1])[4 * a : 4 * (a + n)]) for i, a, n in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
+            sums = [zlib.crc32(pool[i][1][a : a + n]) for i, a, n in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
             ids = pa.array([x[0] for x in pool], pa.int64()).take(pa.array(d))
-            whole = np.array([len(x) // 4 for _, x in pool], np.int64)[d]
+            whole = np.array([len(x) for _, x in pool], np.int64)[d]
             out = pa.RecordBatch.from_arrays(
                 [ids, *[pa.array(x) for x in (start, length, np.array(sums, np.int64), whole, first + sequence, offset)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             )
@@ -116,17 +116,17 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> Da
             return out
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
-                    pool.append((doc, ids))
-                    held += len(ids) // 4
+            for part in slices(batch, rows=8000, most=4 << 20):
+                ids, n = encode.flat(part.column("text").to_pylist())
+                for doc, own in zip(part.column("doc_id").to_pylist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                    pool.append((doc, own))
+                    held += len(own)
                     if held >= POOL_TOKENS:
                         yield emit()
         if pool:
             yield emit()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, "tokens"), PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.operators.graph import components, shared_folder, stored
+from quillmatch.operators.graph import components, discard, shared_folder, stored
+
+__all__ = [
+    "NOT_ALNUM", "SPACES", "Words", "as_bytes", "bounds", "components", "discard", "fresh", "held", "keep_only", "read_buckets", "shared_folder", "slices", "sliding_min",
+    "sorted_runs", "stored", "table", "tidy", "windows", "write_buckets",
+]
+
+Batches = Iterator[pa.RecordBatch]
 
-__all__ = ["NOT_ALNUM", "SPACES", "Words", "as_bytes", "bounds", "components", "fresh", "shared_folder", "sliding_min", "sorted_runs", "stored", "table", "windows"]
 
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, with underscores before it until ``df`` has no column of that name."""
@@ -24,6 +33,76 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def write_buckets(rows: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """``rows`` as Parquet in buckets of a column, each sorted by it; rows that are dealt by the column already need no shuffle. Read back, they can be joined and grouped by it without one."""
+    entry = f"quillmatch_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(entry)
+    rows.sparkSession.sql(f"DROP TABLE {entry}")  # the files stay
+    return read_buckets(rows.sparkSession, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), key, buckets)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    entry = f"quillmatch_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {entry} ({schema}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS")
+    rows = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return rows
+
+
+# ---------------------------------------------------------------- what a worker process holds
+
+_held: dict[tuple, object] = {}
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library than glibc
+    _trim = None
+
+
+def held(owner: str, key: object, build: Callable[[], object]) -> object:
+    """What an operator keeps in a worker process from task to task: one value for each owner and key."""
+    if (owner, key) not in _held:
+        _held[owner, key] = build()
+    return _held[owner, key]
+
+
+def keep_only(owner: str | None, key: object = None) -> None:
+    """What other operators keep goes, and with a key what the owner keeps under others, so that a worker's memory doesn't add up over stages."""
+    gone = [k for k in _held if k[0] != owner or (key is not None and k[1] != key)]
+    for k in gone:
+        del _held[k]
+    if gone:
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system; allocators would keep it for a worker's next task."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run: Callable[[Batches], Batches], owner: str | None = None) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow, in a worker process that holds nothing of other operators and gives its memory back at the end."""
+
+    def task(batches: Batches) -> Batches:
+        keep_only(owner)
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 1000, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, each of at most so many rows and bytes of ``column``, but one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        end = min(max(end, at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Groups of consecutive equal ``key`` (a long without nulls) in a partition sorted by it, as tables that hold whole groups."""
     held: list[pa.Table] = []
@@ -57,6 +136,7 @@ def bounds(keys: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- words as hashes
 
 _U = np.uint64
+PART = 1 << 19  # bytes, or words, that are summed at a time
 _BASE, _BASE_W = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -116,24 +196,32 @@ class Words:
         return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
     def hashes(self, data: np.ndarray, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word; a word's doesn't depend on its place, so long texts go in parts."""
         starts, ends = spans if spans is not None else self.spans(data)
-        if not len(starts):
-            return np.zeros(0, _U)
-        up, down = _by_byte(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.values[data] * up[:-1], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+        out = np.empty(len(starts), _U)
+        k = 0
+        while k < len(starts):
+            stop = max(k + 1, int(np.searchsorted(ends, starts[k] + PART, side="right")))
+            lo, hi = int(starts[k]), int(ends[stop - 1])
+            up, down = _by_byte(hi - lo + 1)
+            sums = np.zeros(hi - lo + 1, _U)
+            np.cumsum(self.values[data[lo:hi]] * up[:-1], out=sums[1:])
+            a, b = starts[k:stop] - lo, ends[k:stop] - lo
+            out[k:stop] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(_U))
+            k = stop
+        return out
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` words."""
-    if len(words) < size:
-        return np.zeros(0, _U)
-    up, down = _by_word(len(words) + 1)
-    sums = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * up[:-1], out=sums[1:])
-    return mixed((sums[size:] - sums[:-size]) * down[: len(words) - size + 1])
+    out = np.empty(max(len(words) - size + 1, 0), _U)
+    for k in range(0, len(out), PART):
+        own = words[k : k + PART + size - 1]
+        up, down = _by_word(len(own) + 1)
+        sums = np.zeros(len(own) + 1, _U)
+        np.cumsum(own * up[:-1], out=sums[1:])
+        out[k : k + PART] = mixed((sums[size:] - sums[:-size]) * down[: len(own) - size + 1])
+    return out
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
