@@ -25,9 +25,12 @@ def families(rng):
     return rows + ODD
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_jaccard_components(spark, corpus, monkeypatch, block):
+@pytest.mark.parametrize(("block", "cells"), [(1 << 19, 16), (1 << 19, 1), (1000, 16)])
+def test_jaccard_components(spark, corpus, monkeypatch, block, cells):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", jaccard.BLOCK_SHINGLES if block > 1000 else 700)
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    monkeypatch.setattr(jaccard, "FREQUENT", 5 if cells == 1 else jaccard.FREQUENT)
     rows = [r for r in families(seeded(1)) if r[0] is not None]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op8_jaccard(spark, corpus(rows)).collect()}
     sets = {i: shingles(t) for i, t in rows}
@@ -75,14 +78,41 @@ def test_regions_split_and_join_exactly():
                 assert got.find(i) == got.find(j)
 
 
+def test_bits_bound_symmetric_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (3, 900, 1000, 1100, 2100, 5000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sets += [np.unique(np.concatenate((base[: int(n * share)], rng.integers(0, 1 << 63, int(n * (1 - share) * 0.9), dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))) for share in (1, 0.95, 0.85, 0.5, 0)]
+    sizes = np.array([len(s) for s in sets])
+    x = jaccard._Bits([jaccard._bits(s) for s in sets], sizes)
+    passed = linked = 0
+    for i in range(len(sets)):
+        near = set(x.near(i, np.arange(len(sets))).tolist())
+        for j in range(len(sets)):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * c >= 75 * (sizes[i] + sizes[j] - c):
+                assert j in near
+                linked += 1
+            gap = jaccard._gap(jaccard._bits(sets[i]), jaccard._bits(sets[j]))
+            assert gap <= sizes[i] + sizes[j] - 2 * c and (j in near) == (7 * max(gap, abs(sizes[i] - sizes[j])) <= sizes[i] + sizes[j])
+        passed += len(near)
+    assert linked > len(sets) and passed < 2 * linked
+
+
 def test_near_duplicate_stage_keeps_one_of_each(spark, corpus):
     rng = seeded(2)
     base = prose(rng, 100)
-    path = corpus([(5, base), (2, changed(rng, base, 2)), (9, prose(rng, 50)), (9, "other text of one id"), (7, None), (8, ""), (4, "twin"), (4, "twin")])
-    docs = spark.read.parquet(f"{path}/documents.parquet")
-    out = jaccard.stage_near_duplicates(spark, docs, path)
-    assert out.columns == docs.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == [2, 4, 7, 8, 9, 9]
+    rows = [(5, base), (2, changed(rng, base, 2)), (9, prose(rng, 50)), (9, "other text of one id"), (7, None), (8, "")]
+    twins = [(4, "Twin one"), (4, "twin one"), (4, "Twin one"), (None, "no id"), (None, "No id"), (None, "third of them"), (12, "third of them"), (12, "\t")]
+    for more, want in (([], []), (twins, [4, None, 12, 12])):
+        path = corpus([*rows, *more, (7, None), (7, None), (None, None)])
+        docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"_id": F.lit(1), "_node": F.array(F.lit("x")), "node": F.struct(F.lit(2).alias("a"))})
+        out = jaccard.stage_near_duplicates(spark, docs, path)
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted([2, 7, 7, 7, 8, 9, 9, None, *want], key=repr)
 
 
 def line_rows(rng):
@@ -167,6 +197,29 @@ def test_short_lines_go_as_repeats(spark, corpus):
     assert {r["doc_id"]: r["text"] for r in left} == {i: t for i, t in kept.items() if i != 4}
 
 
+def test_lines_of_null_and_equal_ids(spark, corpus):
+    one, two, three = (f"line number {x} that is long enough for two edits" for x in ("one", "two", "three"))
+    rows = [(1, one), (5, two), (5, one), (None, three), (None, three + "\n" + two), (None, three), (9, None), (9, three + "s")]
+    path = corpus(rows)
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"_hash": F.lit("x"), "_id": F.col("doc_id"), "hash": F.array(F.lit(1))})
+    got = lines.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    nulls = [t for i, t in left if i is None]
+    assert [x for x in left if x[0] is not None] == [(1, one), (5, ""), (5, ""), (9, ""), (9, None)]
+    # Equal rows are one document and stay equal; which of the other null rows comes first is its hash's matter.
+    assert sum(three in t for t in nulls) in (1, 2) and sum(two in t for t in nulls) == 1
+    assert sorted(t for t in nulls if two not in t)[0] == sorted(t for t in nulls if two not in t)[-1]
+
+
+def test_lines_of_long_texts(spark, corpus):
+    rng = seeded(21)
+    often = "a line that every text repeats many times over"
+    rows = [(k, "\n".join([often] * 3000 + [prose(rng, 12) for _ in range(2000)])) for k in range(3)] + [(3, "x" * 3_000_000), (4, "x" * 3_000_000)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.op7_line_dedup(spark, corpus(rows)).collect()}
+    assert got == {0: (5000, 2999), 1: (5000, 3000), 2: (5000, 3000), 3: (1, 0), 4: (1, 1)}
+
+
 def test_edits_shrink_with_the_length(spark, corpus):
     rng = seeded(11)
     texts = []
@@ -190,42 +243,72 @@ def test_edits_shrink_with_the_length(spark, corpus):
     assert {k for k, n in got.items() if n} == gone and len(gone) > 20
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_repeats(spark, corpus, batches):
-    rng = seeded(5)
-    shared = [prose(rng, n) for n in (34, 35, 36, 90)]
-    rows = [(k, " ".join([prose(rng, rng.randint(0, 50)), rng.choice(shared), prose(rng, rng.randint(0, 50)), rng.choice(shared)])) for k in range(30)]
-    twice = prose(rng, 40)
-    rows += [(50, twice + " x " + twice), (51, prose(rng, 300)), (52, rows[3][1]), (53, rows[3][1]), (54, "a " * 200), (55, prose(rng, 30_000)), (56, shared[2].upper()), *ODD]
-    path = corpus(rows)
-    docs = spark.read.parquet(f"{path}/documents.parquet")
-    found = {}
-    for r in substrings.remove_repeats(docs, batches=batches).collect():
-        found.setdefault(r["doc_id"], set()).add((r["n_words"], r["n_removed"], r["kept_sha256"]))
-    count, split = {}, [(i, words(t)) for i, t in rows]
-    for _, w in split:
+def repeats_by_hand(rows, earlier=()):
+    """(n_words, n_removed, kept_sha256) of each row, judged on all rows and the earlier ones."""
+    count, split = {}, [words(t) for _, t in rows]
+    for w in [*split, *[words(t) for _, t in earlier]]:
         for k in range(len(w) - 34):
             count[tuple(w[k : k + 35])] = count.get(tuple(w[k : k + 35]), 0) + 1
-    want = {}
-    for i, w in split:
+    out = []
+    for (i, _), w in zip(rows, split, strict=True):
         gone = [False] * len(w)
         for k in range(len(w) - 34):
             if count[tuple(w[k : k + 35])] > 1:
                 gone[k : k + 35] = [True] * 35
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        want.setdefault(i, set()).add((len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    assert found == want
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def repeat_rows(rng):
+    shared = [prose(rng, n) for n in (34, 35, 36, 90)]
+    rows = [(k, " ".join([prose(rng, rng.randint(0, 50)), rng.choice(shared), prose(rng, rng.randint(0, 50)), rng.choice(shared)])) for k in range(30)]
+    twice = prose(rng, 40)
+    rows += [(50, twice + " x " + twice), (51, prose(rng, 300)), (52, rows[3][1]), (53, rows[3][1]), (54, "a " * 200), (55, prose(rng, 30_000)), (56, shared[2].upper()), *ODD]
+    return rows + [(60, rows[5][1]), (60, prose(rng, 80)), (None, rows[6][1]), (None, rows[6][1]), (None, prose(rng, 70))]
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_repeats(spark, corpus, batches):
+    rows = repeat_rows(seeded(5))
+    docs = spark.read.parquet(f"{corpus(rows)}/documents.parquet")
+    assert sorted(map(tuple, substrings.remove_repeats(docs, batches=batches).collect()), key=repr) == repeats_by_hand(rows)
+
+
+def test_repeats_of_later_calls(spark, tmp_path):
+    rng = seeded(16)
+    rows = repeat_rows(rng)
+    passage = prose(rng, 60)
+    calls = [rows[:20], [*rows[20:], (70, prose(rng, 30) + " " + passage)], [(80, passage + " " + prose(rng, 50)), (81, rows[2][1]), (82, prose(rng, 60)), (83, None)]]
+    folder, earlier = f"file://{tmp_path}/index", []
+    for own in calls:
+        index = substrings.FingerprintIndex(spark, folder, buckets=3)  # opened again each time
+        assert len(index.texts) == len({id(x) for x in calls if x is not own and calls.index(x) < calls.index(own)})
+        docs = spark.createDataFrame(own, "doc_id long, text string")
+        got = sorted(map(tuple, substrings.remove_repeats(docs, index).collect()), key=repr)
+        assert got == repeats_by_hand(own, earlier)
+        earlier += own
+    last = dict((r[0], r) for r in got)
+    assert last[80][2] == 60 and last[81][2] == last[81][1] and last[82][2] == 0
+    index.compact()
+    index.commit()
+    assert len(substrings.FingerprintIndex(spark, folder).runs) == 1
 
 
 def test_index_runs(spark):
-    index = substrings.FingerprintIndex(spark)
-    one = spark.createDataFrame([(1,), (2,), (2,)], "fp long")
-    two = spark.createDataFrame([(1,), (3,)], "fp long")
-    assert {r["fp"] for r in index.append(one).collect()} == {2}
-    assert {r["fp"] for r in index.append(two).collect()} == {1}
+    index = substrings.FingerprintIndex(spark, buckets=4)
+    one = spark.createDataFrame([(1, 7, 1), (2, 7, 1), (2, 8, 1), (5, 8, 2)], "fp long, lid long, n int")
+    two = spark.createDataFrame([(1, 9, 1), (3, 9, 1)], "fp long, lid long, n int")
+    assert {r["fp"] for r in index.append(one).collect()} == {2, 5}
+    found = index.append(two)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["fp"] for r in found.collect()} == {1}
+    assert {(r["lid"], tuple(r["hot"])) for r in index.holders(found).collect()} == {(7, (1,)), (9, (1,))}
     assert len(index.runs) == 2
+    merged = index.run(index.runs[0]).union(index.run(index.runs[1])).sortWithinPartitions("fp")
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
     index.compact()
-    assert len(index.runs) == 1 and {(r["fp"], r["n"]) for r in index.counts().collect()} == {(1, 2), (2, 2), (3, 1)}
+    assert len(index.runs) == 1 and sorted(map(tuple, index.run(index.runs[0]).collect())) == [(1, 7, 1), (1, 9, 1), (2, 7, 1), (2, 8, 1), (3, 9, 1), (5, 8, 2)]
 
 
 def test_decontamination(spark, corpus):
@@ -317,6 +400,25 @@ def test_decontamination_is_the_same_at_every_block_size(spark):
         assert found(order, size) == whole
 
 
+def test_shards_and_one_scan(spark, corpus, monkeypatch):
+    import pyarrow as pa
+
+    rng = seeded(22)
+    items = [(k, prose(rng, 30 + k % 3)) for k in range(30)]
+    rows = [(k, prose(rng, 100) + " " + items[k % 30][1]) for k in range(60)]
+    path = corpus(rows, benchmark=items)
+    docs, benchmark = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "benchmark"))
+    found = decontaminate.contaminated(docs, benchmark)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    whole = sorted(map(tuple, found.collect()))
+    assert len(whole) == 60
+    monkeypatch.setattr(decontaminate, "SHARD", 7)
+    search = decontaminate._Search(decontaminate.Benchmark([(i, t, []) for i, t in items], [30, 32]))
+    search.add([i for i, _ in rows], pa.array([t for _, t in rows]))
+    got = search.results().to_pylist()
+    assert [(r["doc_id"], r["item_id"], r["first_word"]) for r in got] == [(d, i, a) for d, i, _, _, a in whole]
+
+
 def test_decontamination_of_nothing(spark, corpus):
     path = corpus([(1, "a b c d e f g")], benchmark=[])
     assert decontaminate.op1_decontaminate(spark, path).collect() == []
