@@ -3,24 +3,27 @@
 Words are runs of letters, digits and characters beyond ASCII, lower-cased (A-Z), so
 punctuation and spacing don't matter. Items fall into size classes; for each class
 every document is covered by windows of that many words, ``1 / STEPS`` of a window
-apart and at each start, and at both ends by windows that are clipped to the text, down
-to ``SIMILAR`` of the class's shingles in the same steps; a text that is shorter than the
-window is one window as a whole. Clipped windows without an item's shingle nearby are
-left out before their fingerprints, as they have nothing to verify. A window and an item have 64-bit SimHash fingerprints over
-their five-word shingles. Fingerprints are cut into ``BLOCKS`` blocks of 16 bits; within
-``RADIUS`` of an item at least one block is within RADIUS // BLOCKS bits of the item's, so
-a table of those neighbours for each block finds every fingerprint within the radius
-(pigeonhole), and nothing else is compared. What passes is verified exactly: the weight
-of the item's shingles found in the text around the window (one window step either way)
-over the weight of all the item's shingles, where a shingle weighs 1 / (items that have
-it), is at least 0.75. An item of fewer than five words is one shingle.
+apart from its start on, by one at its end, and at both ends by windows that are clipped to
+the text, down to ``SIMILAR`` of the class's shingles in the same steps; a text that is
+shorter than the window is one window as a whole. Windows without any shingle of an item
+in the text around them have nothing to verify and are left out before their fingerprints.
+A window and an item have 64-bit SimHash fingerprints over their five-word shingles.
+Fingerprints are cut into ``BLOCKS`` blocks of 16 bits; within ``RADIUS`` of an item at least
+one block is within RADIUS // BLOCKS bits of the item's, so a table of those neighbours for
+each block finds every fingerprint within the radius (pigeonhole), and nothing else is
+compared. What passes is verified exactly: the weight of the item's shingles found in the
+text around the window (one window step either way) over the weight of all the item's
+shingles, where a shingle weighs 1 / (items that have it), is at least 0.75. An item of
+fewer than five words is one shingle.
 
 Documents are never shuffled; a hot source or thousands of copies cost what their words
-cost. The benchmark is read in blocks of at most ``ITEMS`` items; a larger benchmark takes
-further passes over the documents, so what a worker holds is bounded. How many items have
-a shingle and which lengths items have is found over the whole benchmark before, for the
-weights and the size classes, so results are the same at every block size and in every
-order of the items.
+cost. One pass over the documents serves up to ``ITEMS`` items and ``ITEM_BYTES`` of their
+texts, which are broadcast (so the broadcast's size has a bound); a larger benchmark takes
+further passes. In a pass a worker first collects the few windows that have something to
+verify, then looks them up in the neighbour tables of ``SHARD`` items at a time, so what it
+holds is bounded too. How many items have a shingle and which lengths items have is found
+over the whole benchmark before, for the weights and the size classes, so results are the
+same for every size of passes and shards and in every order of items and documents.
 
 Null and empty texts hold no item; null items and items without words are found nowhere.
 Equal documents are found alike, equal items each under its own id. Null ids are values
@@ -36,20 +39,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import NOT_ALNUM, Words, as_bytes, fresh, stored, table, windows
+from quillmatch.llm.shared import NOT_ALNUM, Words, as_bytes, fresh, held, keep_only, slices, stored, table, tidy, windows
 
 SHINGLE, SIMILAR = 5, 0.75
 RADIUS, BLOCKS, STEPS, RATIO = 18, 4, 8, 1.1
-ITEMS = 2000  # their tables take about 120 KB each
-CHUNK, ROWS = 1 << 14, 128
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
+SHARD = 500  # items; their tables take about 120 KB each
+PENDING, CHUNK, ROWS = 200_000, 1 << 17, 128  # windows that wait for a look-up, shingles that are summed at a time, rows of a tile
 _U = np.uint64
-_LOW = _U((1 << 20) - 1)
 _BLOCK = np.arange(BLOCKS) << 16
 _words = Words(NOT_ALNUM, lower=True)
 FOUND = "doc_id long, item_id long, similarity double, distance int, first_word long"
+Item = tuple[int | None, str | None, list[tuple[int, int]]]
 
 
 def _signs(shingles: np.ndarray, longest: int) -> np.ndarray:
@@ -69,15 +74,28 @@ def _signs(shingles: np.ndarray, longest: int) -> np.ndarray:
     return out.reshape(-1, 64)[: len(shingles) + 1]
 
 
-def _fingerprints(sums: np.ndarray, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
-    """The fingerprints at ``starts``, of windows of one size or of a size each."""
-    half = np.asarray(size // 2, sums.dtype).reshape(-1, 1)
-    return np.packbits(sums[starts + size] - sums[starts] > half, axis=1).view(_U).ravel()
-
-
-def _regular(sums: np.ndarray, step: int, size: int) -> np.ndarray:
-    """The fingerprints at 0, ``step``, 2 * ``step`` and so on, from views without copies."""
-    return np.packbits(sums[size::step] - sums[: len(sums) - size : step] > size // 2, axis=1).view(_U).ravel()
+def _fingerprints(shingles: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The fingerprints of the windows of so many shingles ``at`` these places; only shingles in windows are summed."""
+    out = np.zeros(len(at), _U)
+    if not len(at):
+        return out
+    order = np.argsort(at, kind="stable")
+    at, size = at[order], size[order]
+    ends = np.maximum.accumulate(at + size)
+    new = np.flatnonzero(np.concatenate(([True], at[1:] > ends[:-1])))
+    hi = np.append(ends[new[1:] - 1], ends[-1])  # where what the windows cover ends
+    longest = int(size.max())
+    prints = np.zeros(len(at), _U)
+    for k, (first, last) in enumerate(zip(new.tolist(), np.append(new[1:], len(at)).tolist(), strict=True)):
+        while first < last:  # a long stretch goes in parts
+            a = int(at[first])
+            stop = max(first + 1, int(np.searchsorted(at[:last], a + CHUNK)))
+            sums = _signs(shingles[a : min(int(ends[stop - 1]), int(hi[k]))], longest)
+            x, n = at[first:stop] - a, size[first:stop]
+            prints[first:stop] = np.packbits(sums[x + n] - sums[x] > (n // 2).astype(sums.dtype)[:, None], axis=1).view(_U).ravel()
+            first = stop
+    out[order] = prints
+    return out
 
 
 def _near(bits: int) -> np.ndarray:
@@ -162,166 +180,224 @@ def _sizes(lengths: list[int]) -> list[int]:
     return sizes
 
 
+class _Filter:
+    """Places of shingles that are among the known ones: two tables of bits, then the sorted shingles themselves."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known, self.bits = known, min(24, max(16, len(known).bit_length() + 6))
+        self.mask = _U((1 << self.bits) - 1)
+        self.low, self.high = np.zeros(1 << self.bits, bool), np.zeros(1 << self.bits, bool)
+        self.low[known & self.mask] = True
+        self.high[known >> _U(self.bits) & self.mask] = True
+
+    def places(self, shingles: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.low[shingles & self.mask])
+        at = at[self.high[shingles[at] >> _U(self.bits) & self.mask]]
+        if not len(at):
+            return at
+        return at[self.known[np.minimum(np.searchsorted(self.known, shingles[at]), len(self.known) - 1)] == shingles[at]]
+
+
 class Benchmark:
-    """Fingerprints, shingles and weights of a block of items: (id, text, the shingles that several items of the whole benchmark have and in how many)."""
+    """The items of a pass: (id, text, the shingles that several items of the whole benchmark have and in how many), with their classes."""
 
-    def __init__(self, items: list[tuple[int | None, str | None, list[tuple[int, int]]]], sizes: list[int]) -> None:
-        self.ids, self.shingles, self.weight_of, lengths = [], [], [], []
+    def __init__(self, items: list[Item], sizes: list[int]) -> None:
+        self.ids, self.shingles, self.weights, lengths = [], [], [], []
         for item, text, shared in items:
             s, n = _shingles(text)
             if n:
-                count = {x % (1 << 64): many for x, many in shared}
+                weight = np.ones(len(s))
+                if shared:
+                    weight[np.searchsorted(s, np.array([x % (1 << 64) for x, _ in shared], _U))] = [1 / many for _, many in shared]
                 self.ids.append(item)
                 self.shingles.append(s)
-                self.weight_of.append({x: 1 / count.get(x, 1) for x in s.tolist()})
+                self.weights.append(weight)
                 lengths.append(n)
-        self.total = [math.fsum(w.values()) for w in self.weight_of]
+        self.total = [math.fsum(w.tolist()) for w in self.weights]
+        self.lengths = np.array(lengths, np.int64)
         self.short = [k for k, n in enumerate(lengths) if n < SHINGLE]
-        self.lengths = np.array(lengths)
-        every = np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, _U)
-        self.known = np.zeros(int(_LOW) + 1, bool)  # by the low bits of a shingle: whether an item may have it
-        self.known[every & _LOW] = True
-        self.classes = []
-        order = [k for k in np.argsort(self.lengths, kind="stable").tolist() if lengths[k] >= SHINGLE]
-        while order:
-            size = sizes[bisect_right(sizes, lengths[order[0]]) - 1]
-            own = [k for k in order if lengths[k] <= size * RATIO]
-            order = order[len(own) :]
-            prints = np.concatenate([_fingerprints(_signs(s, len(s)), np.array([0]), len(s)) for s in (self.shingles[k] for k in own)])
-            self.classes.append(_Class(size - SHINGLE + 1, prints, np.array(own)))
-
-    def _verify(self, shingles: np.ndarray, first: int, last: int, k: int) -> float:
-        """The part of item k's weight that stands among these shingles."""
-        here = shingles[first:last]
-        here = here[self.known[here & _LOW]]
-        own = self.weight_of[k]
-        return math.fsum(own[x] for x in set(here.tolist()) if x in own) / self.total[k]
-
-    def search(self, words: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
-        """Of texts put end to end, starting at ``starts``: (text, item) to (similarity, distance, first word)."""
-        found: dict[tuple[int, int], tuple[float, int, int]] = {}
-        sh = windows(words, SHINGLE)
-        sums = _signs(sh, max((c.size for c in self.classes), default=0))
-        ends = np.concatenate((starts[1:], [len(words)]))
-        text_of = np.repeat(np.arange(len(starts)), ends - starts)
-
-        def keep(text: int, k: int, similarity: float, distance: int, at: int) -> None:
-            if similarity >= SIMILAR - 1e-9 and similarity > found.get((text, k), (0.0,))[0]:
-                found[text, k] = (similarity, distance, at)
-
-        # How many shingles before each that an item may have; text around a window without any has no weight of an item.
-        before = np.concatenate(([0], np.cumsum(self.known[sh & _LOW])))
-        for c in self.classes:
-            m, step = c.size, max(1, c.size // STEPS)
-            words_in = m + SHINGLE - 1
-            longer = self.lengths[c.items] - words_in
-            at, prints = np.zeros(0, np.int64), np.zeros(0, _U)
-            if len(words) >= words_in:
-                first = starts[starts <= len(words) - words_in]
-                at = np.concatenate((np.arange(0, len(words) - words_in + 1, step), first))
-                prints = np.concatenate((_regular(sums, step, m), _fingerprints(sums, first, m)))
-            clipped, sizes = _clipped(starts, ends - starts - SHINGLE + 1, m, step)
-            near, text = step + int(longer.max()), text_of[clipped]
-            some = before[np.minimum(clipped + sizes + near, ends[text] - SHINGLE + 1)] > before[np.maximum(clipped - near, starts[text])]
-            clipped, sizes = clipped[some], sizes[some]
-            n = np.concatenate((np.full(len(at), m), sizes))
-            at = np.concatenate((at, clipped))
-            window, item, far = c.within(np.concatenate((prints, _fingerprints(sums, clipped, sizes))))
-            a, n, text = at[window], n[window], text_of[at[window]]
-            lo = np.maximum(a - step - longer[item], starts[text])
-            hi = np.minimum(a + n + step + longer[item], ends[text] - SHINGLE + 1)
-            some = (text == text_of[a + n + SHINGLE - 2]) & (before[np.maximum(hi, lo)] > before[lo])
-            tried = set()
-            for x, size, i, d, text_, f, z in zip(*(v[some].tolist() for v in (a, n, item, far, text, lo, hi)), strict=True):
-                k = int(c.items[i])
-                if (x, size, i) not in tried and found.get((text_, k), (0.0,))[0] < 1 - 1e-9:
-                    tried.add((x, size, i))
-                    keep(text_, k, self._verify(sh, f, z, k), d, x - int(starts[text_]))
-        for k in self.short:
-            runs = windows(words, int(self.lengths[k]))
-            for a in np.flatnonzero(runs == self.shingles[k][0]).tolist():
-                if text_of[a] == text_of[a + self.lengths[k] - 1]:
-                    keep(int(text_of[a]), k, 1.0, 0, a - int(starts[text_of[a]]))
-        return found
-
-
-_built: dict[bytes, Benchmark] = {}
-
-
-def _benchmark(items: list[tuple[int | None, str | None, list[tuple[int, int]]]], sizes: list[int]) -> Benchmark:
-    """Tables are built by each worker process, once for the block it is at; only the items themselves travel."""
-    key = hashlib.blake2b(repr((items, sizes)).encode("utf-8", "surrogatepass")).digest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = Benchmark(items, sizes)
-    return _built[key]
-
-
-def _search(bench: Benchmark, reach: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``reach``: the words of the longest item of the whole benchmark."""
-    for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        out: dict[tuple[int, int], tuple[float, int, int]] = {}
-        parts: list[np.ndarray] = []
-        rows: list[tuple[int, int]] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal held
-            if parts and bench.ids:
-                starts = np.cumsum([0, *map(len, parts)])[:-1]
-                for (text, k), (s, d, a) in bench.search(np.concatenate(parts), starts).items():
-                    row, offset = rows[text]
-                    if s > out.get((row, k), (0.0,))[0]:
-                        out[row, k] = (s, d, a + offset)
-            parts.clear()
-            rows.clear()
-            held = 0
-
-        for row, text in enumerate(batch.column("text")):
-            w = _words.hashes(np.frombuffer(as_bytes(text.as_py()), np.uint8))
-            # A long text goes in chunks that overlap by more than an item and a step.
-            for k in range(0, max(len(w), 1), CHUNK):
-                piece = w[k : k + CHUNK + 2 * reach]
-                if len(piece):
-                    parts.append(piece)
-                    rows.append((row, k))
-                    held += len(piece)
-                if held >= CHUNK:
-                    flush()
-        flush()
-        keys = sorted(out)
-        yield pa.RecordBatch.from_arrays(
+        long_ = [k for k, n in enumerate(lengths) if n >= SHINGLE]
+        self.filter = _Filter(np.unique(np.concatenate([self.shingles[k] for k in long_]))) if long_ else None
+        self.classes: list[tuple[int, list[int]]] = []  # (shingles of a window, items)
+        of: dict[int, list[int]] = {}
+        for k in long_:
+            of.setdefault(sizes[bisect_right(sizes, lengths[k]) - 1], []).append(k)
+        self.classes = [(size - SHINGLE + 1, of[size]) for size in sorted(of)]
+        self.prints = {k: _fingerprints(self.shingles[k], np.array([0]), np.array([len(self.shingles[k])]))[0] for k in long_}
+        self.tables: dict[tuple[int, int], _Class] = {}
+
+    def table(self, number: int, shard: int) -> _Class:
+        """The neighbours of a shard of a class; those of one shard of the pass are kept."""
+        if (number, shard) not in self.tables:
+            if sum(len(items) for _, items in self.classes) > SHARD:
+                self.tables.clear()
+            size, items = self.classes[number]
+            own = items[shard : shard + SHARD]
+            self.tables[number, shard] = _Class(size, np.array([self.prints[k] for k in own], _U), np.array(own))
+        return self.tables[number, shard]
+
+    def similarity(self, here: np.ndarray, k: int) -> float:
+        """The part of item k's weight that is among these shingles."""
+        own = self.shingles[k]
+        here = np.unique(here)
+        at = np.minimum(np.searchsorted(own, here), len(own) - 1)
+        return math.fsum(self.weights[k][at[own[at] == here]].tolist()) / self.total[k]
+
+
+def _windows_near(hits: np.ndarray, starts: np.ndarray, n: np.ndarray, size: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, size, text) of a class's windows with one of the ``hits`` in them or ``near`` them, in texts that start at ``starts`` and have ``n`` shingles."""
+    step = max(1, size // STEPS)
+    text = np.searchsorted(starts, hits, side="right") - 1
+    at, s = hits - starts[text], starts[text]
+    lo = np.maximum(-(-(at - near - size + 1) // step), 0)
+    hi = np.minimum((at + near) // step, (n[text] - size) // step)
+    many = np.maximum(hi - lo + 1, 0)
+    steps = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    whole = np.unique(np.repeat(s, many) + steps * step)
+    own = np.unique(text)
+    last = own[n[own] > size]
+    clipped, sizes = _clipped(starts[own], n[own], size, step)
+    places = np.concatenate((whole, starts[last] + n[last] - size, clipped))
+    sizes = np.concatenate((np.full(len(whole) + len(last), size), sizes))
+    text = np.searchsorted(starts, places, side="right") - 1
+    some = np.searchsorted(hits, np.minimum(places + sizes + near, starts[text] + n[text])) > np.searchsorted(hits, np.maximum(places - near, starts[text]))
+    return places[some], sizes[some], text[some]
+
+
+class _Search:
+    """Collects what of documents has something to verify, and looks it up when there is enough."""
+
+    def __init__(self, bench: Benchmark) -> None:
+        self.bench = bench
+        self.clear()
+
+    def clear(self) -> None:
+        self.docs: list[tuple[int | None, np.ndarray, np.ndarray]] = []  # id, places and shingles of hits
+        self.found: dict[tuple[int, int], tuple[float, int, int]] = {}  # (document, item): (similarity, -distance, -first word)
+        self.waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}  # by class: (prints, place, size, document)
+        self.many = 0
+
+    def keep(self, doc: int, k: int, similarity: float, distance: int, first: int) -> None:
+        new = (similarity, -distance, -first)
+        if similarity >= SIMILAR - 1e-9 and new > self.found.get((doc, k), (0.0, 0, 0)):
+            self.found[doc, k] = new
+
+    def add(self, ids: list[int | None], texts: pa.Array) -> None:
+        raw = [as_bytes(t.as_py()) for t in texts]
+        data = np.frombuffer(b"\n".join(raw), np.uint8)
+        spans = _words.spans(data)
+        words = _words.hashes(data, spans)
+        first = np.searchsorted(spans[0], np.cumsum([0, *[len(x) + 1 for x in raw]]))  # of each text, its first word
+        starts, n = first[:-1], np.diff(first)
+        some = n > 0
+        starts, n, ids = starts[some], n[some], [i for i, x in zip(ids, some.tolist(), strict=True) if x]
+        numbers: dict[int, int] = {}
+
+        def document(text: int) -> int:
+            if text not in numbers:
+                numbers[text] = len(self.docs)
+                self.docs.append((ids[text], np.zeros(0, np.int64), np.zeros(0, _U)))
+            return numbers[text]
+
+        for size in sorted({int(self.bench.lengths[k]) for k in self.bench.short}):
+            own = {int(self.bench.shingles[k][0]): [] for k in self.bench.short if self.bench.lengths[k] == size}
+            for k in self.bench.short:
+                if self.bench.lengths[k] == size:
+                    own[int(self.bench.shingles[k][0])].append(k)
+            runs = windows(words, size)
+            for a in np.flatnonzero(np.isin(runs, np.array(list(own), _U))).tolist():
+                text = int(np.searchsorted(starts, a, side="right")) - 1
+                if a + size <= starts[text] + n[text]:
+                    for k in own[int(runs[a])]:
+                        self.keep(document(text), k, 1.0, 0, a - int(starts[text]))
+        if self.bench.filter is None or not len(words):
+            return
+        shingles = windows(words, SHINGLE)
+        hits = self.bench.filter.places(shingles)
+        text = np.searchsorted(starts, hits, side="right") - 1
+        hits = hits[hits + SHINGLE <= starts[text] + n[text]]
+        if not len(hits):
+            return
+        shorter = np.maximum(n - SHINGLE + 1, 0)
+        text = np.searchsorted(starts, hits, side="right") - 1
+        for t in np.unique(text).tolist():
+            own = hits[np.searchsorted(text, t) : np.searchsorted(text, t, side="right")]
+            number = document(t)
+            self.docs[number] = (ids[t], own - starts[t], shingles[own])
+        for c, (size, items) in enumerate(self.bench.classes):
+            near = max(1, size // STEPS) + int(self.bench.lengths[items].max()) - (size + SHINGLE - 1)
+            at, sizes, of = _windows_near(hits, starts, shorter, size, near)
+            if len(at):
+                prints = _fingerprints(shingles, at, sizes)
+                self.waiting.setdefault(c, []).append((prints, at - starts[of], sizes, np.array([numbers[t] for t in of.tolist()])))
+                self.many += len(at)
+
+    def results(self) -> pa.RecordBatch:
+        bench = self.bench
+        for c, parts in self.waiting.items():
+            prints, place, size, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            step = max(1, bench.classes[c][0] // STEPS)
+            for shard in range(0, len(bench.classes[c][1]), SHARD):
+                t = bench.table(c, shard)
+                window, item, far = t.within(prints)
+                tried: dict[tuple[int, int, int, int], float] = {}
+                for w, k, f in zip(window.tolist(), t.items[item].tolist(), far.tolist(), strict=True):
+                    reach = step + int(bench.lengths[k]) - (t.size + SHINGLE - 1)
+                    _, at, shingles = self.docs[doc[w]]
+                    lo, hi = np.searchsorted(at, (place[w] - reach, place[w] + size[w] + reach)).tolist()
+                    key = (int(doc[w]), k, lo, hi)
+                    if key not in tried:
+                        tried[key] = bench.similarity(shingles[lo:hi], k)
+                    self.keep(key[0], k, tried[key], f, int(place[w]))
+        keys = sorted(self.found)
+        values = [self.found[x] for x in keys]
+        out = pa.RecordBatch.from_arrays(
             [
-                pa.array([ids[r] for r, _ in keys], pa.int64()),
+                pa.array([self.docs[d][0] for d, _ in keys], pa.int64()),
                 pa.array([bench.ids[k] for _, k in keys], pa.int64()),
-                pa.array([out[x][0] for x in keys], pa.float64()),
-                pa.array([out[x][1] for x in keys], pa.int32()),
-                pa.array([out[x][2] for x in keys], pa.int64()),
+                pa.array([v[0] for v in values], pa.float64()),
+                pa.array([-v[1] for v in values], pa.int32()),
+                pa.array([-v[2] for v in values], pa.int64()),
             ],
             ["doc_id", "item_id", "similarity", "distance", "first_word"],
         )
+        self.clear()
+        return out
+
+
+def _search(sent: Broadcast, key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tables are built by each worker process, once for the pass it is at; only the items themselves travel."""
+    keep_only("decontaminate", key)
+    search = _Search(held("decontaminate", key, lambda: Benchmark(*sent.value)))
+    for batch in batches:
+        for part in slices(batch, rows=2000):
+            search.add(part.column("doc_id").to_pylist(), part.column("text"))
+            if search.many > PENDING:
+                yield search.results()
+    yield search.results()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, similarity, distance, first_word) of every document and item that it holds."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark, out, block = docs.sparkSession, None, []
+    spark, out, block, held_bytes = docs.sparkSession, None, [], 0
     named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.sha2("text", 256).alias("name"))
-    counted = stored(named.where("text is not null").groupBy("name").agg(F.first("text").alias("text"), F.count("*").alias("n")).mapInArrow(_counted, "name string, n long, shingle long, length long"))
-    lengths = [r["length"] for r in counted.select("length").distinct().collect()]
-    sizes, reach = _sizes(lengths), max(lengths, default=0)
+    counted = stored(named.where("text is not null").groupBy("name").agg(F.first("text").alias("text"), F.count("*").alias("n")).mapInArrow(tidy(_counted), "name string, n long, shingle long, length long"))
+    sizes = _sizes([r["length"] for r in counted.select("length").distinct().collect()])
     several = counted.groupBy("shingle").agg(F.sum("n").alias("many")).where("many > 1")
     shared = counted.join(several, "shingle").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("shingle", "many"))).alias("shared"))
 
-    def passed(rows: list) -> DataFrame:
-        return docs.mapInArrow(lambda batches: _search(_benchmark(rows, sizes), reach, batches), FOUND)
+    def passed(rows: list[Item]) -> DataFrame:
+        key = hashlib.blake2b(repr((rows, sizes)).encode("utf-8", "surrogatepass")).hexdigest()
+        sent = spark.sparkContext.broadcast((rows, sizes))
+        return docs.mapInArrow(tidy(lambda batches: _search(sent, key, batches), "decontaminate"), FOUND)
 
     for row in named.join(shared, "name", "left").select("item_id", "text", "shared").toLocalIterator():
         block.append((row["item_id"], row["text"], [(x, many) for x, many in row["shared"] or ()]))
-        if len(block) == items:
+        held_bytes += len(row["text"] or "") + 16 * len(block[-1][2])
+        if len(block) == items or held_bytes > ITEM_BYTES:
             found = passed(block)
-            out, block = (found if out is None else out.union(found)), []
+            out, block, held_bytes = (found if out is None else out.union(found)), [], 0
     if block:
         found = passed(block)
         out = found if out is None else out.union(found)
