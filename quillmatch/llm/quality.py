@@ -1,11 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 A rule is a Column that is true where it rejects a text. The cascade first runs each
-rule alone over a bounded sample, which gives its cost (seconds) and its selectivity
-(share rejected), and then evaluates the rules in descending order of rejection per
-cost inside one CASE, so a row meets an expensive rule only if every rule that rejects
-more per second has let it pass. The verdict is a conjunction: its order changes its
-price and never its value.
+rule alone over a bounded sample (rows of least hashes of all documents), which gives its
+cost (seconds) and its selectivity (share rejected), and then evaluates the rules in
+descending order of rejection per cost inside one CASE, so a row meets an expensive rule
+only if every rule that rejects more per second has let it pass. The verdict is a
+conjunction: its order changes its price and never its value. Inside a rule the same
+holds: repeated windows are located only in texts that could have too many, or any.
 
 Null texts are texts without words; texts without words are rejected by the word count.
 Equal rows get equal results, an empty table gives an empty result, and columns of the
@@ -25,11 +26,14 @@ from pyspark.sql import functions as F
 from quillmatch.llm.shared import fresh, table
 
 SPACE = r"[\x20\x09-\x0D]"
-MARKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Rows of the sample from which costs and selectivities are estimated.
-SAMPLE_ROWS = 400
+#: What bullet lines begin and broken-off lines end with.
+BULLETS = r"^[\x20\x09-\x0D]*[-*•‣▪●◦]"
+ELLIPSIS = r"(\.\.\.|…)[\x20\x09-\x0D]*$"
+
+#: Rows of the sample from which costs and selectivities are estimated, and the seed of its hash.
+SAMPLE_ROWS, SEED = 400, 42
 
 
 @dataclass(frozen=True)
@@ -48,38 +52,36 @@ def words(text: Column) -> Column:
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.length(F.regexp_replace(text, f"[^{SYMBOLS}]++", "")).cast("long")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, MARKS, "")).cast("long")
+def word_chars(w: Column) -> Column:
+    """Code points of all words."""
+    return F.length(F.array_join(w, "")).cast("long")
 
 
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, MARKS, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def n_dup_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    return let(lines_with_words(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+def n_again(a: Column) -> Column:
+    """How many elements equal an earlier one."""
+    return F.size(a) - F.size(F.array_distinct(a))
 
 
-def n_repeat_words(w: Column) -> Column:
-    """Words covered by a window of three words that starts at two places or more.
+def window_hashes(w: Column) -> Column:
+    """64-bit hashes of the windows of three words. Two different ones among n of a text are equal with a chance below n * n / 2**65."""
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+
+def covered(h: Column) -> Column:
+    """Words covered by a window that starts at two places or more.
 
-    Windows are sorted as (64-bit hash, start), so equal ones become neighbours: no
-    window is compared with all others and nothing leaves the row. Two different
-    windows among n of a text get equal hashes with a chance below n * n / 2**65.
+    Windows are sorted as (hash, start), so equal ones become neighbours: no window is
+    compared with all others and nothing leaves the row.
     """
-    hashed = let(
-        w,
-        lambda a: F.transform(
-            F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(x, F.get(a, i + 1), F.get(a, i + 2)).alias("h"), i.alias("i")),
-        ),
-    )
     starts = let(
-        F.sort_array(hashed),
+        F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
         lambda s: F.sort_array(
             F.filter(
                 F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"])),
@@ -91,44 +93,64 @@ def n_repeat_words(w: Column) -> Column:
     return let(starts, lambda p: F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3)))), F.lit(0).cast("long"), lambda a, b: a + b))
 
 
+def n_repeat_words(w: Column) -> Column:
+    """Words covered by a window of three words that starts at two places or more; they are located only where a window occurs again."""
+    return let(w, lambda a: let(window_hashes(a), lambda h: F.when(n_again(h) == 0, F.lit(0).cast("long")).otherwise(covered(h))))
+
+
+def mostly_repeated(w: Column) -> Column:
+    """Whether repeated windows cover more than half of the words. Groups of g equal windows have g - 1 that occur again and cover 3 * g words, at most 6 * (g - 1); texts with too few need no more."""
+    return let(w, lambda a: let(window_hashes(a), lambda h: F.when(12 * n_again(h) > F.size(a), 100 * covered(h) > 50 * F.size(a)).otherwise(F.lit(False))))
+
+
+def share_of_lines(lines: Column, pattern: str, percent: int) -> Column:
+    """Whether more than so many per cent of three lines or more match."""
+    return (F.size(lines) > 2) & (100 * F.size(F.filter(lines, lambda line: line.rlike(pattern))) > percent * F.size(lines))
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines of the whole text; columns of these names are replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
-    both = fresh("_both", docs)
+    parts = fresh("_parts", docs)
     counted = docs.withColumns(
         {
-            both: let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("r"))),
-            "word_chars": word_chars(t),
+            parts: F.struct(
+                let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), word_chars(w).alias("c"), n_repeat_words(w).alias("r"))).alias("w"),
+                let(lines_with_words(t), lambda x: F.struct(F.size(x).cast("long").alias("n"), n_again(x).cast("long").alias("d"))).alias("l"),
+            ),
             "n_symbols": n_symbols(t),
-            "n_lines": F.size(lines_with_words(t)).cast("long"),
-            "n_dup_lines": n_dup_lines(t),
         }
     )
-    return counted.withColumns({"n_words": F.col(both)["n"], "n_repeat_words": F.col(both)["r"]}).drop(both)
+    w, lines = F.col(parts)["w"], F.col(parts)["l"]
+    return counted.withColumns({"n_words": w["n"], "word_chars": w["c"], "n_repeat_words": w["r"], "n_lines": lines["n"], "n_dup_lines": lines["d"]}).drop(parts)
 
 
-def default_rules(text: Column, w: Column | None = None) -> list[Rule]:
-    """The rules of this engine, each from the whole text alone; ``w``: its words, if they are at hand."""
+def default_rules(text: Column, w: Column | None = None, lines: Column | None = None) -> list[Rule]:
+    """The rules of this engine, each from the whole text alone; ``w`` and ``lines``: its words and its lines with words, if they are at hand. The last three use what ``measures`` doesn't give."""
     t = F.coalesce(text, F.lit(""))
     w = words(t) if w is None else w
-    n = F.size(w)
+    lines = lines_with_words(t) if lines is None else lines
     return [
-        Rule("few_words", n < 50),
-        Rule("repeated_windows", let(w, lambda x: 100 * n_repeat_words(x) > 50 * F.size(x))),
-        Rule("symbols", 4 * n_symbols(t) > n),
-        Rule("word_length", let(n, lambda k: (word_chars(t) < 2 * k) | (word_chars(t) > 15 * k))),
-        Rule("repeated_lines", let(lines_with_words(t), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
+        Rule("few_words", F.size(w) < 50),
+        Rule("repeated_windows", mostly_repeated(w)),
+        Rule("symbols", 4 * n_symbols(t) > F.size(w)),
+        Rule("word_length", let(w, lambda a: let(word_chars(a), lambda c: (c < 2 * F.size(a)) | (c > 15 * F.size(a))))),
+        Rule("repeated_lines", let(lines, lambda x: 2 * n_again(x) > F.size(x))),
+        Rule("few_letters", 2 * F.length(F.regexp_replace(t, r"\P{L}++", "")) < word_chars(w)),
+        Rule("bullet_lines", let(lines, lambda x: share_of_lines(x, BULLETS, 90))),
+        Rule("broken_lines", let(lines, lambda x: share_of_lines(x, ELLIPSIS, 30))),
     ]
 
 
 def rejected_by(text: Column, order: list[str]) -> Column:
-    """The name of the first of the default rules in ``order`` that rejects, or null; the text is split into words once for all of them."""
+    """The name of the first of the default rules in ``order`` that rejects, or null; the text is split once for all of them."""
 
-    def verdict(w: Column) -> Column:
-        by_name = {r.name: r for r in default_rules(text, w)}
+    def verdict(parts: Column) -> Column:
+        by_name = {r.name: r for r in default_rules(text, parts["w"], parts["l"])}
         return cascade([by_name[n] for n in order])
 
-    return let(words(F.coalesce(text, F.lit(""))), verdict)
+    t = F.coalesce(text, F.lit(""))
+    return let(F.struct(words(t).alias("w"), lines_with_words(t).alias("l")), verdict)
 
 
 def ordered(rules: list[Rule], sample: DataFrame) -> list[tuple[Rule, float, float]]:
@@ -168,9 +190,11 @@ def cascade(rules: list[Rule]) -> Column:
     return out
 
 
-def sampled(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` texts for the estimates; the verdict itself reads every row."""
-    return docs.select(text).limit(rows)
+def sampled(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+    """At most ``rows`` texts of all documents for the estimates, chosen by a seeded hash; the verdict itself reads every row."""
+    share = min(1.0, 2 * rows / max(docs.count(), 1))
+    hashed = F.xxhash64(*[F.col(c) for c in ("doc_id", text) if c in docs.columns], F.lit(seed))
+    return docs.where(F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select(text).limit(rows)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +207,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "repeated_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
     }
     order = ordered(default_rules(F.col("text")), sampled(docs))
-    # The contract wants every measure of every text, so here the cascade reads the measures it would otherwise skip.
-    rejected = cascade([Rule(r.name, on_measures[r.name]) for r, _, _ in order])
+    # The contract wants every measure of every text, so the rules on them read what is there; the others are evaluated as the cascade says.
+    rejected = cascade([Rule(r.name, on_measures.get(r.name, r.rejects)) for r, _, _ in order])
     base = on_measures["few_words"] | on_measures["repeated_windows"]
     return measures(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rejected.isNull().alias("kept")
@@ -214,13 +238,16 @@ p AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2])
 m AS (
   SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS wc,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+         length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+         len(list_filter(l, lambda x: regexp_matches(x, '{BULLETS}'))) AS n_bullets, len(list_filter(l, lambda x: regexp_matches(x, '{ELLIPSIS}'))) AS n_broken
   FROM k LEFT JOIN p USING (k)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(wc, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 4 * n_symbols > n_words
-            OR coalesce(wc, 0) < 2 * n_words OR coalesce(wc, 0) > 15 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+            OR coalesce(wc, 0) < 2 * n_words OR coalesce(wc, 0) > 15 * n_words OR 2 * n_dup_lines > n_lines
+            OR 2 * n_letters < coalesce(wc, 0) OR (n_lines > 2 AND (100 * n_bullets > 90 * n_lines OR 100 * n_broken > 30 * n_lines))) AS kept
 FROM m
 """
