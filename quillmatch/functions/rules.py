@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions.text import FLAGS, any_found, found, group, strip
@@ -59,20 +59,32 @@ def described(number: int, c: Condition) -> str:
     return f"Rule {number}: {', '.join(x for x in said.values() if x) or 'conditions'}"
 
 
+def rule_number(profile: Profile, text: Column, subject: Column) -> Column:
+    """The place, from 1, of the first rule that holds for a stripped text; one more than there are rules if none does."""
+    out = F.lit(len(profile.classification_rules) + 1)
+    for k, r in reversed(list(enumerate(profile.classification_rules, 1))):
+        out = F.when(holds(r.conditions, text, subject, profile.domain_codes), F.lit(k)).otherwise(out)
+    return out
+
+
+def _verdict(profile: Profile, number: Column) -> Column:
+    rules = profile.classification_rules
+    said = [described(k, r.conditions) for k, r in enumerate(rules, 1)] + [f"Rule {len(rules) + 1}: ultimate fallback (no rule matched)"]
+    categories = [r.category for r in rules] + [DEFAULT]
+    names = {"category": categories, "matched_rule": said}
+    return F.struct(*[F.element_at(F.array(*[F.lit(x) for x in values]), number).alias(name) for name, values in names.items()])
+
+
 def classified(profile: Profile, content: Column, subject: Column) -> Column:
     """struct(category, matched_rule) by the first rule that holds for the stripped content."""
-    text = strip(F.coalesce(content, F.lit("")))
-    subject = F.coalesce(subject, F.lit(""))
+    return _verdict(profile, rule_number(profile, strip(F.coalesce(content, F.lit(""))), F.coalesce(subject, F.lit(""))))
 
-    def made(category: str, rule: str) -> Column:
-        return F.struct(F.lit(category).alias("category"), F.lit(rule).alias("matched_rule"))
 
-    out = None
-    for k, r in enumerate(profile.classification_rules, 1):
-        test, value = holds(r.conditions, text, subject, profile.domain_codes), made(r.category, described(k, r.conditions))
-        out = F.when(test, value) if out is None else out.when(test, value)
-    last = made(DEFAULT, f"Rule {len(profile.classification_rules) + 1}: ultimate fallback (no rule matched)")
-    return last if out is None else out.otherwise(last)
+def classify(rows: DataFrame, profile: Profile, content: str, subject: str, name: str) -> DataFrame:
+    """``rows`` with the verdict as ``name``. The stripped content and the rule's number are made by generators, which the optimizer doesn't copy into each use."""
+    text = rows.select("*", F.explode(F.array(strip(F.coalesce(F.col(content), F.lit(""))))).alias("_text"))
+    number = text.select("*", F.explode(F.array(rule_number(profile, F.col("_text"), F.coalesce(F.col(subject), F.lit(""))))).alias("_rule"))
+    return number.withColumn(name, _verdict(profile, F.col("_rule"))).drop("_text", "_rule")
 
 
 def visit(rules: list[VisitRule], text: Column) -> Column:

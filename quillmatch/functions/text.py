@@ -15,7 +15,7 @@ FLAGS, CASED = "(?iuUd)", "(?uUd)"
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def norm(c: Column) -> Column:

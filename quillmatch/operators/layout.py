@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmatch.functions import geometry as g
 from quillmatch.functions.rules import excluded, prefixed, visit
 from quillmatch.functions.text import found, stable_id, strip
+from quillmatch.operators.graph import stored
 from quillmatch.plans.profile import Profile
 
 PAGE = ["doc_id", "page"]
@@ -126,8 +127,9 @@ def section_headers(blocks: DataFrame, profile: Profile) -> DataFrame:
 
 def fields_of(spans: DataFrame, dims: DataFrame, profile: Profile) -> DataFrame:
     """The field records of every page: headers and markers with their labels, the page's visit, and its form name (the topmost, then leftmost label that isn't boilerplate)."""
-    s = without_codelists(spans, dims, profile)
-    typed = s.withColumn("field_type", marker_type(F.col("text")))
+    s = without_codelists(stored(spans.withColumn("field_type", marker_type(F.col("text")))), dims, profile)
+    typed = stored(s)  # read by each step below
+    s = typed.drop("field_type")
     blocks, markers = typed.where("field_type is null").drop("field_type"), typed.where("field_type is not null")
     heads = section_headers(blocks, profile).select(*PAGE, "seq", "rect", "label", F.lit("section_header").alias("field_type"), F.lit(0).alias("pass"))
     marked = nearest_labels(markers, blocks, profile, LABEL_GAP).select(
@@ -168,11 +170,11 @@ def wanted_annotations(raw: DataFrame, profile: Profile) -> DataFrame:
 
 def annotations_of(raw: DataFrame, spans: DataFrame, profile: Profile, dims: DataFrame | None = None) -> DataFrame:
     """The annotation records: filtered, classified, excluded ones dropped, with the page's form name and visit and the nearest label as anchor. ``spans`` are those of the page without its annotations."""
-    from quillmatch.functions.rules import EXCLUDED, classified
+    from quillmatch.functions.rules import EXCLUDED, classify
     from quillmatch.functions.style import parsed_style, rotation
 
     d = profile.style_defaults
-    kept = wanted_annotations(raw, profile).withColumn("_c", classified(profile, F.col("content"), F.col("subject"))).where(F.col("_c.category") != EXCLUDED)
+    kept = classify(wanted_annotations(raw, profile), profile, "content", "subject", "_c").where(F.col("_c.category") != EXCLUDED)
     placed = nearest_labels(kept, spans, profile)
     style = parsed_style(F.col("da"), F.col("rc"), F.col("stroke"), F.col("border_width"), F.col("border_dashes"), F.col("ap_stream"), d.font, d.font_size, d.fill_color)
     return (

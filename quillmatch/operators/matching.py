@@ -7,8 +7,12 @@ of the shared folder, so an anti-join doesn't compute a score again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmatch.functions import geometry as g
 from quillmatch.functions import text as t
@@ -35,17 +39,32 @@ def with_rows(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kept_rows(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key group, in the order of (page, y0, seq), the records on another page than the last kept one or more than ROW_GAP from it."""
-    item = F.struct("page", "y0", "seq")
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.expr("cast(array() as array<struct<page:int,y0:double,seq:bigint>>)"),
-        lambda kept, x: F.when(
-            (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["page"] != x["page"]) | (F.abs(F.get(kept, F.size(kept) - 1)["y0"] - x["y0"]) > ROW_GAP), F.concat(kept, F.array(x))
-        ).otherwise(kept),
-    )
+    """Of each key group, in the order of (page, y0, seq), the records on another page than the last kept one or more than ROW_GAP from it, with pos, their place among the kept ones.
+
+    A stream over sorted rows: which record is kept depends on the one kept before, and
+    nothing else is held, so a group may be of any size.
+    """
     typed = records.select(*keys, F.col("page").cast("int").alias("page"), F.col("y0").cast("double").alias("y0"), F.col("seq").cast("long").alias("seq"))
-    return typed.groupBy(*keys).agg(fold.alias("_kept")).select(*keys, F.posexplode("_kept").alias("pos", "_x")).select(*keys, "pos", "_x.page", "_x.y0", "_x.seq")
+    out = T.StructType([*typed.select(*keys).schema.fields, T.StructField("pos", T.IntegerType()), *typed.drop(*keys).schema.fields])
+    gap = ROW_GAP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, page, y0, pos = None, None, None, -1
+        for batch in batches:
+            keep, places = [], []
+            names = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            for at, (key, p, y) in enumerate(zip(names, batch.column("page").to_pylist(), batch.column("y0").to_pylist(), strict=True)):
+                if key != group:
+                    group, pos = key, -1
+                elif not ((p is not None and page is not None and p != page) or (y is not None and y0 is not None and abs(y - y0) > gap)):
+                    continue
+                page, y0, pos = p, y, pos + 1
+                keep.append(at)
+                places.append(pos)
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[kept.column(k) for k in keys], pa.array(places, pa.int32()), *[kept.column(c) for c in ("page", "y0", "seq")]], out.names)
+
+    return typed.repartition(*keys).sortWithinPartitions(*keys, "page", "y0", "seq").mapInArrow(run, out)
 
 
 def keyed(records: DataFrame, label: str) -> DataFrame:
@@ -113,11 +132,10 @@ def cross_form_edges(annotations: DataFrame, fields: DataFrame, threshold: float
     share = max(least, 0.0) / (200.0 - max(least, 0.0))  # shorter over longer, at least
     x = a.select("_a").distinct().withColumn("n", F.length("_a"))
     y = f.select("_f").distinct().withColumn("n", F.length("_f"))
-    if share <= 0.02:
-        pairs = x.select("_a", F.lit(0).alias("n")).join(y.select("_f", F.lit(0).alias("n")), "n")
-    else:
-        lengths = F.sequence(F.ceil(F.col("n") * share - 1e-9).cast("int"), F.floor(F.col("n") / share + 1e-9).cast("int"))
-        pairs = x.select("_a", F.explode(lengths).alias("n")).join(y, "n")
+    longest = y.agg(F.max("n").alias("n")).first()["n"] or 0
+    most = F.floor(F.col("n") / share + 1e-9) if share > 1e-6 else F.lit(longest)
+    low, high = F.ceil(F.col("n") * share - 1e-9).cast("int"), F.least(most, F.lit(longest)).cast("int")
+    pairs = x.select("_a", F.explode(F.when(low <= high, F.sequence(low, high))).alias("n")).join(y, "n")
     near = stored(pairs.select("_a", "_f").withColumn("_raw", t.indel_ratio(F.col("_a"), F.col("_f"))).where(F.col("_raw") >= least))
     names = components(near.select(F.concat(F.lit("a"), "_a").alias("a"), F.concat(F.lit("f"), "_f").alias("b")))
     near = near.join(names.withColumnRenamed("node", "_n"), F.concat(F.lit("a"), F.col("_a")) == F.col("_n")).select("_a", "_f", "_raw", F.xxhash64("root").alias("g"))
@@ -131,8 +149,9 @@ def guarded(pairs: DataFrame, fields: DataFrame) -> DataFrame:
     A target outside the page takes the leftmost other field of the page with the
     same label, if there is one, and is then clamped to the page.
     """
-    near = F.array_sort(F.collect_list(F.struct(F.col("rect")[0].alias("x0"), "seq", "id", "rect")))
-    peers = keyed(fields, "label").groupBy("page", "lab").agg(F.slice(near, 1, 2).alias("_two"))
+    first = F.row_number().over(Window.partitionBy("page", "lab").orderBy(F.col("rect")[0], "seq", "id"))
+    two = keyed(fields, "label").withColumn("_n", first).where("_n <= 2")
+    peers = two.groupBy("page", "lab").agg(F.array_sort(F.collect_list(F.struct(F.col("rect")[0].alias("x0"), "seq", "id", "rect"))).alias("_two"))
     other = F.get(F.filter("_two", lambda p: p["id"] != F.col("fid")), 0)
     off = g.outside(F.col("raw"), F.col("page_width"), F.col("page_height"))
     out = pairs.join(peers, ["page", "lab"], "left").withColumn("_peer", F.when(off, other["rect"]))

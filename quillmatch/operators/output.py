@@ -39,8 +39,15 @@ def placement_manifest(matches: DataFrame, annotations: DataFrame, page_count: i
     )
 
 
+def qc_ids(written: DataFrame) -> DataFrame:
+    """(list, seq, annotation_id): the ids of the report's lists as rows, for any number of them."""
+    lists = {"unmatched": F.col("match_type") == "unmatched", "re_pairing": F.col("status") == "re-pairing", "placement_adjusted": F.col("placement_adjusted")}
+    named = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in lists.items()]), lambda x: x.isNotNull())
+    return written.select(F.explode(named).alias("list"), "seq", "annotation_id")
+
+
 def qc_report(written: DataFrame) -> DataFrame:
-    """One row over ``written`` (match records with seq and written): counts, counts by type, and ids in the order of seq."""
+    """The artifact, whose lists are in one row (``qc_ids`` has them as rows). One row over ``written`` (match records with seq and written): counts, counts by type, and ids in the order of seq."""
 
     def ids(test: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("seq", "annotation_id")))), lambda x: x["annotation_id"])

@@ -54,6 +54,22 @@ def update_matches(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame,
     return out.withColumnRenamed("id", "annotation_id").select(*existing.columns), missing.withColumnRenamed("id", "annotation_id")
 
 
+def distinct_values(records: DataFrame, column: str) -> DataFrame:
+    """(column): its non-empty values in order, for a choice."""
+    return records.where(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").select(column).distinct().orderBy(column)
+
+
+def on_page(records: DataFrame, page: int | None, column: str = "page") -> DataFrame:
+    """The records of one page; all without one."""
+    return records if page is None else records.where(F.col(column) == page)
+
+
+def shown_of(chosen_: DataFrame, every: DataFrame) -> DataFrame:
+    """(shown, total): how many records a filter leaves of how many."""
+    n = chosen_.agg(F.count("*").alias("shown"), F.lit(1).alias("_k"))
+    return n.join(every.agg(F.count("*").alias("total"), F.lit(1).alias("_k")), "_k").drop("_k")
+
+
 def removed(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.select("id"), "id", "left_anti")
 
@@ -64,7 +80,7 @@ def edited(records: DataFrame, key: str, value: str, changes: dict[str, Column])
 
 
 def deleted(records: DataFrame, key: str, value: str) -> DataFrame:
-    return records.where(F.col(key) != value)
+    return records.where(~F.col(key).eqNullSafe(F.lit(value)))
 
 
 def added(records: DataFrame, values: dict[str, object]) -> DataFrame:

@@ -162,7 +162,7 @@ _CASE = """CASE WHEN length(trim(content)) <= 0 OR lower(subject) = 'sticky note
 SELECT k.category, count(c.category) AS n FROM k LEFT JOIN c USING (category) GROUP BY 1""",
 )
 def q_classify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = contents(spark, sf_dir).select(rules.classified(standard_profile(), F.col("content"), F.col("subject")).alias("c")).select("c.*")
+    made = rules.classify(contents(spark, sf_dir), standard_profile(), "content", "subject", "c").select("c.*")
     return review.counts_of(made.where(F.col("category") != rules.EXCLUDED), "category", review.CATEGORIES)
 
 
@@ -325,6 +325,35 @@ def q_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.fields_of(s, dims(s), standard_profile()).select("doc_id", "page", "field_type", "label", "form_name", *corners(F.col("rect"))[:2])
 
 
+_NOTE_COLUMNS = """
+SELECT doc_id, CAST(1 + (i - i % 40) / 40 AS INT) AS page, CAST(i % 40 AS BIGINT) AS seq, 'FreeText' AS subtype, content, subject,
+       CAST(10 + 30 * (i % 5) AS DOUBLE) AS x0, CAST(20 * (i % 40) + 5 AS DOUBLE) AS y0, CAST(70 + 30 * (i % 5) AS DOUBLE) AS x1, CAST(20 * (i % 40) + 15 AS DOUBLE) AS y1
+FROM <<contents>> WHERE i % 8 = 3
+"""
+
+
+@query(
+    "q_annotations",
+    f"""WITH {SPANS_SQL}, {_STRIPPED}, contents AS ({_LINE_COLUMNS.replace('STRING', 'VARCHAR')}), notes AS ({duck(_NOTE_COLUMNS).replace('(i - i % 40) / 40', '(i - i % 40) // 40')}),
+k AS (SELECT * FROM (SELECT *, {_CASE} AS category FROM notes WHERE length(content) > 0) WHERE category <> '_exclude'), b AS (SELECT *, min(x0) OVER (PARTITION BY doc_id, page) AS lx FROM s),
+c AS (SELECT m.doc_id, m.page, m.seq, b.t, b.x0 AS bx, row_number() OVER (PARTITION BY m.doc_id, m.page, m.seq ORDER BY greatest(0.0, greatest(m.y0, b.y0) - least(m.y1, b.y1)), abs((b.y0 + b.y1) / 2 - m.y0), b.seq) AS r
+ FROM k m JOIN (SELECT * FROM b WHERE x0 <= lx + 50 AND t <> '' AND NOT {_EXCLUDE}) b ON b.doc_id = m.doc_id AND b.page = m.page),
+n AS (SELECT doc_id, page, t, row_number() OVER (PARTITION BY doc_id, page ORDER BY NOT bold, -font_size, y0, seq) AS r FROM s WHERE t <> '' AND NOT {_EXCLUDE} AND font_size >= 6.5 AND y0 <= 0.35 * 842),
+p AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY seq) AS said FROM spans GROUP BY 1, 2),
+v AS (SELECT doc_id, page, CASE WHEN regexp_matches(said, 'Screen(ing)?', 'i') THEN 'Screening' WHEN regexp_matches(said, 'Baseline', 'i') THEN 'Baseline' WHEN regexp_matches(said, 'Week\\s*(\\d+)', 'i') THEN 'Week ' || regexp_extract(said, 'Week\\s*(\\d+)', 1, 'i')
+ WHEN regexp_matches(said, 'End of Study|Termination', 'i') THEN 'End of Study' WHEN regexp_matches(said, 'Running\\s*Records?', 'i') THEN 'Running Records' ELSE '' END AS visit FROM p)
+SELECT k.doc_id, k.page, k.seq, k.subject AS domain, category, coalesce(c.t, '') AS anchor_text, c.bx AS anchor_x0, coalesce(n.t, '') AS form_name, coalesce(v.visit, '') AS visit, k.x0 FROM k LEFT JOIN (SELECT * FROM c WHERE r = 1) c USING (doc_id, page, seq)
+ LEFT JOIN (SELECT * FROM n WHERE r = 1) n USING (doc_id, page) LEFT JOIN v USING (doc_id, page)""",
+)
+def q_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spans(spark, sf_dir)
+    notes = with_rect(spark.sql(_NOTE_COLUMNS.replace("<<contents>>", "{contents}"), contents=contents(spark, sf_dir)))
+    none = F.lit(None)
+    raw = notes.withColumns({"rotation": F.lit("0"), "da": F.lit(""), "rc": F.lit(""), "stroke": none.cast("array<double>"), "border_width": none.cast("double"), "border_dashes": none.cast("array<int>"), "ap_stream": F.lit("")})
+    out = layout.annotations_of(raw, s, standard_profile(), dims(s))
+    return out.select("doc_id", "page", "seq", "domain", "category", "anchor_text", F.col("anchor_rect")[0].alias("anchor_x0"), "form_name", "visit", F.col("rect")[0].alias("x0"))
+
+
 # ---------------------------------------------------------------- ranks and rows
 
 _LINEITEM_FORMS = "SELECT l_orderkey, l_linenumber, p_brand || ' ' || p_type AS form_name, CAST(l_suppkey % 23 AS INT) AS page FROM <<lineitem>> JOIN <<part>> ON l_partkey = p_partkey"
@@ -412,7 +441,7 @@ def q_token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Both sides are the few distinct names, and the list of all their pairs is what is asked for.
     x = read(spark, sf_dir, "part").select(t.token_sorted(F.col("p_name")).alias("x")).distinct()
     y = fields(spark, sf_dir).select(t.token_sorted(F.col("label")).alias("y")).distinct()
-    return x.join(y, F.length("x") + F.length("y") >= 0).withColumn("raw", t.indel_ratio(F.col("x"), F.col("y")))
+    return x.crossJoin(y).withColumn("raw", t.indel_ratio(F.col("x"), F.col("y")))
 
 
 @query("q_visit_boost", f"WITH v AS (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, upper(substr(n_name, 1, n_nationkey % 4)) FROM nation UNION ALL SELECT n_name, upper(n_name) FROM nation) SELECT a, b, {_BONUS.format('a', 'b')} / 5 AS visit FROM v")
@@ -446,10 +475,15 @@ def q_fuzzy_edges_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("aseq").agg(F.count("*").alias("n"), F.min("fseq").alias("least"), F.max("score").alias("best"))
 
 
+def _picks(e: str, o: str, w: str) -> str:
+    """Greedy pairs (fseq null where none is free) of edges ``e`` as ``w``."""
+    return f"""{o} AS (SELECT g, aseq, row_number() OVER (PARTITION BY g ORDER BY aseq) AS k, list({{'f': fseq, 's': score}} ORDER BY score DESC, fseq) AS c FROM {e} GROUP BY g, aseq),
+{w} AS (SELECT g, k, aseq, c[1].f AS fseq, c[1].s AS score, [c[1].f] AS used FROM {o} WHERE k = 1 UNION ALL
+ SELECT {o}.g, {o}.k, {o}.aseq, h.f, h.s, CASE WHEN h.f IS NULL THEN {w}.used ELSE list_append({w}.used, h.f) END FROM {w} JOIN {o} ON {o}.g = {w}.g AND {o}.k = {w}.k + 1, LATERAL (SELECT list_filter({o}.c, lambda z: NOT list_contains({w}.used, z.f))[1] AS h) q)"""
+
+
 _GREEDY = """e AS (SELECT DISTINCT pr.aseq, pr.fseq, raw + bonus AS score, lower(a.form_name) || '#' || ra.rank AS g FROM pr JOIN sim USING (x, y) JOIN a ON a.seq = pr.aseq JOIN ra ON ra.form = lower(a.form_name) AND ra.page = a.page WHERE raw + bonus >= 80),
-o AS (SELECT g, aseq, row_number() OVER (PARTITION BY g ORDER BY aseq) AS k, list({'f': fseq, 's': score} ORDER BY score DESC, fseq) AS c FROM e GROUP BY g, aseq),
-w AS (SELECT g, k, aseq, c[1].f AS fseq, c[1].s AS score, [c[1].f] AS used FROM o WHERE k = 1 UNION ALL
- SELECT o.g, o.k, o.aseq, h.f, h.s, CASE WHEN h.f IS NULL THEN w.used ELSE list_append(w.used, h.f) END FROM w JOIN o ON o.g = w.g AND o.k = w.k + 1, LATERAL (SELECT list_filter(o.c, lambda z: NOT list_contains(w.used, z.f))[1] AS h) q)"""
+""" + _picks("e", "o", "w")
 
 
 @query("q_assign_greedy", f"WITH RECURSIVE {_SAME}, {_GREEDY} SELECT aseq, fseq, score FROM w WHERE fseq IS NOT NULL")
@@ -484,13 +518,32 @@ def cascade(spark: SparkSession, sf_dir: str, mode: str = "greedy") -> DataFrame
     return matching.match_annotations(annotations(spark, sf_dir), fields(spark, sf_dir), page_sizes(spark, 595.0, 842.0, 5), page_sizes(spark, 612.0, 792.0, 5), standard_profile().matching_config, mode)
 
 
-@query("q_cascade")
+_PLACED = """pk AS (SELECT DISTINCT lower(trim(form_name)) AS form FROM f), pp AS (SELECT r3.*, category = 'domain_label' AS dl, pk.form IS NOT NULL AS known FROM r3 LEFT JOIN pk ON pk.form = lower(trim(r3.form_name))),
+pq AS (SELECT *, CAST(612 AS DOUBLE) AS tw, CAST(792 AS DOUBLE) AS th FROM pp),
+ps AS (SELECT *, CASE WHEN dl OR NOT known THEN x0 ELSE x0 * (tw / 595) END AS sx0, CASE WHEN dl OR NOT known THEN y0 ELSE y0 * (th / 842) END AS sy0, CASE WHEN dl OR NOT known THEN x1 ELSE x1 * (tw / 595) END AS sx1, CASE WHEN dl OR NOT known THEN y1 ELSE y1 * (th / 842) END AS sy1 FROM pq),
+pc AS (SELECT *, CASE WHEN dl OR known THEN greatest(0, least(sx0, tw)) ELSE sx0 END AS cx0, CASE WHEN dl OR known THEN greatest(0, least(sy0, th)) ELSE sy0 END AS cy0, CASE WHEN dl OR known THEN greatest(0, least(sx1, tw)) ELSE sx1 END AS cx1, CASE WHEN dl OR known THEN greatest(0, least(sy1, th)) ELSE sy1 END AS cy1 FROM ps)"""
+#: The four passes one after the other, each on what those before it left.
+_CASCADE = f"""{_EXACT}, r1 AS (SELECT * FROM a WHERE seq NOT IN (SELECT aseq FROM xp)),
+pr AS (SELECT r1.seq AS aseq, f.seq AS fseq, {_SORTED.format('r1.anchor_text')} AS x, {_SORTED.format('f.label')} AS y, {_BONUS.format('r1.visit', 'f.visit')} AS bonus, ra.form || '#' || ra.rank AS g FROM r1 JOIN ra ON ra.form = lower(trim(r1.form_name)) AND ra.page = r1.page
+ JOIN rf ON rf.form = ra.form AND rf.rank = ra.rank JOIN f ON lower(trim(f.form_name)) = rf.form AND f.page = rf.page WHERE trim(r1.anchor_text) <> ''),
+texts AS (SELECT x, y FROM (SELECT DISTINCT {_SORTED.format('anchor_text')} AS x FROM r1 WHERE trim(anchor_text) <> ''), (SELECT DISTINCT {_SORTED.format('label')} AS y FROM f)), {_LCS},
+e AS (SELECT DISTINCT g, aseq, fseq, raw + bonus AS score FROM pr JOIN sim USING (x, y) WHERE raw + bonus >= 80), {_picks('e', 'o', 'w')},
+r2 AS (SELECT * FROM r1 WHERE seq NOT IN (SELECT aseq FROM w WHERE fseq IS NOT NULL)),
+e2 AS (SELECT 'all' AS g, r.seq AS aseq, ff.seq AS fseq, raw + {_BONUS.format('r.visit', 'ff.visit')} AS score FROM (SELECT *, {_SORTED.format('anchor_text')} AS x FROM r2 WHERE trim(anchor_text) <> '') r JOIN sim USING (x) JOIN (SELECT *, {_SORTED.format('label')} AS y FROM f) ff USING (y) WHERE raw + {_BONUS.format('r.visit', 'ff.visit')} >= 90),
+{_picks('e2', 'o2', 'w2')}, r3 AS (SELECT * FROM r2 WHERE seq NOT IN (SELECT aseq FROM w2 WHERE fseq IS NOT NULL)),
+ap AS (SELECT aseq, fseq, 'exact' AS match_type, CAST(1 AS DOUBLE) AS confidence, 'approved' AS status FROM xp UNION ALL SELECT aseq, fseq, 'fuzzy', least(score / 100, 1), 're-pairing' FROM w WHERE fseq IS NOT NULL UNION ALL SELECT aseq, fseq, 'fuzzy', least(score / 100, 1), 're-pairing' FROM w2 WHERE fseq IS NOT NULL),
+{_RAW.format(pairs='ap')}, {_PLACED},
+al AS (SELECT ap.aseq AS seq, 'A' || ap.aseq AS annotation_id, fid AS field_id, match_type, confidence, page AS target_page, status, placement_adjusted, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM gc JOIN ap ON ap.aseq = gc.aseq
+ UNION ALL SELECT seq, id, NULL, CASE WHEN dl OR known THEN 'position_only' ELSE 'unmatched' END, CAST(CASE WHEN dl OR known THEN 0.5 ELSE 0 END AS DOUBLE), CASE WHEN dl OR known THEN page ELSE 0 END, 're-pairing', cx0 <> sx0 OR cy0 <> sy0 OR cx1 <> sx1 OR cy1 <> sy1, CAST(cx0 AS DOUBLE), CAST(cy0 AS DOUBLE), CAST(cx1 AS DOUBLE), CAST(cy1 AS DOUBLE) FROM pc)"""
+
+
+@query("q_cascade", f"WITH RECURSIVE {_CASCADE} SELECT * FROM al")
 def q_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cascade(spark, sf_dir)
     return out.select("seq", "annotation_id", "field_id", "match_type", "confidence", "target_page", "status", "placement_adjusted", *corners(F.col("target_rect")))
 
 
-@query("q_cascade_counts")
+@query("q_cascade_counts", f"WITH RECURSIVE {_CASCADE}, k AS (SELECT unnest(['exact', 'fuzzy', 'position_only', 'manual', 'unmatched']) AS match_type) SELECT k.match_type, count(al.seq) AS n FROM k LEFT JOIN al USING (match_type) GROUP BY 1")
 def q_cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.counts_of(cascade(spark, sf_dir), "match_type", output.TYPES)
 
@@ -558,9 +611,12 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.upsert(view(spark, sf_dir, _EXISTING, "customer"), view(spark, sf_dir, _INCOMING, "orders"))[0].select("seq", "label", "form_name")
 
 
-@query("q_flag_missing", f"WITH e AS ({duck(_EXISTING)}), i AS ({duck(_INCOMING)}) SELECT id, seq FROM e WHERE id NOT IN (SELECT id FROM i)".replace("STRING", "VARCHAR"))
+_PARTIAL = f"{_INCOMING} WHERE o_custkey % 5 > 0"
+
+
+@query("q_flag_missing", f"WITH e AS ({duck(_EXISTING)}), i AS ({duck(_PARTIAL)}) SELECT id, seq FROM e WHERE id NOT IN (SELECT id FROM i)".replace("STRING", "VARCHAR"))
 def q_flag_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.upsert(view(spark, sf_dir, _EXISTING, "customer"), view(spark, sf_dir, _INCOMING, "orders"))[1]
+    return review.upsert(view(spark, sf_dir, _EXISTING, "customer"), view(spark, sf_dir, _PARTIAL, "orders"))[1]
 
 
 @query("q_update_matches", f"WITH m AS ({M_SQL}) SELECT seq, CASE seq % 3 WHEN 0 THEN status WHEN 1 THEN 're-pairing' ELSE 'approved' END AS status, CASE seq % 3 WHEN 1 THEN NULL ELSE field_id END AS field_id FROM m")
@@ -684,6 +740,11 @@ def q_qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("total_matches", "written", "skipped", F.col("counts_by_match_type")["exact"].alias("exact"), *[F.md5(F.array_join(c, ",")).alias(n) for n, c in ids.items()])
 
 
+@query("q_qc_ids", f"WITH {_WRITTEN} SELECT 'unmatched' AS list, seq, annotation_id FROM w WHERE match_type = 'unmatched' UNION ALL SELECT 're_pairing', seq, annotation_id FROM w WHERE status = 're-pairing' UNION ALL SELECT 'placement_adjusted', seq, annotation_id FROM w WHERE placement_adjusted")
+def q_qc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output.qc_ids(output.writable(matches(spark, sf_dir), annotations(spark, sf_dir), 6))
+
+
 @query("q_write_eligibility", f"WITH {_WRITTEN} SELECT seq, written FROM w")
 def q_write_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.writable(matches(spark, sf_dir), annotations(spark, sf_dir), 6).select("seq", "written")
@@ -699,12 +760,41 @@ def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.import_csv(spark, path, "fields").select("id", "page", "label", "form_name", "visit", F.col("rect")[0].alias("x0"), F.col("rect")[3].alias("y1"), "field_type", "page_width")
 
 
-@query("q_json_round_trip", f"WITH m AS ({M_SQL}) SELECT annotation_id, field_id, match_type, confidence, target_page, status, placement_adjusted, x0 FROM m")
+@query("q_json_round_trip", f"WITH m AS ({M_SQL}) SELECT seq, annotation_id, field_id, match_type, confidence, target_page, status, placement_adjusted, x0 FROM m")
 def q_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved in several files; the order comes back as seq."""
     path = shared_folder(spark)
-    matches(spark, sf_dir).select(*records.schema("matches").names).write.json(path)
+    records.save_json(matches(spark, sf_dir).repartition(7, "annotation_id"), path, "matches")
     out = records.load_json(spark, path, "matches")
-    return out.select("annotation_id", "field_id", "match_type", "confidence", "target_page", "status", "placement_adjusted", F.col("target_rect")[0].alias("x0"))
+    return out.select("seq", "annotation_id", "field_id", "match_type", "confidence", "target_page", "status", "placement_adjusted", F.col("target_rect")[0].alias("x0"))
+
+
+@query("q_csv_matches", f"WITH m AS ({M_SQL}) SELECT annotation_id, coalesce(field_id, '') AS field_id, match_type, confidence, target_page, status, placement_adjusted, y1 FROM m")
+def q_csv_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    records.export_csv(matches(spark, sf_dir), path, "matches")
+    out = records.import_csv(spark, path, "matches")
+    return out.select("annotation_id", "field_id", "match_type", "confidence", "target_page", "status", "placement_adjusted", F.col("target_rect")[3].alias("y1"))
+
+
+@query("q_csv_annotations", f"WITH a AS ({A_SQL}) SELECT id, page, content, domain, category, CASE WHEN trim(anchor_text) = '' THEN ' ' ELSE anchor_text END AS anchor_text, form_name, visit, x0, ax0, CAST(10 AS DOUBLE) AS size, 0 AS rotation FROM a")
+def q_csv_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With style, anchor and rotation."""
+    path = shared_folder(spark)
+    records.export_csv(annotations(spark, sf_dir), path, "annotations")
+    out = records.import_csv(spark, path, "annotations")
+    return out.select("id", "page", "content", "domain", "category", "anchor_text", "form_name", "visit", F.col("rect")[0].alias("x0"), F.col("anchor_rect")[0].alias("ax0"), F.col("style.font_size").alias("size"), "rotation")
+
+
+@query("q_distinct_choices", f"WITH f AS ({F_SQL}) SELECT DISTINCT visit FROM f WHERE visit <> ''")
+def q_distinct_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.distinct_values(fields(spark, sf_dir), "visit")
+
+
+@query("q_page_filter", f"WITH f AS ({F_SQL}) SELECT count(*) FILTER (page = 3) AS shown, count(*) AS total FROM f")
+def q_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fields(spark, sf_dir)
+    return review.shown_of(review.on_page(f, 3), f)
 
 
 @query("q_audit_counts", "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H') AS hour, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2")

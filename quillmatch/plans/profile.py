@@ -13,6 +13,8 @@ from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
+# The file format, that is the names of conditions, strategies and fields here and in the classes
+# below, and the fields' defaults.
 CONDITIONS = ("contains", "starts_with", "regex", "domain_in", "multi_line", "max_length", "min_length", "subject_is", "fallback")
 STRATEGIES = ("largest_bold_text", "top_left_block")
 
@@ -303,6 +305,15 @@ def moved_up(rules: list, k: int) -> list:
     return out
 
 
+def with_rule(rules: list, rule: object, k: int | None = None) -> list:
+    """With a rule added at the end, or in the place of rule ``k``."""
+    return [*rules, rule] if k is None else [rule if i == k else r for i, r in enumerate(rules)]
+
+
+def without_rule(rules: list, k: int) -> list:
+    return [r for i, r in enumerate(rules) if i != k]
+
+
 def condition_summary(condition: dict) -> str:
     """The first three conditions that are set."""
     return ", ".join(f"{k}={v}" for k, v in [(k, v) for k, v in condition.items() if v is not None][:3]) or "(none)"
@@ -318,7 +329,7 @@ def standard_profile() -> Profile:
     return profile_of(
         {
             "meta": {"name": "standard"},
-            "domain_codes": "DM IE MH CM AE VS EG PE QS DS DA EX SC LB SV SE CO FA TU TR RS".split(),
+            "domain_codes": ["DM", "IE", "MH", "CM", "AE", "VS", "EG", "PE", "QS", "DS", "DA", "EX", "SC", "LB", "SV", "SE", "CO", "FA", "TU", "TR", "RS"],
             "classification_rules": [
                 {"conditions": {"max_length": 0}, "category": "_exclude"},
                 {"conditions": {"subject_is": "Sticky Note"}, "category": "_exclude"},

@@ -42,17 +42,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The records of a JSON array or of JSON lines, with seq. A path that isn't there is an error."""
+    """The records of a JSON array or of JSON lines, with seq: as stored, or else the order in the file. A path that isn't there is an error."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
     first = spark.read.text(path).where("trim(value) <> ''").first()
-    return numbered(spark.read.schema(schema(kind)).option("multiLine", bool(first and first["value"].lstrip().startswith("["))).json(path))
+    whole = bool(first and first["value"].lstrip().startswith("["))
+    rows = numbered(spark.read.schema(schema(kind).add("seq", T.LongType())).option("multiLine", whole).json(path), "_at")
+    return rows.withColumn("seq", F.coalesce("seq", "_at")).drop("_at")
 
 
 def save_json(records: DataFrame, path: str, kind: str) -> None:
-    """Overwrites ``path`` with the records in the order of seq."""
-    rows = records.orderBy("seq") if "seq" in records.columns else records
-    rows.select(*schema(kind).names).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """Overwrites ``path`` with the records and their seq, so their order doesn't depend on how files are read."""
+    rows = records if "seq" in records.columns else numbered(records)
+    rows.orderBy("seq").select(*schema(kind).names, F.col("seq").cast("long").alias("seq")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def _text(f: T.StructField) -> Column:
@@ -65,7 +67,7 @@ def export_csv(records: DataFrame, path: str, kind: str) -> None:
     """Nested values are JSON text; a field id that is null is an empty cell. Quotes are doubled, so any text comes back."""
     rows = records.orderBy("seq") if "seq" in records.columns else records
     columns = [_text(f) for f in schema(kind).fields]
-    rows.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    rows.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def _value(f: T.StructField) -> Column:

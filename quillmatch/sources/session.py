@@ -5,15 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import shutil
 import uuid
 from datetime import UTC, datetime
-from pathlib import Path
+from os import PathLike
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.sources.records import load_json, save_json
+from quillmatch.sources.records import exists, load_json, save_json
 from quillmatch.streaming.audit import append, read_log
 
 NAME = re.compile(r"session_[\w\-]+")
@@ -27,46 +26,64 @@ def valid_name(name: str) -> bool:
     return len(name) <= 64 and NAME.fullmatch(name) is not None
 
 
+def _of(path: str | PathLike, spark: SparkSession | None = None) -> tuple[object, object]:
+    """(file system, path) in the session's Hadoop file systems, where Spark writes too; on a cluster a driver's own disk is none of them."""
+    spark = spark or SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 class Session:
-    def __init__(self, spark: SparkSession, base: str | Path, name: str | None = None) -> None:
-        self.spark, self.base = spark, Path(base)
+    """``base`` is a path of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, base: str | PathLike, name: str | None = None) -> None:
+        self.spark, self.base = spark, str(base).rstrip("/")
         self.name = name or f"session_{datetime.now(UTC):%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
-        self.folder = self.base / self.name
-        self.folder.mkdir(parents=True, exist_ok=name is not None)
+        self.folder = f"{self.base}/{self.name}"
+        fs, p = _of(self.folder, spark)
+        if name is None and fs.exists(p):
+            raise FileExistsError(self.folder)
+        fs.mkdirs(p)
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str | Path) -> Session:
-        folder = Path(folder)
-        if not folder.is_dir():
+    def open(cls, spark: SparkSession, folder: str | PathLike) -> Session:
+        if not exists(spark, str(folder)):
             raise FileNotFoundError(folder)
-        return cls(spark, folder.parent, folder.name)
+        base, _, name = str(folder).rstrip("/").rpartition("/")
+        return cls(spark, base, name)
 
     @staticmethod
-    def names(base: str | Path) -> list[str]:
+    def names(base: str | PathLike) -> list[str]:
         """Newest first."""
-        base = Path(base)
-        return sorted((p.name for p in base.iterdir() if p.is_dir() and p.name.startswith("session_")), reverse=True) if base.is_dir() else []
+        fs, p = _of(base)
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return sorted((name for f in found if f.isDirectory() and (name := f.getPath().getName()).startswith("session_")), reverse=True)
 
     @classmethod
-    def latest(cls, spark: SparkSession, base: str | Path) -> Session | None:
-        found = next((n for n in cls.names(base) if (Path(base) / n / "annotations.json").exists()), None)
-        return cls.open(spark, Path(base) / found) if found else None
+    def latest(cls, spark: SparkSession, base: str | PathLike) -> Session | None:
+        found = next((n for n in cls.names(base) if exists(spark, f"{base}/{n}/annotations.json")), None)
+        return cls.open(spark, f"{base}/{found}") if found else None
 
     @staticmethod
-    def rename(folder: str | Path, name: str) -> Path:
+    def rename(folder: str | PathLike, name: str) -> str:
         if not valid_name(name):
             raise ValueError(f"{name!r} can't name a session")
-        new = Path(folder).parent / name
-        if new.exists():
-            raise FileExistsError(new)
-        return Path(folder).rename(new)
+        fs, old = _of(folder)
+        path = f"{str(folder).rstrip('/').rpartition('/')[0]}/{name}"
+        new = _of(path)[1]
+        if fs.exists(new):
+            raise FileExistsError(path)
+        if not fs.rename(old, new):
+            raise OSError(f"{folder} wasn't renamed")
+        return path
 
     @staticmethod
-    def delete(folder: str | Path) -> None:
-        shutil.rmtree(folder)
+    def delete(folder: str | PathLike) -> None:
+        fs, p = _of(folder)
+        fs.delete(p, True)
 
     def _at(self, kind: str) -> str:
-        return str(self.folder / f"{kind}.json")
+        return f"{self.folder}/{kind}.json"
 
     def save(self, records: DataFrame, kind: str) -> None:
         save_json(records, self._at(kind), kind)
@@ -78,27 +95,32 @@ class Session:
         report.write.mode("overwrite").json(self._at("qc_report"))
 
     def load_report(self) -> DataFrame:
-        if not Path(self._at("qc_report")).exists():
+        if not exists(self.spark, self._at("qc_report")):
             raise FileNotFoundError(self._at("qc_report"))
         return self.spark.read.json(self._at("qc_report"))
 
     def log(self, action: str, details: dict) -> None:
-        append(self.spark, str(self.folder / "audit_log"), action, details)
+        append(self.spark, f"{self.folder}/audit_log", action, details)
 
     def audit(self) -> DataFrame:
-        return read_log(self.spark, str(self.folder / "audit_log"))
+        return read_log(self.spark, f"{self.folder}/audit_log")
 
-    def keep_profile(self, path: str | Path) -> None:
-        shutil.copyfile(path, self.folder / Path(path).name)
+    def keep_profile(self, path: str | PathLike) -> None:
+        """A copy of a profile on the driver's disk."""
+        fs, p = _of(self.folder, self.spark)
+        fs.copyFromLocalFile(self.spark._jvm.org.apache.hadoop.fs.Path(str(path)), p)
 
     # A phase is complete if its entry in the manifest still has the fingerprint of what it was made from.
 
     def _manifest(self) -> dict[str, str]:
-        path = self.folder / "manifest.json"
-        return json.loads(path.read_text()) if path.exists() else {}
+        path = f"{self.folder}/manifest.json"
+        return json.loads(self.spark.read.text(path, wholetext=True).first()["value"]) if exists(self.spark, path) else {}
 
     def _write(self, manifest: dict[str, str]) -> None:
-        (self.folder / "manifest.json").write_text(json.dumps(manifest, sort_keys=True))
+        fs, p = _of(f"{self.folder}/manifest.json", self.spark)
+        out = fs.create(p, True)
+        out.write(json.dumps(manifest, sort_keys=True).encode())
+        out.close()
 
     def complete(self, phase: int, fingerprint: str = "") -> None:
         if not all(self.is_complete(n) for n in NEEDS[phase]):
@@ -117,7 +139,7 @@ class Session:
 
     def state(self) -> dict[str, DataFrame | None]:
         """Each artifact, None where it was never made."""
-        return {k: self.load(k) if Path(self._at(k)).exists() else None for k in ARTIFACTS}
+        return {k: self.load(k) if exists(self.spark, self._at(k)) else None for k in ARTIFACTS}
 
 
 def fingerprint(records: DataFrame) -> str:

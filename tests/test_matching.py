@@ -141,6 +141,23 @@ def test_optimal_is_best_of_all():
         assert got["aseq"].is_unique and got["fseq"].is_unique and np.isclose(got["score"].sum(), best)
 
 
+def test_large_groups_are_parted_alike(spark):
+    rng = random.Random(6)
+    cells = [(g, 100 * g + a, 100 * g + f, float(rng.randint(80, 99))) for g in range(3) for a in range(20) for f in range(20) if rng.random() < 0.08]
+    edges = spark.createDataFrame(cells, "g long, aseq long, fseq long, score double")
+    for mode in ("greedy", "optimal"):
+        one, parted = ({(r["aseq"], r["fseq"], r["score"]) for r in assignment.assigned(edges, mode, most=n).collect()} for n in (10_000, 1))
+        assert one == parted if mode == "greedy" else np.isclose(sum(x[2] for x in one), sum(x[2] for x in parted))
+
+
+def test_optimal_of_many(spark):
+    rng = random.Random(7)
+    cells = pd.DataFrame([(a, (a * 7 + k) % 3000, 80 + rng.random() * 19) for a in range(3000) for k in range(4)], columns=["aseq", "fseq", "score"])
+    got = assignment.optimal_pairs(cells)
+    greedy_total = assignment.greedy_pairs(cells)["score"].sum()
+    assert got["aseq"].is_unique and got["fseq"].is_unique and got["score"].sum() >= greedy_total
+
+
 def greedy(cells):
     used, out = set(), {}
     for a in sorted({c[0] for c in cells}):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillmatch.operators import review
 from quillmatch.plans import catalogue
@@ -57,6 +58,14 @@ def test_json_and_session(spark, tmp_path):
     assert Session.names(tmp_path) == [] and not valid_name("session_a/b") and not valid_name("x")
 
 
+def test_order_of_several_files(spark, tmp_path):
+    rows = spark.range(500).selectExpr("concat('f', id) AS id", "1 AS page", "'x' AS label", "'' AS form_name", "'' AS visit", "array(1.0D) AS rect", "'checkbox' AS field_type", "0.0D AS page_width", "0.0D AS page_height", "id AS seq")
+    records.save_json(rows.repartition(9, "id"), f"file://{tmp_path}/many", "fields")
+    assert [r["id"] for r in records.load_json(spark, f"file://{tmp_path}/many", "fields").orderBy("seq").collect()] == [f"f{k}" for k in range(500)]
+    null = rows.withColumn("id", F.when(F.col("seq") > 0, F.col("id")))
+    assert review.deleted(null, "id", "f3").count() == 499
+
+
 def test_stream_of_the_log(spark, tmp_path):
     from quillmatch.streaming.audit import action_counts, append, stream_log
 
