@@ -45,11 +45,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.shared import SPACES, Words, as_bytes, bounds, components, discard, fresh, shared_folder, slices, sorted_runs, stored, table, tidy, windows, write_buckets
+from quillmatch.llm.shared import SPACES, Words, as_bytes, bounds, components, discard, fresh, shared_folder, slices, sorted_runs, stored, table, tidy, tree_edges, windows, write_buckets
 
 SHINGLE, NEAR = 5, 75
 CELLS, BITS, LEAF, PIVOTS = 4, 1024, 512, 8
@@ -367,9 +367,6 @@ def forest(data: list[np.ndarray], exact: bool, sizes: list[int] | None = None,
     return [(r, i) for i in range(len(data)) if own[i] == i and (r := find(i)) != i]
 
 
-_EDGES = "a binary, b binary"
-
-
 def _forests(exact: bool) -> Run:
     """Rows (g, node, label, n, data) sorted by g to edges (a, b) of labels. Labels that a group has united are one label in the partition's later groups."""
 
@@ -431,39 +428,6 @@ def _matched(exact: bool) -> Run:
     return run
 
 
-def _edges(keyed: DataFrame, facts: DataFrame | None, weight: Column, most: int, exact: bool) -> tuple[DataFrame, bool]:
-    """(Trees of labels (a, b) of what is linked in each key; whether a key was cut).
-
-    ``keyed``: key, and node, label, n, data or the lid by which ``facts`` has them. A key whose ``weight`` (of
-    ``keyed``) sums to more than ``most`` is cut into blocks by node.
-    """
-    totals = stored(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.ceil(F.sum(weight) / F.lit(float(most))).cast("int").alias("blocks")))
-    sized = keyed.join(totals.where("rows > 1").drop("rows"), "key")
-    sized = sized if facts is None else sized.join(facts, "lid")
-    columns = ["key", "node", "label", "n", "data"]
-
-    def trees(grouped: DataFrame) -> DataFrame:
-        return grouped.select("g", *columns[1:]).repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_forests(exact)), _EDGES)
-
-    found = stored(trees(sized.where("blocks <= 1").withColumn("g", F.xxhash64("key"))))
-    if totals.where("rows > 1 and blocks > 1").isEmpty():
-        return found, False
-    hot = stored(sized.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    pivots = hot.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", "data"), "node").alias("p"), F.first("blocks").alias("blocks"))
-    pivots = pivots.select("key", "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
-    schema = T.StructType([*hot.join(pivots, ["key", "own"]).schema.fields, T.StructField("linked", T.BooleanType())])
-    hot = stored(hot.join(pivots, ["key", "own"]).mapInArrow(tidy(_matched(exact)), schema))
-    star = hot.where("linked and label <> p.label").select(F.col("p.label").alias("a"), F.col("label").alias("b"))
-    rest = stored(hot.where("not linked").groupBy("key").agg(F.ceil(F.sum(weight) / F.lit(float(most))).cast("int").alias("others")))
-    hot = hot.withColumn("label", F.when(F.col("linked"), F.col("p.label")).otherwise(F.col("label"))).join(rest, "key")
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), "others").cast("int")
-    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("key", F.lit("m"), "own", j))
-    with_linked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.xxhash64("key", F.lit("m"), i, mine))
-    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("key", F.lit("o"), F.least(mine, j), F.greatest(mine, j)))
-    cut = hot.withColumn("g", F.explode(F.when(F.col("linked"), with_others).otherwise(F.concat(with_linked, among))))
-    return found.union(star).union(stored(trees(cut))), True
-
-
 def _labelled(edges: DataFrame, cut: bool) -> DataFrame:
     """(node, root) of the nodes of trees; those of different tasks can belong together if a key was ``cut``."""
     if cut:
@@ -472,9 +436,9 @@ def _labelled(edges: DataFrame, cut: bool) -> DataFrame:
 
 
 def _exact(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, bool]:
-    """As ``_edges``, on whole sets, for members (node, label, root) of the families root."""
+    """As ``tree_edges``, on whole sets, for members (node, label, root) of the families root."""
     whole = stored(texts.join(members.hint("shuffle_hash"), "node").select(F.xxhash64("root").alias("key"), "node", "label", "text").mapInArrow(tidy(_to_sets), "key long, node binary, label binary, n long, data binary"))
-    return _edges(whole, None, F.col("n"), BLOCK_SHINGLES, exact=True)
+    return tree_edges(whole, None, F.col("n"), BLOCK_SHINGLES, _forests(True), _matched(True))
 
 
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,7 +462,8 @@ def _links(texts: DataFrame, sums: DataFrame) -> DataFrame:
 
     # Bytes of a text's bits, from its size class.
     weight = F.greatest(F.lit(BITS / 8), F.pow(F.lit(2.0), F.shiftright("lid", 2).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)) / LEVELS) * 3 / 16)
-    maybe, _ = _edges(meeting.where("near = 1").select(F.col("cell").alias("key"), "lid"), facts.withColumn("label", F.col("node")), weight, BLOCK, exact=False)
+    bits = (_forests(False), _matched(False))
+    maybe, _ = tree_edges(meeting.where("near = 1").select(F.col("cell").alias("key"), "lid"), facts.withColumn("label", F.col("node")), weight, BLOCK, *bits)
     families = components(maybe)
     first, cut = _exact(families.select("node", F.col("node").alias("label"), "root"), texts)
     found = stored(_labelled(first, cut))
@@ -509,7 +474,7 @@ def _links(texts: DataFrame, sums: DataFrame) -> DataFrame:
     discard(all_met)
     bridges = met.groupBy("cell").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.min("near").alias("near")).where("x <> y and near = 0").select("cell")
     apart = stored(met.join(bridges, "cell", "left_semi").select("cell", "lid").distinct())
-    maybe, _ = _edges(apart.withColumnRenamed("cell", "key"), label, weight, BLOCK, exact=False)
+    maybe, _ = tree_edges(apart.withColumnRenamed("cell", "key"), label, weight, BLOCK, *bits)
     if maybe.isEmpty():
         return found
     families = components(maybe).withColumnRenamed("node", "label")

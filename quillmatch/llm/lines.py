@@ -2,7 +2,7 @@
 
 Lines are the ``\\n``-split parts of a text, trimmed of spaces, tabs and carriage returns.
 A line of ``MIN_CHARS`` code points or more is removed if an earlier line, in the order of
-(doc_id, line number), is equal to it or belongs to the same class of lines; classes are
+(doc_id, hash of the text, line number), is equal to it or belongs to the same class of lines; classes are
 the connected components of lines within so many insertions, deletions or substitutions
 of each other as the shorter may have: one for each ``CHARS_AN_EDIT`` code points, at most
 ``EDITS``. Lines of fewer than ``CHARS_AN_EDIT`` thus go as exact repeats only. Lines
@@ -19,13 +19,13 @@ without text always stay.
 3. In a cell, pairs whose character counts differ too much are excluded by a matrix of
    counts, and the rest is verified with a bit-parallel edit distance on the band of
    cells within EDITS of the diagonal. A line that was reached is not compared again; cells
-   emit trees, never all pairs. A cell beyond ``BLOCK`` lines is cut into blocks, one task
+   emit trees, never all pairs. A cell beyond ``BLOCK`` lines takes one as a pivot: the lines
+   within the edits of that belong together and meet only the rest, in blocks with one task
    for each pair of blocks.
 
-Null texts stay null and have no lines. Null ids come first. Rows of one id share line
-numbers: a line stays if the line at its place in any row of that id is the first of its
-class, so repeated rows stay equal to each other. Empty tables give empty results. Other
-columns of the input are kept as they are.
+Null texts stay null and have no lines. Null ids come first. Rows of one id are told apart
+by a 64-bit hash of the text; rows equal in both are one document and stay equal to each
+other. Empty tables give empty results. Other columns of the input are kept as they are.
 """
 
 from __future__ import annotations
@@ -35,16 +35,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.shared import bounds, components, fresh, sorted_runs, stored, table
+from quillmatch.llm.shared import bounds, components, fresh, slices, sorted_runs, stored, table, tidy, tree_edges
 
 EDITS, MIN_CHARS, CHARS_AN_EDIT, BLOCK = 2, 1, 16, 2048
-#: Rows of ids that may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Longs (16 MB) that may be broadcast, counted before; more are joined by a shuffle.
+BROADCAST_LONGS = 2 << 20
 TRIM = " \t\r"
 
 
@@ -138,21 +139,20 @@ def long_lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
 
 
 def _first_lines(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc_id, text) to the first occurrence in a batch of each long line: (h1, h2, doc_id, at)."""
+    """Rows (doc_id, hash, text) to the first occurrence in a slice of a batch of each long line: (h1, h2, doc_id, hash, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[tuple[int, int], tuple] = {}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for at, line in long_lines(text.as_py(), least):
-                    name, key = digest(line), (doc is not None, doc or 0, at)
-                    if name not in first or key < first[name]:
-                        first[name] = key
-            docs = [v[1] if v[0] else None for v in first.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in first], pa.int64()), pa.array([k[1] for k in first], pa.int64()), pa.array(docs, pa.int64()), pa.array([v[2] for v in first.values()], pa.int32())],
-                ["h1", "h2", "doc_id", "at"],
-            )
+            for part in slices(batch, rows=10_000, most=8 << 20):
+                first: dict[tuple[int, int], tuple] = {}
+                for doc, hashed, text in zip(part.column("doc_id").to_pylist(), part.column("hash").to_pylist(), part.column("text"), strict=True):
+                    for at, line in long_lines(text.as_py(), least):
+                        name, key = digest(line), (doc is not None, doc or 0, hashed, at)
+                        if name not in first or key < first[name]:
+                            first[name] = key
+                docs = [v[1] if v[0] else None for v in first.values()]
+                longs = [[k[0] for k in first], [k[1] for k in first], docs, [v[2] for v in first.values()]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in longs], pa.array([v[3] for v in first.values()], pa.int32())], ["h1", "h2", "doc_id", "hash", "at"])
 
     return run
 
@@ -163,11 +163,11 @@ def _cells(least: int, edits: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
+            for part in slices(batch, rows=2000, most=4 << 20):
                 seen: set[tuple[int, int]] = set()
                 cells: list[int] = []
                 lids: list[int] = []
-                for text in batch.slice(k, 2000).column("text"):
+                for text in part.column("text"):
                     for _, line in long_lines(text.as_py(), least):
                         n = len(line)
                         own = allowed(n, edits) + 1
@@ -188,19 +188,27 @@ def _cells(least: int, edits: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by cell, those of cells with two lines of which one has the segment as its own: (cell, lid, n)."""
-    for run in sorted_runs(batches, "cell"):
-        cell, lid = run["cell"].to_numpy(), run["lid"].to_numpy()
-        order = np.lexsort((lid, cell))
-        cell, lid = cell[order], lid[order]
-        new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (lid[1:] >> 1 != lid[:-1] >> 1)))
+    """Of rows (cell, lid) sorted by cell and then by the lowest bit of lid, ones first, those of cells with two lines of which one has the segment as its own. One row is held at a time beyond its batch."""
+    cell_, first, owned, several = None, 0, False, False  # the cell so far: its first lid, whether it is owned, whether it has two lines
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, lid = batch.column("cell").to_numpy(), batch.column("lid").to_numpy()
         at = bounds(cell)
         group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        n = np.bincount(group, new).astype(np.int64)
-        own = np.bincount(group, lid & 1)
-        keep = np.flatnonzero(((n > 1) & (own > 0))[group] & new)
-        if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(lid[keep] & -2), pa.array(n[group[keep]])], ["cell", "lid", "n"])
+        head, own = lid[at[:-1]] & -2, (lid[at[:-1]] & 1).astype(bool)
+        goes_on = cell_ == cell[0]
+        if goes_on:
+            head[0], own[0] = first, owned
+        two = np.bincount(group, (lid & -2) != head[group]) > 0
+        late = np.array([[cell_, first]] if goes_on and owned and two[0] and not several else [], np.int64).reshape(-1, 2)
+        if goes_on:
+            two[0] |= several
+        keep = (two & own)[group]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cell[keep], late[:, 0])), pa.array(np.append(lid[keep] & -2, late[:, 1]))], ["cell", "lid"])
+        if len(at) > 2 or not goes_on:
+            cell_, several = cell[-1], False
+        first, owned, several = int(head[-1]), bool(own[-1]), bool(two[-1])
 
 
 def _texts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -208,14 +216,15 @@ def _texts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[bytes, tuple[int, str]] = {}
-            for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                wanted = set(wanted)
-                for _, line in long_lines(text.as_py(), least):
-                    h1, h2 = digest(line)
-                    if h1 in wanted:
-                        out[name_of(h1, h2)] = (h1 & -2, line)
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in out.values()], pa.int64()), pa.array(list(out), pa.binary()), pa.array([v[1] for v in out.values()], pa.string())], ["lid", "line", "text"])
+            for part in slices(batch):
+                out: dict[bytes, tuple[int, str]] = {}
+                for text, wanted in zip(part.column("text"), part.column("wanted").to_pylist(), strict=True):
+                    wanted = set(wanted)
+                    for _, line in long_lines(text.as_py(), least):
+                        h1, h2 = digest(line)
+                        if h1 in wanted:
+                            out[name_of(h1, h2)] = (h1 & -2, line)
+                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in out.values()], pa.int64()), pa.array(list(out), pa.binary()), pa.array([v[1] for v in out.values()], pa.string())], ["lid", "line", "text"])
 
     return run
 
@@ -224,11 +233,14 @@ def name_of(h1: int, h2: int) -> bytes:
     return h1.to_bytes(8, "big", signed=True) + h2.to_bytes(8, "big", signed=True)
 
 
-def tree(lines: list[str], edits: int) -> list[tuple[int, int]]:
-    """Edges of trees over what is connected by at most ``edits`` edits, fewer for short lines; each line that was reached is compared with those that were not."""
+def tree(lines: list[str], edits: int, labels: list[bytes] | None = None) -> list[tuple[int, int]]:
+    """Edges of trees over what is connected by at most ``edits`` edits, fewer for short lines; each line that was reached is compared with those that were not. Lines of one label belong together from the start."""
     counts = np.zeros((len(lines), 64), np.int16)
     for k, line in enumerate(lines):
         counts[k] = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") % 64, minlength=64)
+    numbers: dict[bytes, int] = {}
+    own = np.array([numbers.setdefault(x, k) for k, x in enumerate(labels)]) if labels else np.arange(len(lines))
+    shared = len(numbers) < len(lines) if labels else False
     free = np.ones(len(lines), bool)
     edges = []
     for seed in range(len(lines)):
@@ -238,6 +250,10 @@ def tree(lines: list[str], edits: int) -> list[tuple[int, int]]:
         queue = [seed]
         while queue:
             i = queue.pop()
+            if shared:
+                same = np.flatnonzero(free & (own == own[i]))
+                free[same] = False
+                queue.extend(same.tolist())
             rest = np.flatnonzero(free)
             if not len(rest):
                 return edges
@@ -251,73 +267,90 @@ def tree(lines: list[str], edits: int) -> list[tuple[int, int]]:
 
 
 def _trees(edits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (g, node, label, n, data) sorted by g to edges (a, b) of labels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_runs(batches, "g"):
             at = bounds(group["g"].to_numpy())
-            names, texts = group["line"].to_pylist(), group["text"].to_pylist()
+            names, labels, texts = (group[c].to_pylist() for c in ("node", "label", "data"))
             a, b = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                own = dict(zip(names[lo:hi], texts[lo:hi], strict=True))
-                keys = list(own)
-                for i, j in tree(list(own.values()), edits):
-                    a.append(keys[i])
-                    b.append(keys[j])
+                first = list({names[k]: k for k in range(lo, hi)}.values())
+                own = [labels[k] for k in first]
+                for i, j in tree([texts[k] for k in first], edits, own) if len(first) > 1 else ():
+                    a.append(own[i])
+                    b.append(own[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
 
+def _matched(edits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the pivot p of their key: with ``linked``, whether they are within the edits of the shorter one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("data").to_pylist(), pa.compute.struct_field(batch.column("p"), "data").to_pylist(), strict=True)
+            yield batch.append_column("linked", pa.array([within(x, y, allowed(min(len(x), len(y)), edits)) for x, y in pairs], pa.bool_()))
+
+    return run
+
+
 def _kept(least: int, name: str, lines: str, gone: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows with text and ``name`` (numbers of the long lines that stay) to rows with the new text, and the numbers of lines before and removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, before, removed = [], [], []
-            for text, kept in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
-                own = text.split("\n") if text is not None else []
-                stay = set(kept or ())
-                out = [x for at, x in enumerate(own) if at in stay or len(x.strip(TRIM)) < least]
-                texts.append(None if text is None else "\n".join(out))
-                before.append(len(own))
-                removed.append(len(own) - len(out))
-            names = [n for n in batch.schema.names if n != name]
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], [*names, lines, gone])
+            for part in slices(batch):
+                texts, before, removed = [], [], []
+                for text, kept in zip(part.column("text"), part.column(name).to_pylist(), strict=True):
+                    text = text.as_py()
+                    own = text.split("\n") if text is not None else []
+                    stay = set(kept or ())
+                    out = [x for at, x in enumerate(own) if at in stay or len(x.strip(TRIM)) < least]
+                    texts.append(None if text is None else "\n".join(out))
+                    before.append(len(own))
+                    removed.append(len(own) - len(out))
+                names = [n for n in part.schema.names if n != name]
+                columns = [pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], [*names, lines, gone])
 
     return run
 
 
 def edit_classes(docs: DataFrame, first: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """(node, root) of the long lines that are within ``edits`` of another one, by their 16-byte names; ``first``: (h1, h2, doc_id, at) of every distinct line."""
-    active = stored(docs.mapInArrow(_cells(least, edits), "cell long, lid long").repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs, "cell long, lid long, n long"))
-    lids = stored(active.select("lid").distinct())
-    where = first.withColumn("lid", F.col("h1").bitwiseAND(F.lit(-2))).join(lids, "lid").groupBy("doc_id").agg(F.collect_set("h1").alias("wanted"))
-    where = stored(where.withColumnRenamed("doc_id", "_id"))
-    if where.count() <= BROADCAST_ROWS and lids.count() <= BROADCAST_ROWS:
+    """(node, root) of the long lines that are within ``edits`` of another one, by their 16-byte names; ``docs``: doc_id, hash, text; ``first``: (h1, h2, doc_id, hash, at) of every distinct line."""
+    cells = docs.select("text").mapInArrow(tidy(_cells(least, edits)), "cell long, lid long").repartition("cell")
+    cells = cells.sortWithinPartitions("cell", F.col("lid").bitwiseAND(F.lit(1)).desc())
+    active = stored(cells.mapInArrow(tidy(_pairs), "cell long, lid long").distinct())
+    lids = active.select("lid").distinct()
+    where = first.withColumn("lid", F.col("h1").bitwiseAND(F.lit(-2))).join(lids, "lid").groupBy("doc_id", "hash").agg(F.collect_set("h1").alias("wanted"))
+    where = stored(where.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"}))
+    if (where.agg(F.sum(F.size("wanted") + 4).alias("n")).first()["n"] or 0) <= BROADCAST_LONGS:
         where = F.broadcast(where)
-    texts = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "wanted").mapInArrow(_texts(least), "lid long, line binary, text string")
-    texts = texts.groupBy("line").agg(F.first("lid").alias("lid"), F.first("text").alias("text"))
-    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-    own = F.pmod(F.xxhash64("lid"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("cell", F.least(own, j), F.greatest(own, j)))
-    rows = active.select("lid", F.explode(F.when(blocks <= 1, F.array(F.col("cell"))).otherwise(pairs)).alias("g")).join(texts, "lid")
-    return components(rows.select("g", "line", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_trees(edits), "a binary, b binary"))
+    texts = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("text", "wanted").mapInArrow(tidy(_texts(least)), "lid long, line binary, text string")
+    texts = texts.groupBy("line").agg(F.first("lid").alias("lid"), F.first("text").alias("data"))
+    facts = texts.select("lid", F.col("line").alias("node"), F.col("line").alias("label"), F.length("data").cast("long").alias("n"), "data")
+    found, _ = tree_edges(active.withColumnRenamed("cell", "key"), stored(facts), F.lit(1), BLOCK, _trees(edits), _matched(edits))
+    return components(found)
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
-    """``docs`` with text without the lines that repeat an earlier one, and two columns more: how many lines a row had and how many went."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    firsts = slim.mapInArrow(_first_lines(least), "h1 long, h2 long, doc_id long, at int")
-    first = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("f"))
-    first = stored(first.select("h1", "h2", "f.doc_id", "f.at"))
+    """``docs`` with text without the lines that repeat an earlier one, and two columns more: how many lines a row had and how many went. Columns of these names are replaced."""
+    docs = docs.drop(n_lines, n_removed)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    firsts = slim.mapInArrow(tidy(_first_lines(least)), "h1 long, h2 long, doc_id long, hash long, at int")
+    first = firsts.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "hash", "at")).alias("f"))
+    first = stored(first.select("h1", "h2", "f.*"))
     classes = edit_classes(slim, first, edits, least)
     named = first.withColumn("node", F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))))
-    by_class = named.join(classes, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "at")).alias("f"))
-    key, stay = fresh("_id", docs), fresh("_kept", docs)
-    kept = by_class.select(F.col("f.doc_id").alias(key), F.col("f.at").alias("at")).groupBy(key).agg(F.collect_list("at").alias(stay))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], stay)
+    by_class = named.join(classes, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "hash", "at")).alias("f"))
+    key, hashed, stay = fresh("_id", docs), fresh("_hash", docs), fresh("_kept", docs)
+    kept = by_class.select("f.*").groupBy(F.col("doc_id").alias(key), F.col("hash").alias(hashed)).agg(F.collect_list("at").alias(stay))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(hashed))
+    joined = docs.join(kept, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], stay)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_removed, T.LongType())])
-    return joined.mapInArrow(_kept(least, stay, n_lines, n_removed), schema)
+    return joined.mapInArrow(tidy(_kept(least, stay, n_lines, n_removed)), schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

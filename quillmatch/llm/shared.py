@@ -5,17 +5,20 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmatch.operators.graph import components, discard, shared_folder, stored
 
 __all__ = [
-    "NOT_ALNUM", "SPACES", "Words", "as_bytes", "bounds", "components", "discard", "fresh", "held", "keep_only", "read_buckets", "shared_folder", "slices", "sliding_min",
-    "sorted_runs", "stored", "table", "tidy", "windows", "write_buckets",
+    "NOT_ALNUM", "SPACES", "Words", "as_bytes", "bounds", "components", "discard", "fresh", "held", "keep_only", "read_buckets", "shared_folder", "slices", "sliding_min", "small_batches",
+    "sorted_runs", "stored", "table", "tidy", "tree_edges", "windows", "write_buckets",
 ]
 
 Batches = Iterator[pa.RecordBatch]
@@ -81,6 +84,18 @@ def give_back() -> None:
         _trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside gets Arrow batches of at most so many rows, for rows of whole texts or ids."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(run: Callable[[Batches], Batches], owner: str | None = None) -> Callable[[Batches], Batches]:
     """``run`` for mapInArrow, in a worker process that holds nothing of other operators and gives its memory back at the end."""
 
@@ -103,6 +118,46 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 1000, most:
         at = end
 
 
+# ---------------------------------------------------------------- links in groups of any size
+
+
+def tree_edges(keyed: DataFrame, facts: DataFrame | None, weight: Column, most: int, forests: Callable[[Batches], Batches], matched: Callable[[Batches], Batches]) -> tuple[DataFrame, bool]:
+    """(Trees of labels (a, b) of what is linked in each key; whether a key was cut).
+
+    ``keyed``: key, and node, label, n, data or the lid by which ``facts`` has them. ``forests``: rows (g, node, label, n,
+    data) sorted by g to trees (a, b) of the labels in each g. ``matched``: rows with p, another row of the key, to rows
+    with linked, whether they are.
+
+    A key whose ``weight`` (of ``keyed``) sums to more than ``most`` takes its least node as a pivot: what is linked with
+    that belongs together and only meets the rest, in blocks by node, with a g for each pair of blocks.
+    """
+    totals = stored(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.ceil(F.sum(weight) / F.lit(float(most))).cast("int").alias("blocks")))
+    sized = keyed.join(totals.where("rows > 1").drop("rows"), "key")
+    sized = sized if facts is None else sized.join(facts, "lid")
+    columns = ["key", "node", "label", "n", "data"]
+
+    def trees(grouped: DataFrame) -> DataFrame:
+        return grouped.select("g", *columns[1:]).repartition("g").sortWithinPartitions("g").mapInArrow(tidy(forests), "a binary, b binary")
+
+    found = stored(trees(sized.where("blocks <= 1").withColumn("g", F.xxhash64("key"))))
+    if totals.where("rows > 1 and blocks > 1").isEmpty():
+        return found, False
+    hot = stored(sized.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    pivots = hot.groupBy("key").agg(F.min_by(F.struct("node", "label", "n", "data"), "node").alias("p"), F.first("blocks").alias("blocks"))
+    pivots = pivots.select("key", "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    schema = T.StructType([*hot.join(pivots, ["key", "own"]).schema.fields, T.StructField("linked", T.BooleanType())])
+    hot = stored(hot.join(pivots, ["key", "own"]).mapInArrow(tidy(matched), schema))
+    star = hot.where("linked and label <> p.label").select(F.col("p.label").alias("a"), F.col("label").alias("b"))
+    rest = stored(hot.where("not linked").groupBy("key").agg(F.ceil(F.sum(weight) / F.lit(float(most))).cast("int").alias("others")))
+    hot = hot.withColumn("label", F.when(F.col("linked"), F.col("p.label")).otherwise(F.col("label"))).join(rest, "key")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), "others").cast("int")
+    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("key", F.lit("m"), "own", j))
+    with_linked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.xxhash64("key", F.lit("m"), i, mine))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("key", F.lit("o"), F.least(mine, j), F.greatest(mine, j)))
+    cut = hot.withColumn("g", F.explode(F.when(F.col("linked"), with_others).otherwise(F.concat(with_linked, among))))
+    return found.union(star).union(stored(trees(cut))), True
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Groups of consecutive equal ``key`` (a long without nulls) in a partition sorted by it, as tables that hold whole groups."""
     held: list[pa.Table] = []

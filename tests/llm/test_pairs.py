@@ -203,7 +203,7 @@ def test_lines_of_null_and_equal_ids(spark, corpus):
     path = corpus(rows)
     docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"_hash": F.lit("x"), "_id": F.col("doc_id"), "hash": F.array(F.lit(1))})
     got = lines.dedup_lines(docs)
-    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert got.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_removed"]
     left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
     nulls = [t for i, t in left if i is None]
     assert [x for x in left if x[0] is not None] == [(1, one), (5, ""), (5, ""), (9, ""), (9, None)]
@@ -413,10 +413,20 @@ def test_shards_and_one_scan(spark, corpus, monkeypatch):
     whole = sorted(map(tuple, found.collect()))
     assert len(whole) == 60
     monkeypatch.setattr(decontaminate, "SHARD", 7)
-    search = decontaminate._Search(decontaminate.Benchmark([(i, t, []) for i, t in items], [30, 32]))
-    search.add([i for i, _ in rows], pa.array([t for _, t in rows]))
+    search = decontaminate._Search(decontaminate.Benchmark([(i, t, []) for i, t in items], [30]))
+    search.add([(i, 0) for i, _ in rows], pa.array([t for _, t in rows]))
     got = search.results().to_pylist()
-    assert [(r["doc_id"], r["item_id"], r["first_word"]) for r in got] == [(d, i, a) for d, i, _, _, a in whole]
+    assert [(r["doc_id"], r["item_id"], r["first_word"]) for r in got] == [(d, i, a) for d, _, i, _, _, a in whole]
+
+
+def test_decontamination_stage_keeps_clean_rows_of_an_id(spark, corpus):
+    rng = seeded(23)
+    item, clean = prose(rng, 40), prose(rng, 60)
+    path = corpus([(None, "x " + item), (None, clean), (None, None), (5, item), (5, clean), (5, clean), (6, "")], benchmark=[(1, item), (None, "")])
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"_id": F.lit(1), "hash": F.array(F.lit(2))})
+    out = decontaminate.stage_decontaminate(spark, docs, path)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(None, clean), (None, None), (5, clean), (5, clean), (6, "")], key=repr)
 
 
 def test_decontamination_of_nothing(spark, corpus):
