@@ -53,7 +53,7 @@ PENDING, CHUNK, ROWS = 200_000, 1 << 17, 128  # windows that wait for a look-up,
 _U = np.uint64
 _BLOCK = np.arange(BLOCKS) << 16
 _words = Words(NOT_ALNUM, lower=True)
-FOUND = "doc_id long, item_id long, similarity double, distance int, first_word long"
+FOUND = "doc_id long, hash long, item_id long, similarity double, distance int, first_word long"
 Item = tuple[int | None, str | None, list[tuple[int, int]]]
 
 
@@ -272,7 +272,7 @@ class _Search:
         self.clear()
 
     def clear(self) -> None:
-        self.docs: list[tuple[int | None, np.ndarray, np.ndarray]] = []  # id, places and shingles of hits
+        self.docs: list[tuple[tuple[int | None, int], np.ndarray, np.ndarray]] = []  # (id, hash of the text), places and shingles of hits
         self.found: dict[tuple[int, int], tuple[float, int, int]] = {}  # (document, item): (similarity, -distance, -first word)
         self.waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}  # by class: (prints, place, size, document)
         self.many = 0
@@ -282,7 +282,8 @@ class _Search:
         if similarity >= SIMILAR - 1e-9 and new > self.found.get((doc, k), (0.0, 0, 0)):
             self.found[doc, k] = new
 
-    def add(self, ids: list[int | None], texts: pa.Array) -> None:
+    def add(self, ids: list[tuple[int | None, int]], texts: pa.Array) -> None:
+        """``ids``: id and hash of each text."""
         raw = [as_bytes(t.as_py()) for t in texts]
         data = np.frombuffer(b"\n".join(raw), np.uint8)
         spans = _words.spans(data)
@@ -353,13 +354,13 @@ class _Search:
         values = [self.found[x] for x in keys]
         out = pa.RecordBatch.from_arrays(
             [
-                pa.array([self.docs[d][0] for d, _ in keys], pa.int64()),
+                *[pa.array([self.docs[d][0][k] for d, _ in keys], pa.int64()) for k in (0, 1)],
                 pa.array([bench.ids[k] for _, k in keys], pa.int64()),
                 pa.array([v[0] for v in values], pa.float64()),
                 pa.array([-v[1] for v in values], pa.int32()),
                 pa.array([-v[2] for v in values], pa.int64()),
             ],
-            ["doc_id", "item_id", "similarity", "distance", "first_word"],
+            ["doc_id", "hash", "item_id", "similarity", "distance", "first_word"],
         )
         self.clear()
         return out
@@ -371,15 +372,15 @@ def _search(sent: Broadcast, key: str, batches: Iterator[pa.RecordBatch]) -> Ite
     search = _Search(held("decontaminate", key, lambda: Benchmark(*sent.value)))
     for batch in batches:
         for part in slices(batch, rows=2000):
-            search.add(part.column("doc_id").to_pylist(), part.column("text"))
+            search.add(list(zip(part.column("doc_id").to_pylist(), part.column("hash").to_pylist(), strict=True)), part.column("text"))
             if search.many > PENDING:
                 yield search.results()
     yield search.results()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
-    """(doc_id, item_id, similarity, distance, first_word) of every document and item that it holds."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, hash, item_id, similarity, distance, first_word) of every document and item that it holds; hash: of the text, 64 bits."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     spark, out, block, held_bytes = docs.sparkSession, None, [], 0
     named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.sha2("text", 256).alias("name"))
     counted = stored(named.where("text is not null").groupBy("name").agg(F.first("text").alias("text"), F.count("*").alias("n")).mapInArrow(tidy(_counted), "name string, n long, shingle long, length long"))
@@ -405,11 +406,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")).drop("hash")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no item of the benchmark is found. Rows of one id go or stay together."""
+    """The documents in which no item of the benchmark is found. Rows of one id are told apart by the hash of their text, so a clean row stays."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    key = fresh("_id", docs)
-    return docs.join(found.select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    key, hashed = fresh("_id", docs), fresh("_hash", docs)
+    found = found.select(F.col("doc_id").alias(key), F.col("hash").alias(hashed)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(hashed)), "left_anti")

@@ -13,8 +13,9 @@ cluster into content regions. Where article or main elements hold most of these
 all of them are the content; else it is the least element that holds almost all of the
 regions' characters. Its blocks are kept whole, so a short line amid the article isn't
 lost. In an element that isn't an article, what lies before the first or after the last
-content line, in elements of its own, is kept only if the element has a content line or it
-is a heading that is no link.
+content line is kept if it is the element's own, a heading that is no link, or in a child
+with a content line; other children there go if they are mostly links, and, where only
+the page as a whole holds the content, if they are no lists, tables or quotations.
 
 Pages are independent: nothing is shuffled. Null and empty html give an empty text. Html
 that is cut off or never closes its elements is read as far as it goes, in time that is in
@@ -43,7 +44,7 @@ APART = frozenset("nav footer aside form menu dialog header".split())
 #: Words in a name (class, id or role) of what is not the article, and of readers' comments.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside "
-    "footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended "
+    "adsbygoogle footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended "
     "pagination pager widget widgets toolbar skip complementary contentinfo search".split()
 )
 COMMENTS = frozenset("comment comments reply replies disqus discussion".split())
@@ -52,15 +53,20 @@ WITHOUT = frozenset("has have with no not without is show hide".split())
 #: Beside a mark, these can be of the part itself or of the page's wrapper: the text decides.
 STATES = frozenset("fixed sticky static open opened closed enabled disabled active visible left right top bottom layout wrapper wrap container page body theme grid site on off".split())
 #: Names that even a single paragraph or an inline element has only if it is an advert or the like.
-LEAF_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie newsletter".split())
+LEAF_NAMES = frozenset("adsbygoogle ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie newsletter".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Blocks that aren't kept open: what follows ends them.
-LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr hr option caption legend summary figcaption".split())
-LISTS = frozenset("ul ol dl".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 tr hr option caption legend summary figcaption".split())
+#: Items that the next one ends, with what it ends and what they lie in.
+_LIST, _TERMS, _CELLS = (frozenset(x.split()) for x in ("ul ol menu", "dl", "table"))
+ITEMS = {"li": (frozenset(["li"]), _LIST), "dt": (frozenset(["dt", "dd"]), _TERMS), "dd": (frozenset(["dt", "dd"]), _TERMS), "td": (frozenset(["td", "th"]), _CELLS), "th": (frozenset(["td", "th"]), _CELLS), "tr": (frozenset(["td", "th"]), _CELLS)}
+#: Children of a page that are parts of its text.
+TEXTUAL = frozenset("ul ol dl table blockquote pre figure".split())
+LISTS = frozenset("ul ol dl li dt dd".split())
 #: What ends a head, or a control, that is never closed.
 CONTROLS = frozenset("button select textarea title".split())
 ENDS_CONTROL = frozenset("article main section p h1 h2 h3 h4 h5 h6 table ul ol footer nav".split())
@@ -162,15 +168,29 @@ class _Lines(HTMLParser):
             self.end_line()  # an advert in a span is a line of its own
             self._push(tag, SURE)
 
+    def _end_items(self, ended: frozenset[str], lists: frozenset[str]) -> None:
+        """Closes the item before, if it is open in the innermost list."""
+        if not any(self.many[t] for t in ended):
+            return
+        k = len(self.open) - 1
+        while k and (tag := self.elements[self.open[k]].tag) not in lists and tag not in ended:
+            k -= 1
+        if k and tag in ended:
+            while len(self.open) > k:
+                self._pop()
+
     def _block(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.elements[self.open[-1]].tag in LEAVES:
             self._pop()
-        if tag in LEAVES:
+        if tag in ITEMS:
+            self._end_items(*ITEMS[tag])
+        if tag in LEAVES or tag in ITEMS:
             if tag == "h1":
                 self.titles.append(self.open[-1])
             names = {n.lower() for n in _names(attrs)}
-            if not LEAF_NAMES.isdisjoint(names) or (tag in ("li", "dd") and not COMMENTS.isdisjoint(names)):
-                self._push(tag, SURE)
+            apart = not LEAF_NAMES.isdisjoint(names) or (tag in ITEMS and not COMMENTS.isdisjoint(names))
+            if apart or (tag in ITEMS and tag != "tr"):
+                self._push(tag, SURE if apart else NO)
             return
         article = tag in ("article", "main")
         if article and not self.many["article"] and not self.many["main"] and not self.many["aside"]:
@@ -295,7 +315,25 @@ def main_text(html: str | None) -> str:
         within[k] = within[elements[k].parent]
     found = np.flatnonzero(content)
     first, last = int(found[0]), int(found[-1])
-    return "\n".join(line[0] for k, line in enumerate(lines) if within[line[3]] and not apart[line[3]] and (first <= k <= last or line[3] == least or held[line[3]] > 0 or k in page.headings))
+    # Of each element in it, the child of the least one that it lies in; of each child, the characters and those in links.
+    child = [0] * len(elements)
+    chars, links = np.zeros(len(elements)), np.zeros(len(elements))
+    for k in range(least + 1, len(elements)):
+        child[k] = k if elements[k].parent == least else child[elements[k].parent]
+    for text, linked, _, number in lines:
+        if not apart[number]:
+            chars[child[number]] += len(text)
+            links[child[number]] += linked
+
+    def kept(k: int) -> bool:
+        number = lines[k][3]
+        if not within[number] or apart[number]:
+            return False
+        if first <= k <= last or number == least or held[child[number]] > 0 or k in page.headings:
+            return True
+        return 2 * links[child[number]] < chars[child[number]] and (least > 0 or elements[child[number]].tag in TEXTUAL)
+
+    return "\n".join(line[0] for k, line in enumerate(lines) if kept(k))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

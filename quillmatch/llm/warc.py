@@ -13,7 +13,7 @@ Files go to the shared folder through its own file system, under a temporary nam
 they are whole; names come from the task's number, so a task that runs again writes
 the same files. Payloads are counted by digest within tasks before they are shuffled,
 and only digests that occur twice are joined back, broadcast if few (``BROADCAST_ROWS``)
-and by a shuffle otherwise.
+and by a shuffle otherwise, first to ids alone and then to pages by id and digest.
 
 Null html is an empty payload; a null url is an empty target. Null ids are no ids: such
 a page is never one that others revisit, and is itself a response. Rows that repeat the
@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import as_bytes, shared_folder, stored, table
+from quillmatch.llm.shared import as_bytes, shared_folder, stored, table, tidy
 
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 64 << 20, 4 << 20, 64 << 10, 6
 REVISIT_BYTES, BROADCAST_ROWS = 100, 200_000
@@ -114,6 +114,11 @@ class Archive:
             if self.bytes >= SAMPLE_BYTES:
                 self._start()
 
+    def discard(self) -> None:
+        """What a failed task leaves goes."""
+        self.out.close()
+        self.system.delete_file(self.temporary)
+
     def close(self) -> tuple[str, int, int]:
         if self.sample is not None:
             self._start()
@@ -129,26 +134,34 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     copies = pages.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
     copies = stored(copies.where("n > 1 and least is not null").select("digest", "least"))
     if copies.count() <= BROADCAST_ROWS:
-        copies = F.broadcast(copies)
-    rows = pages.join(copies, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("least"), F.col("least")).alias("refers_to"))
+        rows = pages.join(F.broadcast(copies), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("least"), F.col("least")).alias("refers_to"))
+    else:
+        # Without the html first: a digest that many pages have is one key, but a page with its digest is not.
+        again = stored(pages.select("page_id", "digest").join(copies, "digest").where("page_id <> least").select("page_id", "digest", F.col("least").alias("refers_to")).distinct())
+        rows = pages.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, made, open_ = TaskContext.get().partitionId(), [], None
-        for batch in batches:
-            for page, url, html, digest, to in zip(*(batch.column(n) for n in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                if open_ is None:
-                    open_ = Archive(f"{folder}/part-{task:05d}-{len(made):04d}.warc.zst")
-                open_.add(record(page.as_py(), url.as_py(), as_bytes(html.as_py()), digest.as_py(), to.as_py()))
-                if open_.bytes >= ARCHIVE_BYTES:
-                    made.append(open_.close())
-                    open_ = None
-        if open_:
-            made.append(open_.close())
+        try:
+            for batch in batches:
+                for page, url, html, digest, to in zip(*(batch.column(n) for n in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                    if open_ is None:
+                        open_ = Archive(f"{folder}/part-{task:05d}-{len(made):04d}.warc.zst")
+                    open_.add(record(page.as_py(), url.as_py(), as_bytes(html.as_py()), digest.as_py(), to.as_py()))
+                    if open_.bytes >= ARCHIVE_BYTES:
+                        made.append(open_.close())
+                        open_ = None
+            if open_:
+                made.append(open_.close())
+                open_ = None
+        finally:
+            if open_:
+                open_.discard()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], ["path", "records", "bytes"])
 
-    return stored(rows.mapInArrow(run, "path string, records long, bytes long"))
+    return stored(rows.mapInArrow(tidy(run), "path string, records long, bytes long"))
 
 
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -219,7 +232,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 yield _batch(out)
 
     n = max(archives.count(), 1)
-    return archives.select("path").repartition(min(n, 100_000)).mapInArrow(run, READ)
+    return archives.select("path").repartition(min(n, 100_000)).mapInArrow(tidy(run), READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -57,6 +57,14 @@ MOULDS = {
     "never closed": (f"<nav><ul><li><a href=1>Home<article><h1>Head<p>{A}<p>{B}<footer>Foot", f"Head\n{A}\n{B}"),
     "cut off": (f"<body><main><p>{A}</p><p>{B[:40]}", f"{A}\n{B[:40].strip()}"),
     "upper case": (f"<BODY><NAV><A HREF=x>Home</A></NAV><ARTICLE CLASS='Post'><H1>Head</H1><P>{A}</P></ARTICLE>", f"Head\n{A}"),
+    "layout table": (f"<table><tr><td><a href=1>Home</a><br><a href=2>News</a><td><h1>Head</h1>{P}<td>Seen <a href=3>elsewhere</a></table>", f"Head\n{T}"),
+    "comment items": (f"<main>{P}<ol><li class=comment><p>{A}</p><p>{B}</p></li></ol></main>", T),
+    "list items with blocks": (f"<article><p>{A}</p><ul><li><p>One</p><p>two</p><li><p>Three</p></ul><p>{B}</p></article>", f"{A}\nOne\ntwo\nThree\n{B}"),
+    "nested lists": (f"<article><p>{A}</p><ul><li>One<ul><li>Two<li>Three</ul><li>Four</ul><p>{B}</p></article>", f"{A}\nOne\nTwo\nThree\nFour\n{B}"),
+    "list at the end of a div": (f"<body><div class=entry>{P}<ul><li>ok</li><li>fine</li></ul></div><div class=tail><a href=1>Next</a></div>", f"{T}\nok\nfine"),
+    "list at the end of the body": (f"<body>{P}<ul><li>ok</li><li>fine</li></ul><ul><li><a href=1>Next</a></li></ul>", f"{T}\nok\nfine"),
+    "definitions": (f"<article><dl><dt>Term<dd>{A}<dt>Other<dd>{B}</dl></article>", f"Term\n{A}\nOther\n{B}"),
+    "google adverts": (f"<main><p>{A}</p><ins class=adsbygoogle>Buy</ins><p>{B}</p></main>", f"{A}\n{B}"),
     "short article": ("<nav><a href=x>Home</a></nav><article><p>Short.</p></article>", "Short."),
     "text alone": ("no markup at all", "no markup at all"),
     "menu alone": (NAV, ""),
@@ -71,7 +79,7 @@ def test_mould(name):
 
 
 def test_time_is_linear_in_nesting():
-    for tag in ("div", "article", "section", "b", "nav", "li", "span class=ad"):
+    for tag in ("div", "article", "section", "b", "nav", "li", "td", "ul><li", "li><div", "span class=ad", "p class=ad"):
         began = time.process_time()
         html.main_text(f"<{tag}>" * 100_000 + "<p>deep</p>")
         assert time.process_time() - began < 3, tag

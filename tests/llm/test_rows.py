@@ -343,7 +343,9 @@ PAGES = [
 ]
 
 
-def test_archives(spark, corpus, monkeypatch):
+@pytest.mark.parametrize("few", [True, False])
+def test_archives(spark, corpus, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", warc.BROADCAST_ROWS if few else 0)
     got = {r["page_id"]: r for r in warc.op5_warc(spark, corpus([], pages=PAGES)).collect()}
     least = {}
     for i, _, h in PAGES:
