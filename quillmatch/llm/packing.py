@@ -32,6 +32,8 @@ from quillmatch.llm.shared import slices, table, tidy
 from quillmatch.llm.tokens import END, encoder, vocabulary_path
 
 LENGTH, POOL_TOKENS = 1024, 1 << 20
+#: Pieces that the encoder keeps here; fewer than for token files, as a pool is held too.
+CACHE = 200_000
 LINEAR, QUADRATIC = 1.0, 1 / 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -95,7 +97,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first, encode = TaskContext.get().partitionId() << 36, encoder(vocabulary, end)
+        first, encode = TaskContext.get().partitionId() << 36, encoder(vocabulary, end, CACHE)
         pool: list[tuple[int | None, np.ndarray]] = []
         held = 0
 
@@ -116,7 +118,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> Da
             return out
 
         for batch in batches:
-            for part in slices(batch, rows=8000, most=4 << 20):
+            for part in slices(batch, rows=8000, most=3 << 20):
                 ids, n = encode.flat(part.column("text").to_pylist())
                 for doc, own in zip(part.column("doc_id").to_pylist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
                     pool.append((doc, own))

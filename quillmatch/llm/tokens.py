@@ -6,8 +6,8 @@ before each such space and its pieces encoded one by one: the ids are those of t
 text. Most texts are plain enough to be cut also before each full stop and comma and
 around each line feed; in the others, new pieces are cut there where a token surely ends.
 The pieces of plain texts are found in their bytes and reduced to distinct ones by Arrow;
-a worker keeps the ids of those it has met lately (two generations of at most
-``CACHE_PIECES``; what is forgotten costs time and nothing else), gives the tokenizers
+a worker keeps the ids of those it has met lately (two generations of about
+``cache`` pieces; what is forgotten costs time and nothing else), gives the tokenizers
 library only new parts, and gathers the ids of all pieces at once. Texts that hold an added
 token's string are encoded whole, and so are all texts if the vocabulary has another
 normalizer or pre-tokenizer than the byte-level one that these rules are for.
@@ -25,7 +25,7 @@ Null and empty texts are the end id alone. Null ids sort first. Of repeated ids
 is by a hash of the text, and equal rows are kept; an id that fills several ranges, null
 too, is dealt to them by that hash, so it is no hot key. Empty tables give an empty corpus.
 Other columns are not read. A document is one row and is never cut, so a row needs memory
-in proportion to its text; texts are held up to ``slices`` of 4 MB at a time.
+in proportion to its text; texts are held up to ``slices`` of 5 MB at a time.
 """
 
 from __future__ import annotations
@@ -43,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import held, shared_folder, slices, table, tidy
+from quillmatch.llm.shared import held, shared_folder, slices, small_batches, stored, table, tidy
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
-CACHE_PIECES, BLOCK_PIECES = 250_000, 1_500_000
+CACHE_PIECES, BLOCK_PIECES = 400_000, 1_500_000
 GROUP = 64  # pieces a text; the library slows down on long ones
 _CUT = re.compile(r" (?=[^\s᠎])")
 _UNSAFE = re.compile(r" [\s᠎]")
@@ -62,7 +62,7 @@ _PARTS = re.compile(rf"(?<=[{_LETTER}])(?=[.,])|(?<=[{_SOLID}])(?=\n)|(?<=[{_SOL
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, with the end id appended."""
 
-    def __init__(self, path: str, end: int = END) -> None:
+    def __init__(self, path: str, end: int = END, cache: int = CACHE_PIECES) -> None:
         # A task has one core; the library's threads would contend for those of other tasks.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -71,7 +71,7 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Whether a text holds the string of an added token.
         self.special = re.compile("|".join(added) or r"(?!)").search
-        self.end = end
+        self.end, self.cache = end, cache
         before = self.tokenizer.pre_tokenizer
         #: Whether the rules for cuts hold: nothing is normalized, and pieces are those of the byte-level pattern.
         self.cuts = self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
@@ -152,7 +152,7 @@ class Encoder:
         return [first, *[" " + p for p in rest]]
 
     def _known_ids(self, names: list[str], cut: bool) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.cache:
             self.known, self.older = {}, self.known
         known = self.known
         ids = list(map(known.get, names))
@@ -211,9 +211,9 @@ class Encoder:
         yield from (x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1]) if len(texts))
 
 
-def encoder(path: str, end: int = END) -> Encoder:
+def encoder(path: str, end: int = END, cache: int = CACHE_PIECES) -> Encoder:
     """One for each worker process, which keeps what it has met from task to task."""
-    return held("tokens", (path, end), lambda: Encoder(path, end))
+    return held("tokens", (path, end, cache), lambda: Encoder(path, end, cache))
 
 
 def vocabulary_path() -> str:
@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_, start = encoder(vocabulary, end), 0
         for batch in batches:
-            for rows in slices(batch, rows=8000, most=4 << 20):
+            for rows in slices(batch, rows=8000, most=5 << 20):
                 ids, n = encode_.flat(rows.column("text").to_pylist())
                 starts = start + np.cumsum(n) - n
                 start += len(ids)
@@ -281,15 +281,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
     tied = docs.withColumn("tie", F.xxhash64("text"))
     dealt = tied.withColumn("part", _part_of(_ranges(docs, parts), F.col("doc_id"), F.col("tie"))).repartitionById(parts, "part")
     out = dealt.sortWithinPartitions("doc_id", "tie", "text").mapInArrow(tidy(encode, "tokens"), TOKENS)
-    (
-        out.write.option("compression", "lz4")
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(rows_per_index))
-        .option("orc.stripe.size", str(stripe_bytes))
-        .orc(path)
-    )
+    options = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(rows_per_index), "orc.stripe.size": str(stripe_bytes)}
+    with small_batches(docs.sparkSession, 3000):
+        out.write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -316,5 +310,6 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path)
     tokens = read_tokens(spark, path)
-    sums = tokens.mapInArrow(tidy(_checked), "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark):
+        sums = stored(tokens.mapInArrow(tidy(_checked), "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long"))
     return sums.join(starts(tokens), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
