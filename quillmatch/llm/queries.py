@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillmatch.llm import decontaminate, html, jaccard, licenses, lines, packing, quality, substrings, tokens, warc
+from quillmatch.llm import decontaminate, html, infill, jaccard, licenses, lines, packing, quality, substrings, tokens, toxicity, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_substrings": substrings.op9_substrings,
         "op10_html": html.op10_html,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_infill": infill.op12_infill,
+        "op13_toxicity": toxicity.op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.OP3_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_substrings": substrings.OP9_SQL}
+    return {"op3_quality": quality.OP3_SQL, "op5_warc": warc.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_substrings": substrings.OP9_SQL, "op12_infill": infill.OP12_SQL}
