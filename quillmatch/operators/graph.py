@@ -1,12 +1,17 @@
-"""Tables in the shared folder, and connected components."""
+"""Tables in the shared folder, groups of rows in tasks, and connected components."""
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
@@ -38,6 +43,39 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_group(rows: DataFrame, keys: list[str], solve: Callable[[pa.Table], list[tuple]], schema: str) -> DataFrame:
+    """The rows (tuples of ``schema``) that ``solve`` gives for each group of equal keys, a table of its rows. Many small groups share a batch; a task holds one group and a batch. Keys are told apart by 64-bit hashes."""
+    out = to_arrow_schema(StructType(_parse_datatype_string(schema).fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        made: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = zip(*made, strict=True) if made else [()] * len(out)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            made.clear()
+            return batch
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now, h = pa.Table.from_batches([batch]), batch.column("_h").to_numpy()
+            starts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if held and held[-1]["_h"][-1].as_py() != h[lo]:
+                    made.extend(solve(pa.concat_tables(held)))
+                    held.clear()
+                held.append(now.slice(lo, hi - lo))
+                if len(made) > 20_000:
+                    yield batch_of()
+        if held:
+            made.extend(solve(pa.concat_tables(held)))
+        yield batch_of()
+
+    return rows.withColumn("_h", F.xxhash64(*keys)).repartition("_h").sortWithinPartitions("_h").mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of ``edges``: root is the smallest node that can be reached.
 

@@ -2,7 +2,9 @@
 
 ``spans``: doc_id, page, seq, text, font_size, bold, rect. All operators work page by
 page; a page's spans meet in a join or an aggregation keyed by (doc_id, page), and the
-order of a list in other systems is the column seq here.
+order of a list in other systems is the column seq here: of spans and raw annotations their
+place on the page, of records (``annotations_of``, ``fields_of``) their place in the document, which
+is unique there. Joins by place compare bands of ``BAND`` points and tiles, not all of a page with all.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from quillmatch.operators.graph import stored
 from quillmatch.plans.profile import Profile
 
 PAGE = ["doc_id", "page"]
+KEY = [*PAGE, "seq"]
+BAND, TILE = 32.0, 64.0
 OVERLAP, LABEL_GAP, TOP_PART = 0.3, 30.0, 0.35
 
 # What makes a span a marker of a field, and the sign of a page of code lists.
@@ -56,11 +60,36 @@ def annotation_rects(raw: DataFrame, types: list[str] | None = None) -> DataFram
     return out.select(*PAGE, "rect")
 
 
+def record_seq(page: Column, seq: Column, part: Column | int = 0) -> Column:
+    """The place of a record in its document: by page, by part (0 or 1) of the page's records, by place there. Unique and in order for up to 2**31 spans a page."""
+    part = F.lit(part) if isinstance(part, int) else part
+    return F.shiftleft(page.cast("long"), 32) + F.shiftleft(part.cast("long"), 31) + seq
+
+
+def _cells(low: Column, high: Column, size: float) -> Column:
+    """The numbers of the bands that reach from ``low`` to ``high``."""
+    return F.sequence(F.floor(low / size), F.greatest(F.floor(low / size), F.floor(high / size)))
+
+
+def _tiles(rect: Column) -> Column:
+    """The tiles that a rectangle touches, as structs (tx, ty)."""
+    return F.flatten(F.transform(_cells(rect[0], rect[2], TILE), lambda x: F.transform(_cells(rect[1], rect[3], TILE), lambda y: F.struct(x.alias("tx"), y.alias("ty")))))
+
+
 def without_annotated(spans: DataFrame, rects: DataFrame, share: float = OVERLAP) -> DataFrame:
-    """Spans of whose area no single annotation covers ``share``."""
-    r = rects.select(*[F.col(c).alias("_" + c) for c in PAGE], F.col("rect").alias("_rect"))
-    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("page") == F.col("_page"))
-    return spans.join(r, same & (g.overlap_share(F.col("rect"), F.col("_rect")) >= share), "left_anti")
+    """Spans of whose area no single annotation covers ``share``.
+
+    Both sides are dealt to the tiles that they touch and meet where the corner of their common part
+    lies, so a span meets the annotations around it, each once. Without a positive share
+    every span with an annotation on its page would go, which needs no tiles.
+    """
+    if share <= 0:
+        return spans.join(rects.select(*PAGE).distinct(), PAGE, "left_anti")
+    s = spans.where(((F.col("rect")[2] - F.col("rect")[0]) * (F.col("rect")[3] - F.col("rect")[1])) > 0).select(*KEY, F.col("rect").alias("_span"), F.inline(_tiles(F.col("rect"))))
+    r = rects.select(*PAGE, F.col("rect").alias("_rect"), F.inline(_tiles(F.col("rect"))))
+    x, y = (F.floor(F.greatest(F.col("_span")[k], F.col("_rect")[k]) / TILE) for k in (0, 1))
+    met = s.join(r, [*PAGE, "tx", "ty"]).where((F.col("tx") == x) & (F.col("ty") == y) & (g.overlap_share(F.col("_span"), F.col("_rect")) >= share))
+    return spans.join(met.select(*KEY).distinct(), KEY, "left_anti")
 
 
 def without_codelists(spans: DataFrame, dims: DataFrame, profile: Profile) -> DataFrame:
@@ -107,16 +136,51 @@ def nearest_labels(markers: DataFrame, blocks: DataFrame, profile: Profile, most
 
     Nearest: least vertical gap, then least distance of the span's middle from the
     marker's top, then the span's order. The column is measured on all ``blocks``.
+
+    Heights are cut into bands. Spans stand in the bands that they touch, and a marker looks into the bands within
+    ``most`` of it; it meets a span once, in the first band that both share. Without ``most`` it looks as far as a
+    band first; markers that found nothing there go on to the nearest bands with spans above
+    and below them.
     """
     left = F.min(F.col("rect")[0]).over(Window.partitionBy(*PAGE)) + profile.anchor_text_config.left_column_tolerance_px
     b = blocks.withColumn("_left", left).where(F.col("rect")[0] <= F.col("_left")).withColumn("_text", strip(F.col("text")))
     b = b.where((F.col("_text") != "") & ~excluded(profile, F.col("_text"))).select(*PAGE, F.col("seq").alias("_seq"), "_text", F.col("rect").alias("_rect"))
-    gap = g.vertical_gap(F.col("rect"), F.col("_rect"))
-    pairs = markers.select(*PAGE, "seq", "rect").join(b, PAGE)
-    if most is not None:
-        pairs = pairs.where(gap <= most)
-    best = pairs.groupBy(*PAGE, "seq").agg(F.min_by(F.struct("_text", "_rect"), F.struct(gap, g.centre_distance(F.col("rect"), F.col("_rect")), "_seq")).alias("_best"))
-    return markers.join(best, [*PAGE, "seq"], "left").select(*markers.columns, F.coalesce("_best._text", F.lit("")).alias("label"), F.col("_best._rect").alias("label_rect"))
+    m = markers.select(*PAGE, "seq", "rect")
+    best = _nearest(m, b, BAND if most is None else most)
+    if most is None:
+        best = best.unionByName(_farther(m.join(best.select(*KEY), KEY, "left_anti"), b))
+    return markers.join(best, KEY, "left").select(*markers.columns, F.coalesce("_best._text", F.lit("")).alias("label"), F.col("_best._rect").alias("label_rect"))
+
+
+def _low_high(rect: Column) -> tuple[Column, Column]:
+    return F.least(rect[1], rect[3]), F.greatest(rect[1], rect[3])
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    order = F.struct(g.vertical_gap(F.col("rect"), F.col("_rect")), g.centre_distance(F.col("rect"), F.col("_rect")), "_seq")
+    return pairs.groupBy(*KEY).agg(F.min_by(F.struct("_text", "_rect"), order).alias("_best"))
+
+
+def _nearest(m: DataFrame, b: DataFrame, far: float) -> DataFrame:
+    """(doc_id, page, seq, _best) of the markers that have a span within ``far``."""
+    low, high = _low_high(F.col("rect"))
+    other_low, other_high = _low_high(F.col("_rect"))
+    one = m.select("*", F.explode(_cells(low - far, high + far, BAND)).alias("_band"))
+    two = b.select("*", F.explode(_cells(other_low, other_high, BAND)).alias("_band"))
+    first = F.greatest(F.floor((low - far) / BAND), F.floor(other_low / BAND)) == F.col("_band")
+    return _best(one.join(two, [*PAGE, "_band"]).where(first & (g.vertical_gap(F.col("rect"), F.col("_rect")) <= far)))
+
+
+def _farther(m: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, page, seq, _best) of markers whose nearest span is more than a band away: it ends in the last band above the marker in which one ends, or starts in the first below it in which one starts."""
+    low, high = (F.floor(c / BAND) for c in _low_high(F.col("rect")))
+    other_low, other_high = (F.floor(c / BAND) for c in _low_high(F.col("_rect")))
+    b = b.withColumns({"_up": other_high, "_down": other_low})
+    # As many as a page has bands, whatever stands on it.
+    bands = b.groupBy(*PAGE).agg(F.collect_set("_up").alias("_ends"), F.collect_set("_down").alias("_starts"))
+    looked = m.join(bands, PAGE).select(*KEY, "rect", F.array_max(F.filter("_ends", lambda x: x < low)).alias("_up"), F.array_min(F.filter("_starts", lambda x: x > high)).alias("_down"))
+    columns = [*KEY, "rect", "_seq", "_text", "_rect"]
+    return _best(looked.join(b.drop("_down"), [*PAGE, "_up"]).select(*columns).unionByName(looked.join(b.drop("_up"), [*PAGE, "_down"]).select(*columns)))
 
 
 def section_headers(blocks: DataFrame, profile: Profile) -> DataFrame:
@@ -127,8 +191,7 @@ def section_headers(blocks: DataFrame, profile: Profile) -> DataFrame:
 
 def fields_of(spans: DataFrame, dims: DataFrame, profile: Profile) -> DataFrame:
     """The field records of every page: headers and markers with their labels, the page's visit, and its form name (the topmost, then leftmost label that isn't boilerplate)."""
-    s = without_codelists(stored(spans.withColumn("field_type", marker_type(F.col("text")))), dims, profile)
-    typed = stored(s)  # read by each step below
+    typed = stored(without_codelists(spans, dims, profile).withColumn("field_type", marker_type(F.col("text"))))  # read by each step below
     s = typed.drop("field_type")
     blocks, markers = typed.where("field_type is null").drop("field_type"), typed.where("field_type is not null")
     heads = section_headers(blocks, profile).select(*PAGE, "seq", "rect", "label", F.lit("section_header").alias("field_type"), F.lit(0).alias("pass"))
@@ -144,7 +207,7 @@ def fields_of(spans: DataFrame, dims: DataFrame, profile: Profile) -> DataFrame:
         .select(
             stable_id(F.col("doc_id"), F.col("page"), F.col("pass"), F.col("seq")).alias("id"),
             "doc_id",
-            (F.col("page") * 1_000_000 + F.col("pass") * 500_000 + F.col("seq")).alias("seq"),
+            record_seq(F.col("page"), F.col("seq"), F.col("pass")).alias("seq"),
             "page",
             "label",
             F.coalesce("form_name", F.lit("")).alias("form_name"),
@@ -183,8 +246,9 @@ def annotations_of(raw: DataFrame, spans: DataFrame, profile: Profile, dims: Dat
         .select(
             stable_id(F.col("doc_id"), F.col("page"), F.col("seq"), F.lit("annotation")).alias("id"),
             "doc_id",
-            "seq",
+            record_seq(F.col("page"), F.col("seq")).alias("seq"),
             "page",
+            F.col("seq").alias("page_seq"),
             strip(F.col("content")).alias("content"),
             F.coalesce("subject", F.lit("")).alias("domain"),
             F.col("_c.category").alias("category"),

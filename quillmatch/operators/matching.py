@@ -1,94 +1,80 @@
-"""Links annotations to fields in four passes.
+"""Links annotations to fields in four passes, for any number of document pairs at once.
+
+A record's key is (pair, seq): pair names the two documents that are linked, seq is the record's
+place in its document, whatever the page. Nothing is compared across pairs. Records that come
+without pair have it from a table of pairs, or else from doc_id (a document and its new
+version of one name), or else are one pair.
 
 Every pass takes the annotations that the earlier ones left and all fields; a field can
-be linked again by a later pass. seq is the order of the records. Passes end in tables
-of the shared folder, so an anti-join doesn't compute a score again.
+be linked again by a later pass. Passes end in tables of the shared folder, so an anti-join
+doesn't compute a score again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmatch.functions import geometry as g
 from quillmatch.functions import text as t
-from quillmatch.operators.assignment import assigned
+from quillmatch.operators.assignment import MOST_EDGES, assigned_classes
 from quillmatch.operators.graph import components, stored
+from quillmatch.operators.near import near_pairs
+from quillmatch.operators.scan import kept_rows, with_rows
 from quillmatch.plans.profile import Matching
 
-ROW_GAP = 5.0
 SOURCE_SIZE = (595.0, 842.0)
+KEY = ["pair", "seq"]
 MATCHES = ("annotation_id", "field_id", "match_type", "confidence", "target_rect", "target_page", "status", "user_notes", "placement_adjusted")
 
 
-def page_ranks(records: DataFrame) -> DataFrame:
-    """(form, page, rank) over all records: a form's pages in order, from 1."""
-    pages = records.select(t.norm(F.col("form_name")).alias("form"), "page").distinct()
-    return pages.withColumn("rank", F.dense_rank().over(Window.partitionBy("form").orderBy("page")))
+def paired(records: DataFrame, pairs: DataFrame | None = None, side: str = "source") -> DataFrame:
+    """``records`` with pair. ``pairs``: (pair, source, target), documents by doc_id; a document may be in several. Else the column pair, or doc_id, or one pair of an empty name."""
+    if pairs is not None:
+        return records.drop("pair").join(pairs.select(F.col("pair").cast("string").alias("pair"), F.col(side).alias("_doc")), F.col("doc_id") == F.col("_doc")).drop("_doc")
+    if "pair" in records.columns:
+        return records.withColumn("pair", F.col("pair").cast("string"))
+    return records.withColumn("pair", F.col("doc_id").cast("string") if "doc_id" in records.columns else F.lit(""))
+
 
+def page_ranks(records: DataFrame) -> DataFrame:
+    """(pair, form, page, rank) over all records: a form's pages in order, from 1."""
+    pages = paired(records).select("pair", t.norm(F.col("form_name")).alias("form"), "page").distinct()
+    return pages.withColumn("rank", F.dense_rank().over(Window.partitionBy("pair", "form").orderBy("page")))
 
-def with_rows(records: DataFrame, keys: list[str]) -> DataFrame:
-    """``row`` from 0 in each key group by (page, y0, seq): a new page, or more than ROW_GAP below the record just before, is a new row."""
-    order = Window.partitionBy(*keys).orderBy("page", "y0", "seq")
-    new = F.coalesce((F.col("page") != F.lag("page").over(order)) | (F.abs(F.col("y0") - F.lag("y0").over(order)) > ROW_GAP), F.lit(False))
-    return records.withColumn("_new", new.cast("int")).withColumn("row", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
+def keyed(records: DataFrame, label: str) -> DataFrame:
+    return paired(records).withColumns({"form": t.norm(F.col("form_name")), "lab": t.norm(F.col(label)), "y0": F.col("rect")[1]})
 
-def kept_rows(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key group, in the order of (page, y0, seq), the records on another page than the last kept one or more than ROW_GAP from it, with pos, their place among the kept ones.
 
-    A stream over sorted rows: which record is kept depends on the one kept before, and
-    nothing else is held, so a group may be of any size.
-    """
-    typed = records.select(*keys, F.col("page").cast("int").alias("page"), F.col("y0").cast("double").alias("y0"), F.col("seq").cast("long").alias("seq"))
-    out = T.StructType([*typed.select(*keys).schema.fields, T.StructField("pos", T.IntegerType()), *typed.drop(*keys).schema.fields])
-    gap = ROW_GAP
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, page, y0, pos = None, None, None, -1
-        for batch in batches:
-            keep, places = [], []
-            names = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
-            for at, (key, p, y) in enumerate(zip(names, batch.column("page").to_pylist(), batch.column("y0").to_pylist(), strict=True)):
-                if key != group:
-                    group, pos = key, -1
-                elif not ((p is not None and page is not None and p != page) or (y is not None and y0 is not None and abs(y - y0) > gap)):
-                    continue
-                page, y0, pos = p, y, pos + 1
-                keep.append(at)
-                places.append(pos)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[kept.column(k) for k in keys], pa.array(places, pa.int32()), *[kept.column(c) for c in ("page", "y0", "seq")]], out.names)
-
-    return typed.repartition(*keys).sortWithinPartitions(*keys, "page", "y0", "seq").mapInArrow(run, out)
+Ranks = tuple[DataFrame, DataFrame]
 
 
-def keyed(records: DataFrame, label: str) -> DataFrame:
-    return records.withColumns({"form": t.norm(F.col("form_name")), "lab": t.norm(F.col(label)), "y0": F.col("rect")[1]})
+def ranks_of(annotations: DataFrame, fields: DataFrame) -> Ranks:
+    """Page ranks of both sides, stored: several passes read them."""
+    return stored(page_ranks(annotations)), stored(page_ranks(fields))
 
 
-def exact_pairs(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame | None = None) -> DataFrame:
-    """(aseq, fseq): rows of equal form and label in order, extras to the last field. Groups on one page of the source look at all pages of the target, others at the page of the same rank."""
-    every = annotations if all_annotations is None else all_annotations
-    key = ["form", "lab"]
+def exact_pairs(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame | None = None, ranks: Ranks | None = None) -> DataFrame:
+    """(pair, aseq, fseq): rows of equal form and label in order, extras to the last field. Groups on one page of the source look at all pages of the target, others at the page of the same rank."""
+    of_a, of_f = ranks or (page_ranks(annotations if all_annotations is None else all_annotations), page_ranks(fields))
+    key = ["pair", "form", "lab"]
     a = keyed(annotations.where(t.strip(F.col("anchor_text")) != ""), "anchor_text").select(*key, "page", "y0", "seq")
     f = keyed(fields, "label").select(*key, "page", "y0", "seq")
-    a = a.withColumn("_pages", F.size(F.collect_set("page").over(Window.partitionBy(*key))))
-    kept = kept_rows(f, key)
+    pages = a.groupBy(*key).agg((F.min("page") < F.max("page")).alias("_many"))
+    a = a.join(pages, key)
+    kept = stored(kept_rows(f, key))
 
-    one = with_rows(a.where("_pages = 1"), key)
+    one = with_rows(a.where("not _many"), key)
     last = kept.groupBy(*key).agg(F.count("*").alias("n"))
-    first = one.join(last, key).withColumn("pos", F.least("row", (F.col("n") - 1).cast("int"))).join(kept.select(*key, "pos", F.col("seq").alias("fseq")), [*key, "pos"]).select(F.col("seq").alias("aseq"), "fseq")
+    first = one.join(last, key).withColumn("pos", F.least("row", (F.col("n") - 1).cast("int"))).join(kept.select(*key, "pos", F.col("seq").alias("fseq")), [*key, "pos"]).select("pair", F.col("seq").alias("aseq"), "fseq")
 
+    # A rank is a page of the form, and places on a page follow each other.
     ranked = [*key, "rank"]
-    many = with_rows(a.where("_pages > 1").join(page_ranks(every), ["form", "page"]), ranked)
-    by_rank = kept.join(page_ranks(fields), ["form", "page"]).withColumn("pos", (F.row_number().over(Window.partitionBy(*ranked).orderBy("pos")) - 1).cast("int")).select(*ranked, "pos", F.col("seq").alias("fseq"))
-    last = by_rank.groupBy(*ranked).agg(F.count("*").alias("n"))
-    second = many.join(last, ranked).withColumn("pos", F.least("row", (F.col("n") - 1).cast("int"))).join(by_rank, [*ranked, "pos"]).select(F.col("seq").alias("aseq"), "fseq")
+    many = with_rows(a.where("_many").join(of_a, ["pair", "form", "page"]), ranked)
+    by_rank = kept.join(of_f, ["pair", "form", "page"]).select(*ranked, "pos", F.col("seq").alias("fseq"))
+    last = by_rank.groupBy(*ranked).agg(F.count("*").alias("n"), F.min("pos").alias("_from"))
+    second = many.join(last, ranked).withColumn("pos", F.col("_from") + F.least("row", (F.col("n") - 1).cast("int"))).join(by_rank, [*ranked, "pos"]).select("pair", F.col("seq").alias("aseq"), "fseq")
     return first.union(second)
 
 
@@ -106,84 +92,121 @@ def scored(pairs: DataFrame, threshold: float, boost: float) -> DataFrame:
 
 
 def _sides(annotations: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = annotations.where(t.strip(F.col("anchor_text")) != "").select(t.norm(F.col("form_name")).alias("form"), F.col("page").alias("apage"), F.col("seq").alias("aseq"), "anchor_text", F.col("visit").alias("avisit"))
-    f = fields.select(t.norm(F.col("form_name")).alias("form"), F.col("page").alias("fpage"), F.col("seq").alias("fseq"), "label", F.col("visit").alias("fvisit"))
-    return a, f
+    """Records that a fuzzy pass compares, with their token-sorted texts and the class (text and visit) that decides their scores."""
+    a = paired(annotations.where(t.strip(F.col("anchor_text")) != "")).select("pair", t.norm(F.col("form_name")).alias("form"), "page", F.col("seq").alias("aseq"), t.token_sorted(F.col("anchor_text")).alias("_a"), F.col("visit").alias("avisit"))
+    f = paired(fields).select("pair", t.norm(F.col("form_name")).alias("form"), "page", F.col("seq").alias("fseq"), t.token_sorted(F.col("label")).alias("_f"), F.col("visit").alias("fvisit"))
+    return a.withColumn("c", F.xxhash64("_a", "avisit")), f.withColumn("d", F.xxhash64("_f", "fvisit"))
 
 
-def same_form_edges(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame, threshold: float, boost: float) -> DataFrame:
-    """(g, aseq, fseq, score) of annotations and fields of one form on pages of one rank; g is the block."""
-    a, f = _sides(annotations, fields)
-    a = a.join(page_ranks(all_annotations).withColumnRenamed("page", "apage"), ["form", "apage"])
-    f = f.join(page_ranks(fields).withColumnRenamed("page", "fpage"), ["form", "fpage"])
-    return scored(a.join(f, ["form", "rank"]), threshold, boost).select(F.xxhash64("form", "rank").alias("g"), "aseq", "fseq", "score")
+def _near(a: DataFrame, f: DataFrame, keys: list[str], threshold: float, boost: float) -> DataFrame:
+    """(keys, c, d, score) of the classes of a block that reach the threshold. Only distinct texts are compared."""
+    near = near_pairs(a.select(*keys, "_a").distinct(), f.select(*keys, "_f").distinct(), keys, threshold - max(boost, 0.0))
+    one, two = a.select(*keys, "_a", "avisit", "c").distinct(), f.select(*keys, "_f", "fvisit", "d").distinct()
+    score = F.col("_raw") + boost * t.visit_match(F.col("avisit"), F.col("fvisit"))
+    return near.join(one, [*keys, "_a"]).join(two, [*keys, "_f"]).withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "c", "d", "score")
 
 
-def cross_form_edges(annotations: DataFrame, fields: DataFrame, threshold: float, boost: float) -> DataFrame:
-    """(g, aseq, fseq, score) whatever the form; g is the component of texts, so each can be assigned by itself.
+class Classes:
+    """The problem of a fuzzy pass: edges (pair, g, c, d, score) between classes, and their members (pair, g, c, aseq), (pair, g, d, fseq)."""
 
-    Only distinct token-sorted texts are compared, and of those only pairs whose
-    lengths can reach the threshold: texts are dealt by length, and a text meets the
-    lengths within the bound, so the join has an equality and no pair is lost.
-    """
+    def __init__(self, edges: DataFrame, annotations: DataFrame, fields: DataFrame) -> None:
+        self.edges, self.annotations, self.fields = edges, annotations, fields
+
+    def records(self) -> DataFrame:
+        """(pair, g, aseq, fseq, score) of all pairs of members; as many as there are."""
+        return self.edges.join(self.annotations, ["pair", "g", "c"]).join(self.fields, ["pair", "g", "d"]).select("pair", "g", "aseq", "fseq", "score")
+
+    def assigned(self, mode: str) -> DataFrame:
+        return assigned_classes(self.edges, self.annotations, self.fields, mode)
+
+
+def same_form(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame, threshold: float, boost: float, ranks: Ranks | None = None) -> Classes:
+    """Annotations and fields of one form on pages of one rank; g is the block."""
+    of_a, of_f = ranks or (page_ranks(all_annotations), page_ranks(fields))
     a, f = _sides(annotations, fields)
-    a, f = a.withColumn("_a", t.token_sorted(F.col("anchor_text"))), f.withColumn("_f", t.token_sorted(F.col("label")))
-    least = threshold - max(boost, 0.0)  # of the raw score
-    share = max(least, 0.0) / (200.0 - max(least, 0.0))  # shorter over longer, at least
-    x = a.select("_a").distinct().withColumn("n", F.length("_a"))
-    y = f.select("_f").distinct().withColumn("n", F.length("_f"))
-    longest = y.agg(F.max("n").alias("n")).first()["n"] or 0
-    most = F.floor(F.col("n") / share + 1e-9) if share > 1e-6 else F.lit(longest)
-    low, high = F.ceil(F.col("n") * share - 1e-9).cast("int"), F.least(most, F.lit(longest)).cast("int")
-    pairs = x.select("_a", F.explode(F.when(low <= high, F.sequence(low, high))).alias("n")).join(y, "n")
-    near = stored(pairs.select("_a", "_f").withColumn("_raw", t.indel_ratio(F.col("_a"), F.col("_f"))).where(F.col("_raw") >= least))
-    names = components(near.select(F.concat(F.lit("a"), "_a").alias("a"), F.concat(F.lit("f"), "_f").alias("b")))
-    near = near.join(names.withColumnRenamed("node", "_n"), F.concat(F.lit("a"), F.col("_a")) == F.col("_n")).select("_a", "_f", "_raw", F.xxhash64("root").alias("g"))
-    score = F.col("_raw") + boost * t.visit_match(F.col("avisit"), F.col("fvisit"))
-    return a.join(near, "_a").join(f.drop("form"), "_f").withColumn("score", score).where(F.col("score") >= threshold).select("g", "aseq", "fseq", "score")
+    a, f = stored(a.join(of_a, ["pair", "form", "page"])), stored(f.join(of_f, ["pair", "form", "page"]))
+    group = F.xxhash64("form", "rank").alias("g")
+    edges = stored(_near(a, f, ["pair", "form", "rank"], threshold, boost).select("pair", group, "c", "d", "score"))
+    used = edges.select("pair", "g").distinct()
+    return Classes(edges, a.select("pair", group, "c", "aseq").join(used, ["pair", "g"]), f.select("pair", group, "d", "fseq").join(used, ["pair", "g"]))
+
+
+def cross_form(annotations: DataFrame, fields: DataFrame, threshold: float, boost: float, most: int = MOST_EDGES) -> Classes:
+    """All annotations and fields of a pair of documents; g is 0 in a pair of few edges, else the component of classes: components can be assigned by themselves."""
+    a, f = (stored(x) for x in _sides(annotations, fields))
+    near = stored(_near(a, f, ["pair"], threshold, boost))
+    large = near.groupBy("pair").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("pair")
+    zero = F.lit(0).cast("long").alias("g")
+    if large.isEmpty():
+        edges = near.select("pair", zero, "c", "d", "score")
+    else:
+        node = lambda side, c: F.concat_ws("/", F.lit(side), F.col(c).cast("string"), "pair")
+        hot = near.join(large, "pair")
+        names = components(hot.select(node("a", "c").alias("a"), node("f", "d").alias("b"))).withColumnRenamed("node", "_n")
+        parted = hot.withColumn("_n", node("a", "c")).join(names, "_n").select("pair", F.xxhash64("root").alias("g"), "c", "d", "score")
+        edges = stored(near.join(large, "pair", "left_anti").select("pair", zero, "c", "d", "score").unionByName(parted))
+    of_a, of_f = edges.select("pair", "g", "c").distinct(), edges.select("pair", "g", "d").distinct()
+    return Classes(edges, a.join(of_a, ["pair", "c"]).select("pair", "g", "c", "aseq"), f.join(of_f, ["pair", "d"]).select("pair", "g", "d", "fseq"))
+
+
+def same_form_edges(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame, threshold: float, boost: float) -> DataFrame:
+    """(pair, g, aseq, fseq, score) of ``same_form`` by records."""
+    return same_form(annotations, fields, all_annotations, threshold, boost).records()
+
+
+def cross_form_edges(annotations: DataFrame, fields: DataFrame, threshold: float, boost: float) -> DataFrame:
+    """(pair, g, aseq, fseq, score) of ``cross_form`` by records."""
+    return cross_form(annotations, fields, threshold, boost).records()
 
 
 def guarded(pairs: DataFrame, fields: DataFrame) -> DataFrame:
-    """``pairs`` (raw, page, lab, fid, page_width, page_height and more) with target_rect and placement_adjusted.
+    """``pairs`` (raw, pair, page, lab, fid, page_width, page_height and more) with target_rect and placement_adjusted.
 
     A target outside the page takes the leftmost other field of the page with the
     same label, if there is one, and is then clamped to the page.
     """
-    first = F.row_number().over(Window.partitionBy("page", "lab").orderBy(F.col("rect")[0], "seq", "id"))
+    first = F.row_number().over(Window.partitionBy("pair", "page", "lab").orderBy(F.col("rect")[0], "seq", "id"))
     two = keyed(fields, "label").withColumn("_n", first).where("_n <= 2")
-    peers = two.groupBy("page", "lab").agg(F.array_sort(F.collect_list(F.struct(F.col("rect")[0].alias("x0"), "seq", "id", "rect"))).alias("_two"))
+    peers = two.groupBy("pair", "page", "lab").agg(F.array_sort(F.collect_list(F.struct(F.col("rect")[0].alias("x0"), "seq", "id", "rect"))).alias("_two"))
     other = F.get(F.filter("_two", lambda p: p["id"] != F.col("fid")), 0)
     off = g.outside(F.col("raw"), F.col("page_width"), F.col("page_height"))
-    out = pairs.join(peers, ["page", "lab"], "left").withColumn("_peer", F.when(off, other["rect"]))
+    out = pairs.join(peers, ["pair", "page", "lab"], "left").withColumn("_peer", F.when(off, other["rect"]))
     out = out.withColumn("_rect", F.coalesce("_peer", "raw")).withColumn("target_rect", g.clamped(F.col("_rect"), F.col("page_width"), F.col("page_height")))
     return out.withColumn("placement_adjusted", F.col("_peer").isNotNull() | (F.col("target_rect") != F.col("_rect"))).drop("_two", "_peer", "_rect")
 
 
-def linked(pairs: DataFrame, annotations: DataFrame, fields: DataFrame, kind: str, confidence: Column, status: str) -> DataFrame:
-    """Match records of (aseq, fseq and what ``confidence`` uses)."""
-    a = annotations.select(F.col("seq").alias("aseq"), F.col("id").alias("annotation_id"), F.col("rect").alias("_arect"), F.col("anchor_rect").alias("_anchor"))
-    f = keyed(fields, "label").select(F.col("seq").alias("fseq"), F.col("id").alias("fid"), F.col("rect").alias("_frect"), "page", "lab", "page_width", "page_height")
-    rows = pairs.join(a, "aseq").join(f, "fseq").withColumn("raw", g.raw_target(F.col("_arect"), F.col("_anchor"), F.col("_frect")))
+def linked(pairs: DataFrame, annotations: DataFrame, fields: DataFrame, kind: str | Column, confidence: Column, status: str | Column) -> DataFrame:
+    """Match records of (pair, aseq, fseq and what ``confidence`` uses)."""
+    a = paired(annotations).select("pair", F.col("seq").alias("aseq"), F.col("id").alias("annotation_id"), F.col("rect").alias("_arect"), F.col("anchor_rect").alias("_anchor"))
+    f = keyed(fields, "label").select("pair", F.col("seq").alias("fseq"), F.col("id").alias("fid"), F.col("rect").alias("_frect"), "page", "lab", "page_width", "page_height")
+    rows = pairs.join(a, ["pair", "aseq"]).join(f, ["pair", "fseq"]).withColumn("raw", g.raw_target(F.col("_arect"), F.col("_anchor"), F.col("_frect")))
     return guarded(rows, fields).select(
+        "pair",
         F.col("aseq").alias("seq"),
         "annotation_id",
         F.col("fid").alias("field_id"),
-        F.lit(kind).alias("match_type"),
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("match_type"),
         confidence.alias("confidence"),
         "target_rect",
         F.col("page").alias("target_page"),
-        F.lit(status).alias("status"),
+        (F.lit(status) if isinstance(status, str) else status).alias("status"),
         F.lit("").alias("user_notes"),
         "placement_adjusted",
     )
 
 
+def _sizes(dims: DataFrame, width: str, height: str) -> tuple[DataFrame, list[str]]:
+    """Page sizes, and what they are looked up by: (pair, page), or the page alone where they aren't by document."""
+    by = ["pair", "page"] if "pair" in dims.columns or "doc_id" in dims.columns else ["page"]
+    return (paired(dims) if len(by) == 2 else dims).select(*by, F.col("width").alias(width), F.col("height").alias(height)), by
+
+
 def positioned(annotations: DataFrame, fields: DataFrame, source_dims: DataFrame, target_dims: DataFrame, confidence: float) -> DataFrame:
-    """Match records by position alone. Both page sizes are looked up by the source's page number; domain labels keep their place, others are scaled if their form is among the fields and stay unmatched if not."""
-    forms = fields.select(t.norm(F.col("form_name")).alias("form")).distinct().withColumn("_known", F.lit(True))
-    s = source_dims.select("page", F.col("width").alias("sw"), F.col("height").alias("sh"))
-    d = target_dims.select("page", F.col("width").alias("tw"), F.col("height").alias("th"))
-    a = annotations.withColumn("form", t.norm(F.col("form_name"))).join(forms, "form", "left").join(s, "page", "left").join(d, "page", "left")
+    """Match records by position alone. Both page sizes are looked up by the source's page number; domain labels keep their place, others are scaled if their form is among the pair's fields and stay unmatched if not."""
+    forms = paired(fields).select("pair", t.norm(F.col("form_name")).alias("form")).distinct().withColumn("_known", F.lit(True))
+    s, by_s = _sizes(source_dims, "sw", "sh")
+    d, by_d = _sizes(target_dims, "tw", "th")
+    a = paired(annotations).withColumn("form", t.norm(F.col("form_name"))).join(forms, ["pair", "form"], "left").join(s, by_s, "left").join(d, by_d, "left")
     sw, sh = F.coalesce("sw", F.lit(SOURCE_SIZE[0])), F.coalesce("sh", F.lit(SOURCE_SIZE[1]))
     label, known = F.col("category") == "domain_label", F.col("_known").isNotNull()
     tw = F.when(label, F.coalesce("tw", F.lit(0.0))).otherwise(F.coalesce(F.col("tw"), sw))
@@ -192,6 +215,7 @@ def positioned(annotations: DataFrame, fields: DataFrame, source_dims: DataFrame
     a = a.withColumns({"_free": free, "_tw": tw, "_th": th, "_placed": label | known})
     a = a.withColumn("target_rect", F.when(F.col("_placed"), g.clamped(F.col("_free"), F.col("_tw"), F.col("_th"))).otherwise(F.col("_free")))
     return a.select(
+        "pair",
         "seq",
         F.col("id").alias("annotation_id"),
         F.lit(None).cast("string").alias("field_id"),
@@ -206,24 +230,32 @@ def positioned(annotations: DataFrame, fields: DataFrame, source_dims: DataFrame
 
 
 def left_over(annotations: DataFrame, *passes: DataFrame) -> DataFrame:
+    """The annotations that no pass (pair, aseq and more) has linked."""
+    annotations = paired(annotations)
     for p in passes:
-        annotations = annotations.join(p.select("seq"), "seq", "left_anti")
+        annotations = annotations.join(p.select("pair", F.col("aseq").alias("seq")), KEY, "left_anti")
     return annotations
 
 
-def match_annotations(annotations: DataFrame, fields: DataFrame, source_dims: DataFrame, target_dims: DataFrame, config: Matching | None = None, assignment: str = "greedy") -> DataFrame:
-    """One match record for each annotation, with its seq: exact, fuzzy in the form, fuzzy in all, by position."""
+def match_annotations(
+    annotations: DataFrame, fields: DataFrame, source_dims: DataFrame, target_dims: DataFrame, config: Matching | None = None, assignment: str = "greedy", pairs: DataFrame | None = None
+) -> DataFrame:
+    """One match record for each annotation of each pair, with pair and seq: exact, fuzzy in the form, fuzzy in all, by position."""
     c = config or Matching()
-    exact = stored(linked(exact_pairs(annotations, fields), annotations, fields, "exact", F.lit(c.exact_threshold), "approved"))
-
+    if pairs is not None:
+        annotations, source_dims = (paired(x, pairs, "source") for x in (annotations, source_dims))
+        fields, target_dims = (paired(x, pairs, "target") for x in (fields, target_dims))
+    annotations, fields = stored(paired(annotations)), stored(paired(fields))
+    ranks = ranks_of(annotations, fields)
+    exact = stored(exact_pairs(annotations, fields, ranks=ranks))
     rest = left_over(annotations, exact)
-    edges = same_form_edges(rest, fields, annotations, 100 * c.fuzzy_same_form_threshold, c.visit_boost)
-    same = stored(linked(assigned(edges, assignment), annotations, fields, "fuzzy", t.confidence(F.col("score")), "re-pairing"))
-
+    same = stored(same_form(rest, fields, annotations, 100 * c.fuzzy_same_form_threshold, c.visit_boost, ranks).assigned(assignment))
     rest = left_over(annotations, exact, same)
-    edges = cross_form_edges(rest, fields, 100 * c.fuzzy_cross_form_threshold, c.visit_boost)
-    cross = stored(linked(assigned(edges, assignment), annotations, fields, "fuzzy", t.confidence(F.col("score")), "re-pairing"))
-
-    rest = left_over(annotations, exact, same, cross)
-    placed = positioned(rest, fields, source_dims, target_dims, c.position_fallback_confidence)
-    return exact.unionByName(same).unionByName(cross).unionByName(placed)
+    cross = stored(cross_form(rest, fields, 100 * c.fuzzy_cross_form_threshold, c.visit_boost).assigned(assignment))
+
+    links = exact.withColumn("score", F.lit(None).cast("double")).unionByName(same).unionByName(cross)
+    exactly = F.col("score").isNull()
+    kind, status = F.when(exactly, "exact").otherwise("fuzzy"), F.when(exactly, "approved").otherwise("re-pairing")
+    found = linked(links, annotations, fields, kind, F.when(exactly, F.lit(c.exact_threshold)).otherwise(t.confidence(F.col("score"))), status)
+    placed = positioned(left_over(annotations, exact, same, cross), fields, source_dims, target_dims, c.position_fallback_confidence)
+    return found.unionByName(placed)

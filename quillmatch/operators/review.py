@@ -114,7 +114,7 @@ def reopened(matches: DataFrame, annotation_id: str) -> DataFrame:
 def manual_targets(pairs: DataFrame, annotations: DataFrame, fields: DataFrame) -> DataFrame:
     """(annotation_id, field_id, target_rect) of pairs chosen by hand, with the guard that automatic ones have."""
     a = annotations.select(F.col("id").alias("annotation_id"), F.col("rect").alias("_a"), F.col("anchor_rect").alias("_anchor"))
-    f = keyed(fields, "label").select(F.col("id").alias("field_id"), F.col("id").alias("fid"), F.col("rect").alias("_f"), "page", "lab", "page_width", "page_height")
+    f = keyed(fields, "label").select(F.col("id").alias("field_id"), F.col("id").alias("fid"), F.col("rect").alias("_f"), "pair", "page", "lab", "page_width", "page_height")
     rows = pairs.select("annotation_id", "field_id").join(a, "annotation_id").join(f, "field_id").withColumn("raw", g.raw_target(F.col("_a"), F.col("_anchor"), F.col("_f")))
     return guarded(rows, fields).select("annotation_id", "field_id", "target_rect")
 

@@ -16,7 +16,7 @@ from quillmatch.functions import geometry as g
 from quillmatch.functions import rules, style
 from quillmatch.functions import text as t
 from quillmatch.operators import assignment, layout, matching, output, review
-from quillmatch.operators.graph import shared_folder
+from quillmatch.operators.graph import shared_folder, stored
 from quillmatch.plans.profile import profile_of, standard_profile
 from quillmatch.sources import records
 from quillmatch.streaming.audit import action_counts
@@ -332,6 +332,12 @@ FROM <<contents>> WHERE i % 8 = 3
 """
 
 
+def _raw_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = with_rect(spark.sql(_NOTE_COLUMNS.replace("<<contents>>", "{contents}"), contents=contents(spark, sf_dir)))
+    none = F.lit(None)
+    return notes.withColumns({"rotation": F.lit("0"), "da": F.lit(""), "rc": F.lit(""), "stroke": none.cast("array<double>"), "border_width": none.cast("double"), "border_dashes": none.cast("array<int>"), "ap_stream": F.lit("")})
+
+
 @query(
     "q_annotations",
     f"""WITH {SPANS_SQL}, {_STRIPPED}, contents AS ({_LINE_COLUMNS.replace('STRING', 'VARCHAR')}), notes AS ({duck(_NOTE_COLUMNS).replace('(i - i % 40) / 40', '(i - i % 40) // 40')}),
@@ -346,12 +352,9 @@ SELECT k.doc_id, k.page, k.seq, k.subject AS domain, category, coalesce(c.t, '')
  LEFT JOIN (SELECT * FROM n WHERE r = 1) n USING (doc_id, page) LEFT JOIN v USING (doc_id, page)""",
 )
 def q_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spans(spark, sf_dir)
-    notes = with_rect(spark.sql(_NOTE_COLUMNS.replace("<<contents>>", "{contents}"), contents=contents(spark, sf_dir)))
-    none = F.lit(None)
-    raw = notes.withColumns({"rotation": F.lit("0"), "da": F.lit(""), "rc": F.lit(""), "stroke": none.cast("array<double>"), "border_width": none.cast("double"), "border_dashes": none.cast("array<int>"), "ap_stream": F.lit("")})
+    s, raw = spans(spark, sf_dir), _raw_notes(spark, sf_dir)
     out = layout.annotations_of(raw, s, standard_profile(), dims(s))
-    return out.select("doc_id", "page", "seq", "domain", "category", "anchor_text", F.col("anchor_rect")[0].alias("anchor_x0"), "form_name", "visit", F.col("rect")[0].alias("x0"))
+    return out.select("doc_id", "page", F.col("page_seq").alias("seq"), "domain", "category", "anchor_text", F.col("anchor_rect")[0].alias("anchor_x0"), "form_name", "visit", F.col("rect")[0].alias("x0"))
 
 
 # ---------------------------------------------------------------- ranks and rows
@@ -361,7 +364,7 @@ _LINEITEM_FORMS = "SELECT l_orderkey, l_linenumber, p_brand || ' ' || p_type AS
 
 @query("q_page_rank", f"SELECT DISTINCT form, page, rank FROM (SELECT lower(form_name) AS form, page, CAST(dense_rank() OVER (PARTITION BY lower(form_name) ORDER BY page) AS INT) AS rank FROM ({duck(_LINEITEM_FORMS)}))")
 def q_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.page_ranks(view(spark, sf_dir, _LINEITEM_FORMS, "lineitem", "part"))
+    return matching.page_ranks(view(spark, sf_dir, _LINEITEM_FORMS, "lineitem", "part")).drop("pair")
 
 
 _EVENT_ROWS = "SELECT user_id, CAST(event_id % 3 AS INT) AS page, value AS y0, event_id AS seq FROM <<events>>"
@@ -404,7 +407,7 @@ xp AS (SELECT ai.seq AS aseq, fr.seq AS fseq FROM ai JOIN fn USING (form, lab, r
 
 @query("q_exact_match", f"WITH RECURSIVE {_EXACT} SELECT aseq, fseq FROM xp")
 def q_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.exact_pairs(annotations(spark, sf_dir), fields(spark, sf_dir))
+    return matching.exact_pairs(annotations(spark, sf_dir), fields(spark, sf_dir)).drop("pair")
 
 
 _RAW = """raw AS (SELECT a.seq AS aseq, f.id AS fid, f.page, lower(trim(f.label)) AS lab,
@@ -489,13 +492,13 @@ _GREEDY = """e AS (SELECT DISTINCT pr.aseq, pr.fseq, raw + bonus AS score, lower
 @query("q_assign_greedy", f"WITH RECURSIVE {_SAME}, {_GREEDY} SELECT aseq, fseq, score FROM w WHERE fseq IS NOT NULL")
 def q_assign_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, f = annotations(spark, sf_dir), fields(spark, sf_dir)
-    return assignment.assigned(matching.same_form_edges(a, f, a, 80.0, 5.0), "greedy")
+    return assignment.assigned(matching.same_form_edges(a, f, a, 80.0, 5.0), "greedy").drop("pair")
 
 
 @query("q_assign_optimal")
 def q_assign_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, f = annotations(spark, sf_dir), fields(spark, sf_dir)
-    return assignment.assigned(matching.same_form_edges(a, f, a, 80.0, 5.0), "optimal")
+    return assignment.assigned(matching.same_form_edges(a, f, a, 80.0, 5.0), "optimal").drop("pair")
 
 
 _POSITION = f"""{AF_SQL}, k AS (SELECT DISTINCT lower(trim(form_name)) AS form FROM f), p AS (SELECT a.*, category = 'domain_label' AS dl, k.form IS NOT NULL AS known, page <= 3 AS sized FROM a LEFT JOIN k ON k.form = lower(trim(a.form_name))),
@@ -548,6 +551,132 @@ def q_cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.counts_of(cascade(spark, sf_dir), "match_type", output.TYPES)
 
 
+# ---------------------------------------------------------------- many pairs of documents
+
+_WORDS = "list_aggregate(list_sort(list_filter(string_split_regex({0}, '\\s+'), lambda t: t <> '')), 'string_agg', ' ')"
+
+
+def cascade_sql(sim: str, same: float, cross: float, boost: float, sizes: str, sized: str = "") -> str:
+    """All passes by pair, over a (pair, seq, id, page, category, anchor_text, form_name, visit, x0..y1, ax0, ay0) and f (pair, seq, id, page, label, form_name, visit, x0..y1).
+
+    ``sim`` makes sim (x, y, raw) of texts (x, y); ``sizes``: sw, sh, tw, th of a row of r3, joined with ``sized``.
+    """
+    bonus = f"{boost / 5} * ({_BONUS.format('r.visit', 'q.visit')})"
+    return f"""ka AS (SELECT *, lower(trim(form_name)) AS form, lower(trim(anchor_text)) AS lab, {_WORDS.format('anchor_text')} AS x FROM a),
+fk AS (SELECT *, lower(trim(form_name)) AS form, lower(trim(label)) AS lab, coalesce({_WORDS.format('label')}, '') AS y FROM f), fk0 AS (SELECT pair, form, lab, page, y0, seq FROM fk),
+{_KEPT.format(key='pair, form, lab', source='fk0', join='s.pair = z.pair AND s.form = z.form AND s.lab = z.lab')},
+kf AS (SELECT pair, form, lab, page, seq, row_number() OVER (PARTITION BY pair, form, lab ORDER BY k) - 1 AS pos FROM z WHERE kept),
+ra AS (SELECT DISTINCT pair, form, page, dense_rank() OVER (PARTITION BY pair, form ORDER BY page) AS rank FROM ka),
+rf AS (SELECT DISTINCT pair, form, page, dense_rank() OVER (PARTITION BY pair, form ORDER BY page) AS rank FROM fk),
+ak AS (SELECT pair, form, lab, page, y0, seq, max(page) OVER (PARTITION BY pair, form, lab) > min(page) OVER (PARTITION BY pair, form, lab) AS many FROM ka WHERE trim(anchor_text) <> ''),
+ar AS (SELECT ak.*, CASE WHEN many THEN rank ELSE 0 END AS rank FROM ak JOIN ra USING (pair, form, page)),
+an AS (SELECT *, coalesce(page <> lag(page) OVER w OR abs(y0 - lag(y0) OVER w) > 5, false) AS new FROM ar WINDOW w AS (PARTITION BY pair, form, lab, rank ORDER BY page, y0, seq)),
+ai AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY pair, form, lab, rank ORDER BY page, y0, seq ROWS UNBOUNDED PRECEDING) AS ridx FROM an),
+fr AS (SELECT pair, form, lab, 0 AS rank, seq, pos FROM kf UNION ALL SELECT pair, form, lab, rank, seq, row_number() OVER (PARTITION BY pair, form, lab, rank ORDER BY pos) - 1 FROM kf JOIN rf USING (pair, form, page)),
+fn AS (SELECT pair, form, lab, rank, count(*) AS n FROM fr GROUP BY ALL),
+xp AS (SELECT ai.pair, ai.seq AS aseq, fr.seq AS fseq FROM ai JOIN fn USING (pair, form, lab, rank) JOIN fr ON fr.pair = ai.pair AND fr.form = ai.form AND fr.lab = ai.lab AND fr.rank = ai.rank AND fr.pos = least(ai.ridx, fn.n - 1)),
+r1 AS (SELECT * FROM ka WHERE (pair, seq) NOT IN (SELECT (pair, aseq) FROM xp)),
+c1 AS (SELECT r.pair, r.seq AS aseq, q.seq AS fseq, r.x, q.y, {bonus} AS bonus, r.pair || '#' || ra.form || '#' || ra.rank AS g FROM r1 r JOIN ra ON ra.pair = r.pair AND ra.form = r.form AND ra.page = r.page
+ JOIN rf ON rf.pair = ra.pair AND rf.form = ra.form AND rf.rank = ra.rank JOIN fk q ON q.pair = rf.pair AND q.form = rf.form AND q.page = rf.page WHERE trim(r.anchor_text) <> ''),
+texts AS (SELECT DISTINCT r.x, q.y FROM r1 r JOIN fk q USING (pair) WHERE trim(r.anchor_text) <> ''), {sim},
+e AS (SELECT DISTINCT g, aseq, fseq, raw + bonus AS score FROM c1 JOIN sim USING (x, y) WHERE raw + bonus >= {same}), {_picks('e', 'o', 'w')},
+w1 AS (SELECT split_part(g, '#', 1) AS pair, aseq, fseq, score FROM w WHERE fseq IS NOT NULL),
+r2 AS (SELECT * FROM r1 WHERE (pair, seq) NOT IN (SELECT (pair, aseq) FROM w1)),
+e2 AS (SELECT r.pair AS g, r.seq AS aseq, q.seq AS fseq, raw + {bonus} AS score FROM r2 r JOIN fk q USING (pair) JOIN sim ON sim.x = r.x AND sim.y = q.y WHERE trim(r.anchor_text) <> '' AND raw + {bonus} >= {cross}),
+{_picks('e2', 'o2', 'w2')}, w3 AS (SELECT g AS pair, aseq, fseq, score FROM w2 WHERE fseq IS NOT NULL), r3 AS (SELECT * FROM r2 WHERE (pair, seq) NOT IN (SELECT (pair, aseq) FROM w3)),
+ap AS (SELECT pair, aseq, fseq, 'exact' AS match_type, CAST(1 AS DOUBLE) AS confidence, 'approved' AS status FROM xp UNION ALL SELECT pair, aseq, fseq, 'fuzzy', least(score / 100, 1), 're-pairing' FROM w1 UNION ALL SELECT pair, aseq, fseq, 'fuzzy', least(score / 100, 1), 're-pairing' FROM w3),
+raw AS (SELECT p.pair, p.aseq, p.match_type, p.confidence, p.status, q.id AS fid, q.seq AS fseq, q.page, q.lab, q.pw, q.ph, CASE WHEN ax0 IS NOT NULL THEN q.x0 + (a.x0 - ax0) ELSE q.x0 END AS x0, CASE WHEN ax0 IS NOT NULL THEN q.y0 + (a.y0 - ay0) ELSE q.y0 END AS y0,
+ CASE WHEN ax0 IS NOT NULL THEN q.x0 + (a.x0 - ax0) + (a.x1 - a.x0) ELSE q.x1 END AS x1, CASE WHEN ax0 IS NOT NULL THEN q.y0 + (a.y0 - ay0) + (a.y1 - a.y0) ELSE q.y1 END AS y1 FROM ap p JOIN ka a ON a.pair = p.pair AND a.seq = p.aseq JOIN fk q ON q.pair = p.pair AND q.seq = p.fseq),
+gd AS (SELECT raw.*, raw.x0 < 0 OR raw.y0 < 0 OR raw.x1 > pw OR raw.y1 > ph AS off FROM raw),
+pe AS (SELECT gd.pair, gd.aseq, arg_min({{'x0': q.x0, 'y0': q.y0, 'x1': q.x1, 'y1': q.y1}}, {{'a': q.x0, 'b': q.seq}}) AS peer FROM gd JOIN fk q ON q.pair = gd.pair AND q.page = gd.page AND q.lab = gd.lab AND q.seq <> gd.fseq WHERE off GROUP BY ALL),
+gp AS (SELECT gd.pair, aseq, match_type, confidence, status, fid, page, pw, ph, peer IS NOT NULL AS moved, coalesce(peer.x0, x0) AS x0, coalesce(peer.y0, y0) AS y0, coalesce(peer.x1, x1) AS x1, coalesce(peer.y1, y1) AS y1 FROM gd LEFT JOIN pe USING (pair, aseq)),
+gc AS (SELECT *, greatest(0, least(x0, pw)) AS cx0, greatest(0, least(y0, ph)) AS cy0, greatest(0, least(x1, pw)) AS cx1, greatest(0, least(y1, ph)) AS cy1 FROM gp),
+pk AS (SELECT DISTINCT pair, form FROM fk), pp AS (SELECT r3.*, category = 'domain_label' AS dl, pk.form IS NOT NULL AS known, {sizes} FROM r3 LEFT JOIN pk USING (pair, form) {sized}),
+ps AS (SELECT *, dl OR known AS placed, CASE WHEN dl OR NOT known THEN x0 ELSE x0 * (tw / sw) END AS sx0, CASE WHEN dl OR NOT known THEN y0 ELSE y0 * (th / sh) END AS sy0, CASE WHEN dl OR NOT known THEN x1 ELSE x1 * (tw / sw) END AS sx1, CASE WHEN dl OR NOT known THEN y1 ELSE y1 * (th / sh) END AS sy1 FROM pp),
+pc AS (SELECT *, placed AND tw > 0 AND th > 0 AS clamp, greatest(0, least(sx0, tw)) AS cx0, greatest(0, least(sy0, th)) AS cy0, greatest(0, least(sx1, tw)) AS cx1, greatest(0, least(sy1, th)) AS cy1 FROM ps),
+al AS (SELECT pair, aseq AS seq, fid AS field_id, match_type, confidence, page AS target_page, status, moved OR x0 <> cx0 OR y0 <> cy0 OR x1 <> cx1 OR y1 <> cy1 AS placement_adjusted, cx0 AS x0, cy0 AS y0, cx1 AS x1, cy1 AS y1 FROM gc
+ UNION ALL SELECT pair, seq, NULL, CASE WHEN placed THEN 'position_only' ELSE 'unmatched' END, CAST(CASE WHEN placed THEN 0.5 ELSE 0 END AS DOUBLE), CASE WHEN placed THEN page ELSE 0 END, 're-pairing', clamp AND (cx0 <> sx0 OR cy0 <> sy0 OR cx1 <> sx1 OR cy1 <> sy1),
+ CASE WHEN clamp THEN cx0 ELSE sx0 END, CASE WHEN clamp THEN cy0 ELSE sy0 END, CASE WHEN clamp THEN cx1 ELSE sx1 END, CASE WHEN clamp THEN cy1 ELSE sy1 END FROM pc)"""
+
+
+_LINKS = ("pair", "seq", "field_id", "match_type", "confidence", "target_page", "status", "placement_adjusted")
+_LINKS_SQL = "SELECT pair, seq, field_id, match_type, confidence, CAST(target_page AS INT) AS target_page, status, placement_adjusted, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM al"
+
+#: A pair for each supplier; places are counted anew in each, so they and the pages repeat from pair to pair.
+_ITEMS = """
+SELECT 'S' || CAST(l_suppkey AS STRING) AS pair, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS seq, l_orderkey, l_partkey, l_linenumber, p_name, p_brand, p_type, p_size
+FROM <<lineitem>> JOIN <<part>> ON l_partkey = p_partkey
+"""
+_PAIR_ANNOTATIONS = """
+SELECT pair, seq, 'A' || CAST(seq AS STRING) AS id, CAST(1 + l_linenumber AS INT) AS page, CASE WHEN l_orderkey % 20 = 0 THEN 'domain_label' ELSE 'sdtm_mapping' END AS category,
+       CASE WHEN l_orderkey % 10 = 0 THEN ' ' ELSE p_name END AS anchor_text, p_type AS form_name, 'Week ' || CAST(l_orderkey % 4 AS STRING) AS visit,
+       CAST((l_orderkey * 37) % 500 AS DOUBLE) AS x0, CAST((l_orderkey * 53) % 760 AS DOUBLE) AS y0, CAST((l_orderkey * 37) % 500 + 120 AS DOUBLE) AS x1, CAST((l_orderkey * 53) % 760 + 14 AS DOUBLE) AS y1,
+       CASE WHEN l_orderkey % 3 > 0 THEN CAST(50 AS DOUBLE) END AS ax0, CASE WHEN l_orderkey % 3 > 0 THEN CAST((l_orderkey * 53) % 760 AS DOUBLE) END AS ay0
+FROM <<items>>
+"""
+_PAIR_FIELDS = """
+SELECT pair, seq, 'F' || CAST(seq AS STRING) AS id, CAST(1 + l_linenumber AS INT) AS page,
+       CASE l_orderkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 2 THEN p_name || 's' ELSE p_name END AS label,
+       CASE WHEN l_orderkey % 7 = 0 THEN 'Other ' || p_type ELSE lower(p_type) END AS form_name, 'week ' || CAST(l_orderkey % 3 AS STRING) AS visit,
+       CAST((l_orderkey * 41) % 560 AS DOUBLE) AS x0, CAST((l_orderkey * 29) % 760 AS DOUBLE) AS y0, CAST((l_orderkey * 41) % 560 + 80 AS DOUBLE) AS x1, CAST((l_orderkey * 29) % 760 + 12 AS DOUBLE) AS y1, CAST(595 AS DOUBLE) AS page_width, CAST(842 AS DOUBLE) AS page_height
+FROM <<items>>
+"""
+_PAIRS_SQL = f"items AS ({duck(_ITEMS)}), a AS ({duck(_PAIR_ANNOTATIONS)}), f AS (SELECT *, page_width AS pw, page_height AS ph FROM ({duck(_PAIR_FIELDS)}))".replace("STRING", "VARCHAR")
+
+
+def pair_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = view(spark, sf_dir, _ITEMS, "lineitem", "part")
+    a, f = (with_rect(spark.sql(q.replace("<<items>>", "{items}"), items=items)) for q in (_PAIR_ANNOTATIONS, _PAIR_FIELDS))
+    return a.withColumn("anchor_rect", F.when(F.col("ax0").isNotNull(), F.array(F.col("ax0"), F.col("ay0"), F.col("ax0") + 100.0, F.col("ay0") + 12.0))).drop("ax0", "ay0"), f
+
+
+_PAIR_SIZES = "CAST(595 AS DOUBLE) AS sw, CAST(842 AS DOUBLE) AS sh, CAST(612 AS DOUBLE) AS tw, CAST(792 AS DOUBLE) AS th"
+
+
+@query("q_cascade_pairs", f"WITH RECURSIVE {_PAIRS_SQL}, {cascade_sql(_LCS, 80, 90, 5, _PAIR_SIZES)} {_LINKS_SQL}")
+def q_cascade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair by itself, all at once."""
+    a, f = pair_records(spark, sf_dir)
+    out = matching.match_annotations(a, f, page_sizes(spark, 595.0, 842.0, 9), page_sizes(spark, 612.0, 792.0, 9), standard_profile().matching_config)
+    return out.select(*_LINKS, *corners(F.col("target_rect")))
+
+
+#: The new version of a document: pages moved on in every other document, lines a little lower, some words added.
+_TARGET_COLUMNS = "SELECT doc_id, CAST(page + CAST(doc_id AS BIGINT) % 2 AS INT) AS page, seq, CASE WHEN seq % 10 = 4 THEN text || ' (new)' ELSE text END AS text, font_size, bold, x0, y0 + 3 AS y0, x1, y1 + 3 AS y1 FROM <<spans>>"
+_EQUAL_TEXTS = "sim AS (SELECT x, y, CAST(100 AS DOUBLE) AS raw FROM texts WHERE x = y)"
+_DOC_ANNOTATIONS = f"""ss AS (SELECT *, trim(text, ' ' || chr(9) || chr(13) || chr(10)) AS t FROM spans), contents AS ({_LINE_COLUMNS.replace('STRING', 'VARCHAR')}), notes AS ({duck(_NOTE_COLUMNS).replace('(i - i % 40) / 40', '(i - i % 40) // 40')}),
+nk AS (SELECT * FROM (SELECT *, {_CASE} AS category FROM notes WHERE length(content) > 0) WHERE category <> '_exclude'), nb AS (SELECT *, min(x0) OVER (PARTITION BY doc_id, page) AS lx FROM ss),
+nc AS (SELECT m.doc_id, m.page, m.seq, b.t, b.x0 AS bx, b.y0 AS by, row_number() OVER (PARTITION BY m.doc_id, m.page, m.seq ORDER BY greatest(0.0, greatest(m.y0, b.y0) - least(m.y1, b.y1)), abs((b.y0 + b.y1) / 2 - m.y0), b.seq) AS r
+ FROM nk m JOIN (SELECT * FROM nb WHERE x0 <= lx + 50 AND t <> '' AND NOT {_EXCLUDE}) b ON b.doc_id = m.doc_id AND b.page = m.page),
+nn AS (SELECT doc_id, page, t, row_number() OVER (PARTITION BY doc_id, page ORDER BY NOT bold, -font_size, y0, seq) AS r FROM ss WHERE t <> '' AND NOT {_EXCLUDE} AND font_size >= 6.5 AND y0 <= 0.35 * 842),
+a AS (SELECT nk.doc_id AS pair, (CAST(page AS BIGINT) << 32) + seq AS seq, page, category, coalesce(nc.t, '') AS anchor_text, coalesce(nn.t, '') AS form_name, '' AS visit, nk.x0, nk.y0, nk.x1, nk.y1, nc.bx AS ax0, nc.by AS ay0
+ FROM nk LEFT JOIN (SELECT * FROM nc WHERE r = 1) nc USING (doc_id, page, seq) LEFT JOIN (SELECT * FROM nn WHERE r = 1) nn USING (doc_id, page))"""
+_DOC_FIELDS = f"""tg AS ({duck(_TARGET_COLUMNS)}), tk AS (SELECT * FROM tg s WHERE NOT EXISTS (SELECT 1 FROM tg c WHERE c.doc_id = s.doc_id AND c.page = s.page AND c.y0 <= 0.35 * 792 AND regexp_matches(c.text, '^Codelist\\b', 'i'))),
+ts AS (SELECT *, trim(text, ' ' || chr(9) || chr(13) || chr(10)) AS t, {_MARKER} AS ft FROM tk), tb AS (SELECT *, min(x0) OVER (PARTITION BY doc_id, page) AS lx FROM ts WHERE ft = 'none'),
+tc AS (SELECT m.doc_id, m.page, m.seq, b.t, row_number() OVER (PARTITION BY m.doc_id, m.page, m.seq ORDER BY greatest(0.0, greatest(m.y0, b.y0) - least(m.y1, b.y1)), abs((b.y0 + b.y1) / 2 - m.y0), b.seq) AS r
+ FROM (SELECT * FROM ts WHERE ft <> 'none') m JOIN (SELECT * FROM tb WHERE x0 <= lx + 50 AND t <> '' AND NOT {_EXCLUDE}) b ON b.doc_id = m.doc_id AND b.page = m.page WHERE greatest(0.0, greatest(m.y0, b.y0) - least(m.y1, b.y1)) <= 30),
+rec AS (SELECT doc_id, page, seq, x0, y0, x1, y1, t AS label, 0 AS p FROM ts WHERE ft = 'none' AND (bold OR font_size >= 6.5) AND NOT {_EXCLUDE}
+ UNION ALL SELECT ts.doc_id, ts.page, ts.seq, ts.x0, ts.y0, ts.x1, ts.y1, coalesce(tc.t, ts.text), 1 FROM ts LEFT JOIN (SELECT * FROM tc WHERE r = 1) tc ON tc.doc_id = ts.doc_id AND tc.page = ts.page AND tc.seq = ts.seq WHERE ts.ft <> 'none'),
+tn AS (SELECT doc_id, page, arg_min(label, {{'a': y0, 'b': x0, 'c': p, 'd': seq}}) AS form_name FROM (SELECT *, label AS t FROM rec) WHERE NOT {_EXCLUDE} GROUP BY 1, 2),
+f AS (SELECT doc_id AS pair, (CAST(page AS BIGINT) << 32) + (CAST(p AS BIGINT) << 31) + seq AS seq, sha256(doc_id || '/' || page || '/' || p || '/' || seq) AS id, page, label, coalesce(form_name, '') AS form_name, '' AS visit, x0, y0, x1, y1, CAST(612 AS DOUBLE) AS pw, CAST(792 AS DOUBLE) AS ph
+ FROM rec LEFT JOIN tn USING (doc_id, page))"""
+_DOC_SIZES = """tz.page IS NOT NULL AS sized, CAST(595 AS DOUBLE) AS sw, CAST(842 AS DOUBLE) AS sh, CASE WHEN sized THEN CAST(612 AS DOUBLE) WHEN category = 'domain_label' THEN 0 ELSE CAST(595 AS DOUBLE) END AS tw,
+ CASE WHEN sized THEN CAST(792 AS DOUBLE) WHEN category = 'domain_label' THEN 0 ELSE CAST(842 AS DOUBLE) END AS th"""
+
+
+@query("q_documents_linked", f"WITH RECURSIVE {SPANS_SQL}, {_DOC_ANNOTATIONS}, {_DOC_FIELDS}, {cascade_sql(_EQUAL_TEXTS, 100, 100, 0, _DOC_SIZES, 'LEFT JOIN (SELECT DISTINCT doc_id, page FROM tg) tz ON tz.doc_id = r3.pair AND tz.page = r3.page')} {_LINKS_SQL}")
+def q_documents_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From spans and raw annotations to links, every document with its own new version. Fuzzy passes ask for equal words in any order, which SQL can say of long lines."""
+    s = stored(spans(spark, sf_dir))
+    source = layout.annotations_of(_raw_notes(spark, sf_dir), s, standard_profile(), dims(s))
+    t_ = with_rect(spark.sql(_TARGET_COLUMNS.replace("<<spans>>", "{spans}"), spans=s.select("*", *corners(F.col("rect"))).drop("rect")))
+    sizes = dims(t_).withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    fields_ = layout.fields_of(t_, sizes, standard_profile())
+    config = profile_of({"meta": {"name": "w"}, "domain_codes": [], "classification_rules": [], "matching_config": {"fuzzy_same_form_threshold": 1.0, "fuzzy_cross_form_threshold": 1.0, "visit_boost": 0.0}}).matching_config
+    out = matching.match_annotations(source, fields_, dims(s), sizes, config)
+    return out.select(*_LINKS, *corners(F.col("target_rect")))
+
+
 @query(
     "q_geometry",
     """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_extendedprice / 100 AS y0, l_quantity + 30 AS x1, l_extendedprice / 100 + 12 AS y1 FROM lineitem),
