@@ -146,6 +146,8 @@ def nearest_labels(markers: DataFrame, blocks: DataFrame, profile: Profile, most
     b = blocks.withColumn("_left", left).where(F.col("rect")[0] <= F.col("_left")).withColumn("_text", strip(F.col("text")))
     b = b.where((F.col("_text") != "") & ~excluded(profile, F.col("_text"))).select(*PAGE, F.col("seq").alias("_seq"), "_text", F.col("rect").alias("_rect"))
     m = markers.select(*PAGE, "seq", "rect")
+    if most is None:
+        b = stored(b)  # read three times
     best = _nearest(m, b, BAND if most is None else most)
     if most is None:
         best = best.unionByName(_farther(m.join(best.select(*KEY), KEY, "left_anti"), b))
