@@ -91,14 +91,15 @@ def scored(pairs: DataFrame, threshold: float, boost: float) -> DataFrame:
     return hopeful.join(raw, ["_a", "_f"]).withColumn("score", F.col("_raw") + F.col("_bonus")).where(F.col("score") >= threshold).drop("_a", "_f", "_raw", "_bonus")
 
 
-def _sides(annotations: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records that a fuzzy pass compares, with their token-sorted texts and the class (text and visit) that decides their scores."""
-    a = paired(annotations.where(t.strip(F.col("anchor_text")) != "")).select("pair", t.norm(F.col("form_name")).alias("form"), "page", F.col("seq").alias("aseq"), t.token_sorted(F.col("anchor_text")).alias("_a"), F.col("visit").alias("avisit"))
+def sides_of(annotations: DataFrame, fields: DataFrame, blank: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records that a fuzzy pass compares (``blank``: annotations without an anchor too), with their token-sorted texts and the class (text and visit) that decides their scores."""
+    said = annotations if blank else annotations.where(t.strip(F.col("anchor_text")) != "")
+    a = paired(said).select("pair", t.norm(F.col("form_name")).alias("form"), "page", F.col("seq").alias("aseq"), t.token_sorted(F.col("anchor_text")).alias("_a"), F.col("visit").alias("avisit"))
     f = paired(fields).select("pair", t.norm(F.col("form_name")).alias("form"), "page", F.col("seq").alias("fseq"), t.token_sorted(F.col("label")).alias("_f"), F.col("visit").alias("fvisit"))
     return a.withColumn("c", F.xxhash64("_a", "avisit")), f.withColumn("d", F.xxhash64("_f", "fvisit"))
 
 
-def _near(a: DataFrame, f: DataFrame, keys: list[str], threshold: float, boost: float) -> DataFrame:
+def near_classes(a: DataFrame, f: DataFrame, keys: list[str], threshold: float, boost: float) -> DataFrame:
     """(keys, c, d, score) of the classes of a block that reach the threshold. Only distinct texts are compared."""
     near = near_pairs(a.select(*keys, "_a").distinct(), f.select(*keys, "_f").distinct(), keys, threshold - max(boost, 0.0))
     one, two = a.select(*keys, "_a", "avisit", "c").distinct(), f.select(*keys, "_f", "fvisit", "d").distinct()
@@ -123,18 +124,18 @@ class Classes:
 def same_form(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame, threshold: float, boost: float, ranks: Ranks | None = None) -> Classes:
     """Annotations and fields of one form on pages of one rank; g is the block."""
     of_a, of_f = ranks or (page_ranks(all_annotations), page_ranks(fields))
-    a, f = _sides(annotations, fields)
+    a, f = sides_of(annotations, fields)
     a, f = stored(a.join(of_a, ["pair", "form", "page"])), stored(f.join(of_f, ["pair", "form", "page"]))
     group = F.xxhash64("form", "rank").alias("g")
-    edges = stored(_near(a, f, ["pair", "form", "rank"], threshold, boost).select("pair", group, "c", "d", "score"))
+    edges = stored(near_classes(a, f, ["pair", "form", "rank"], threshold, boost).select("pair", group, "c", "d", "score"))
     used = edges.select("pair", "g").distinct()
     return Classes(edges, a.select("pair", group, "c", "aseq").join(used, ["pair", "g"]), f.select("pair", group, "d", "fseq").join(used, ["pair", "g"]))
 
 
 def cross_form(annotations: DataFrame, fields: DataFrame, threshold: float, boost: float, most: int = MOST_EDGES) -> Classes:
     """All annotations and fields of a pair of documents; g is 0 in a pair of few edges, else the component of classes: components can be assigned by themselves."""
-    a, f = (stored(x) for x in _sides(annotations, fields))
-    near = stored(_near(a, f, ["pair"], threshold, boost))
+    a, f = (stored(x) for x in sides_of(annotations, fields))
+    near = stored(near_classes(a, f, ["pair"], threshold, boost))
     large = near.groupBy("pair").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("pair")
     zero = F.lit(0).cast("long").alias("g")
     if large.isEmpty():

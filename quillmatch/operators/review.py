@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import geometry as g
 from quillmatch.functions import text as t
-from quillmatch.operators.matching import guarded, keyed, scored
+from quillmatch.operators.graph import stored
+from quillmatch.operators.matching import guarded, keyed, near_classes, scored, sides_of
 
 CATEGORIES = ("domain_label", "sdtm_mapping", "not_submitted", "note", "cross_reference")
 FIELD_TYPES = ("text_field", "checkbox", "date_field", "table_row", "section_header")
@@ -198,11 +199,26 @@ def enriched(matches: DataFrame, annotations: DataFrame, fields: DataFrame) -> D
 
 
 def suggestions(annotations: DataFrame, fields: DataFrame, threshold: float, boost: float, k: int = 3) -> DataFrame:
-    """(aseq, fseq, score, place): the k fields of highest score in an annotation's form, the first of equal ones."""
-    a = annotations.select(t.norm(F.col("form_name")).alias("form"), F.col("seq").alias("aseq"), "anchor_text", F.col("visit").alias("avisit"))
-    f = fields.select(t.norm(F.col("form_name")).alias("form"), F.col("seq").alias("fseq"), "label", F.col("visit").alias("fvisit"))
-    order = Window.partitionBy("aseq").orderBy(F.desc("score"), "fseq")
-    return scored(a.join(f, "form"), threshold, boost).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("aseq", "fseq", "score", "place")
+    """(aseq, fseq, score, place), and pair where records have one: the k fields of highest score in an annotation's form, the first of equal ones.
+
+    Texts meet in the fuzzy index, so those that can't reach the threshold aren't scored. Annotations of one text and
+    visit have the same list, for which each text and visit among the fields gives its first k: lists are
+    made once, and never from all pairs of records.
+    """
+    block = ["pair", "form"]
+    a, f = sides_of(annotations, fields, blank=True)
+    a, f = stored(a), stored(f)
+    edges = near_classes(a, f, block, threshold, boost)
+    first = f.withColumn("_k", F.row_number().over(Window.partitionBy(*block, "d").orderBy("fseq"))).where(F.col("_k") <= k).select(*block, "d", "fseq")
+    order = Window.partitionBy(*block, "c").orderBy(F.desc("score"), "fseq")
+    best = edges.join(first, [*block, "d"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(*block, "c", "fseq", "score", "place")
+    out = a.select(*block, "c", "aseq").join(best, [*block, "c"]).select("pair", "aseq", "fseq", "score", "place")
+    return out if {"pair", "doc_id"} & set(annotations.columns) else out.drop("pair")
+
+
+def record_counts(**kinds: DataFrame) -> DataFrame:
+    """(kind, n): how many records there are of each kind."""
+    return reduce(lambda x, y: x.unionByName(y), [rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, rows in kinds.items()])
 
 
 def rule_tester(spark: SparkSession, profile: object, content: str, subject: str) -> tuple[str, str]:

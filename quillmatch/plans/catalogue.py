@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from quillmatch.functions import geometry as g
 from quillmatch.functions import rules, style
 from quillmatch.functions import text as t
-from quillmatch.operators import assignment, layout, matching, output, review
+from quillmatch.operators import assignment, layout, matching, output, review, versions
 from quillmatch.operators.graph import shared_folder, stored
 from quillmatch.plans.profile import profile_of, standard_profile
 from quillmatch.sources import records
+from quillmatch.sources.changes import ChangeLog
+from quillmatch.sources.session import Session
 from quillmatch.streaming.audit import action_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -932,6 +934,136 @@ def q_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return action_counts(log).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "action", "n")
 
 
+# ---------------------------------------------------------------- spans, styles, edits and versions
+
+
+@query(
+    "q_text_spans",
+    """WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(range(len(l))) AS b, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+p AS (SELECT doc_id, b, unnest(range(len(l))) AS k, unnest(l) AS said FROM (SELECT doc_id, b, string_split(line, '. ') AS l FROM b WHERE b % 5 <> 4)), t AS (SELECT *, trim(said, ' ' || chr(9) || chr(13) || chr(10)) AS text FROM p)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, k) - 1 AS seq, md5(text) AS text_md5, CAST(CASE WHEN k % 4 = 3 THEN 10 ELSE 8 + k % 4 END AS DOUBLE) AS font_size, b % 3 = 0 OR k % 2 = 1 AS bold, CAST(20 * b AS DOUBLE) AS y0 FROM t WHERE text <> ''""",
+)
+def q_text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page a document: a block a line, some of them images, and a span a sentence."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+
+    def span(b: Column) -> Callable[[Column, Column], Column]:
+        return lambda said, k: F.struct(
+            said.alias("text"), F.when(k % 4 != 3, 8.0 + k % 4).alias("size"), F.when(b % 3 == 0, 16).otherwise(0).alias("flags"), F.when(k % 2 == 1, "Arial-BOLD").otherwise("Arial").alias("font"), g.rect(F.lit(0.0), 20.0 * b, F.lit(9.0), 20.0 * b + 9).alias("bbox")
+        )
+
+    blocks = docs.select("doc_id", "page", F.transform("lines", lambda line, b: F.struct(F.when(b % 5 == 4, 1).otherwise(0).alias("type"), F.array(F.struct(F.transform(F.split(line, "\\. "), span(b)).alias("spans"))).alias("lines"))).alias("blocks"))
+    return layout.text_spans(blocks).select("doc_id", F.col("seq").cast("long").alias("seq"), F.md5("text").alias("text_md5"), "font_size", "bold", F.col("rect")[1].alias("y0"))
+
+
+@query("q_annotation_rects", "SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INT) AS page, CAST(10 * turn AS DOUBLE) AS x0, CAST(length(text) AS DOUBLE) AS x1 FROM conversations WHERE lower(role) IN ('user', 'system')")
+def q_annotation_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn").cast("double")
+    raw = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.col("role").alias("subtype"), g.rect(10 * turn, F.lit(0.0), F.length("text").cast("double"), F.lit(1.0)).alias("rect"))
+    return layout.annotation_rects(raw, ["USER", "System"]).select("doc_id", "page", F.col("rect")[0].alias("x0"), F.col("rect")[2].alias("x1"))
+
+
+@query("q_qc_saved", f"WITH {_WRITTEN} SELECT count(*) AS total_matches, count(*) FILTER (written) AS written, count(*) FILTER (match_type = 'fuzzy') AS fuzzy, count(*) FILTER (placement_adjusted) AS adjusted FROM w")
+def q_qc_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as a run's folder keeps it."""
+    run = Session(spark, shared_folder(spark))
+    run.save_report(output.qc_report(output.writable(matches(spark, sf_dir), annotations(spark, sf_dir), 6)))
+    return run.load_report().select("total_matches", "written", F.col("counts_by_match_type.fuzzy").alias("fuzzy"), F.size("placement_adjusted_ids").cast("long").alias("adjusted"))
+
+
+_BY_HAND = "SELECT p_partkey AS aseq, (p_partkey * 7) % 1999 + 1 AS fseq FROM <<part>>"
+
+
+@query("q_manual_targets", f"WITH {AF_SQL}, px AS ({duck(_BY_HAND)}), {_RAW.format(pairs='px')} SELECT 'A' || aseq AS annotation_id, fid AS field_id, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM gc")
+def q_manual_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = view(spark, sf_dir, _BY_HAND, "part").select(F.concat(F.lit("A"), "aseq").alias("annotation_id"), F.concat(F.lit("F"), "fseq").alias("field_id"))
+    return review.manual_targets(pairs, annotations(spark, sf_dir), fields(spark, sf_dir)).select("annotation_id", "field_id", *corners(F.col("target_rect")))
+
+
+_HAND_TEXTS = f"px AS ({duck(_BY_HAND)}), pr AS (SELECT a.seq AS aseq, {_SORTED.format('a.anchor_text')} AS x, {_SORTED.format('f.label')} AS y, {_BONUS.format('a.visit', 'f.visit')} AS bonus FROM px JOIN a ON a.seq = px.aseq JOIN f ON f.seq = px.fseq), texts AS (SELECT DISTINCT x, y FROM pr)"
+
+
+@query("q_predicted", f"WITH RECURSIVE {AF_SQL}, {_HAND_TEXTS}, {_LCS} SELECT aseq, CAST(least((raw + bonus) / 100, 1) AS DOUBLE) AS confidence FROM pr JOIN sim USING (x, y)")
+def q_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = annotations(spark, sf_dir).select(F.col("seq").alias("aseq"), "anchor_text", F.col("visit").alias("avisit"))
+    f = fields(spark, sf_dir).select(F.col("seq").alias("fseq"), "label", F.col("visit").alias("fvisit"))
+    return review.predicted(view(spark, sf_dir, _BY_HAND, "part").join(a, "aseq").join(f, "fseq"), 5.0).select("aseq", "confidence")
+
+
+@query(
+    "q_confirmed",
+    f"""WITH RECURSIVE {AF_SQL}, m AS ({M_SQL}), px AS (SELECT 7 AS aseq, 12 AS fseq), {_RAW.format(pairs='px')}, pr AS (SELECT {_SORTED.format('a.anchor_text')} AS x, {_SORTED.format('f.label')} AS y, {_BONUS.format('a.visit', 'f.visit')} AS bonus FROM a, f WHERE a.seq = 7 AND f.seq = 12), texts AS (SELECT x, y FROM pr), {_LCS}
+SELECT m.seq, CASE WHEN gc.aseq IS NULL THEN m.field_id ELSE gc.fid END AS field_id, CASE WHEN gc.aseq IS NULL THEN m.match_type ELSE 'manual' END AS match_type, CASE WHEN gc.aseq IS NULL THEN m.status ELSE 'approved' END AS status,
+ CAST(CASE WHEN gc.aseq IS NULL THEN m.confidence ELSE (SELECT least((raw + bonus) / 100, 1) FROM pr JOIN sim USING (x, y)) END AS DOUBLE) AS confidence, CAST(CASE WHEN gc.aseq IS NULL THEN m.x0 ELSE gc.x0 END AS DOUBLE) AS x0 FROM m LEFT JOIN gc ON gc.aseq = m.seq""",
+)
+def q_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = review.confirmed(matches(spark, sf_dir), annotations(spark, sf_dir), fields(spark, sf_dir), "A7", "F12", 5.0)
+    return out.select("seq", "field_id", "match_type", "status", "confidence", F.col("target_rect")[0].alias("x0"))
+
+
+@query("q_edit_delete", f"WITH f AS ({F_SQL}) SELECT seq, CASE WHEN id = 'F5' THEN 'edited' ELSE label END AS label, CASE WHEN id = 'F5' THEN page + 1 ELSE page END AS page FROM f WHERE id <> 'F6'")
+def q_edit_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = {"label": F.lit("edited"), "page": F.col("page") + 1}
+    return review.deleted(review.edited(fields(spark, sf_dir), "id", "F5", changes), "id", "F6").select("seq", "label", "page")
+
+
+@query("q_record_counts", f"WITH {AF_SQL} SELECT 'annotations' AS kind, count(*) AS n FROM a UNION ALL SELECT 'fields', count(*) FROM f UNION ALL SELECT 'matches', count(*) FROM orders")
+def q_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.record_counts(annotations=annotations(spark, sf_dir), fields=fields(spark, sf_dir), matches=matches(spark, sf_dir))
+
+
+_STREAMS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'q 0 0 1 rg' WHEN 1 THEN '1 0 0 RG 0.' || CAST(p_size AS STRING) || ' .5 1 RG S' WHEN 2 THEN CAST(p_size AS STRING) || ' 0 2 RG' WHEN 3 THEN '0 0.25 1.0 RG Q' END AS stream, CASE p_partkey % 4 WHEN 0 THEN CAST(90 * (p_size % 4) AS STRING) WHEN 1 THEN 'none' WHEN 2 THEN '' END AS turn FROM <<part>>"
+
+
+@query(
+    "q_stroke_rotation",
+    f"""WITH s AS ({duck(_STREAMS).replace('STRING', 'VARCHAR')}), l AS (SELECT *, regexp_extract_all(stream, '[0-9.]+\\s+[0-9.]+\\s+[0-9.]+\\s+RG\\b')[-1] AS last FROM s),
+c AS (SELECT *, CAST(nullif(split_part(last, ' ', 1), '') AS DOUBLE) AS r, CAST(nullif(split_part(last, ' ', 2), '') AS DOUBLE) AS gr, CAST(nullif(split_part(last, ' ', 3), '') AS DOUBLE) AS b FROM l)
+SELECT p_partkey, CASE WHEN greatest(r, gr, b) <= 1 THEN r END AS r, CASE WHEN greatest(r, gr, b) <= 1 THEN gr END AS gr, CASE WHEN greatest(r, gr, b) <= 1 THEN b END AS b, coalesce(TRY_CAST(turn AS INT), 0) AS rotation FROM c""",
+)
+def q_stroke_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rgb = style.stroke_rgb(F.col("stream"))
+    return view(spark, sf_dir, _STREAMS, "part").select("p_partkey", rgb[0].alias("r"), rgb[1].alias("gr"), rgb[2].alias("b"), style.rotation(F.col("turn")).alias("rotation"))
+
+
+@query("q_stable_ids", "SELECT l_orderkey, l_linenumber, l_partkey, sha256(l_orderkey || '/' || l_linenumber || '/' || l_returnflag) AS id FROM lineitem")
+def q_stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", t.stable_id(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_returnflag")).alias("id"))
+
+
+#: A later version: a word added here and there, pages without their last spans, and pages that are new.
+_LATER = "SELECT doc_id, page, seq, CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 AND seq = 4 THEN text || ' (new)' ELSE text END AS text FROM <<spans>> WHERE NOT (CAST(doc_id AS BIGINT) % 5 = 1 AND page = 2) UNION ALL SELECT doc_id, page + 1000, seq, text FROM <<spans>> WHERE CAST(doc_id AS BIGINT) % 7 = 2"
+
+
+@query(
+    "q_changed_pages",
+    f"""WITH {SPANS_SQL}, later AS ({duck(_LATER)}), o AS (SELECT doc_id, page, md5(string_agg(seq || ':' || text, chr(0) ORDER BY seq)) AS h FROM spans GROUP BY 1, 2), n AS (SELECT doc_id, page, md5(string_agg(seq || ':' || text, chr(0) ORDER BY seq)) AS h FROM later GROUP BY 1, 2)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.page, n.page) AS page, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.page = n.page WHERE o.h IS DISTINCT FROM n.h""",
+)
+def q_changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spans(spark, sf_dir).select("doc_id", "page", "seq", "text")
+    later = spark.sql(_LATER.replace("<<spans>>", "{spans}"), spans=s)
+    return versions.changed_pages(stored(versions.page_prints(s)), stored(versions.page_prints(later)))
+
+
+_CHANGES = "SELECT 'F' || CAST(o_custkey AS STRING) AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'delete' ELSE 'put' END AS op, o_orderkey AS row, o_orderpriority AS label, o_orderstatus AS form_name FROM <<orders>> WHERE o_orderkey % 3 = {k}"
+_FIRST = "SELECT 'F' || CAST(p_partkey AS STRING) AS id, p_name AS label, p_brand AS form_name FROM <<part>>"
+
+
+@query(
+    "q_snapshot_as_of",
+    f"""WITH b AS ({duck(_FIRST)}), c AS ({' UNION ALL '.join(f'SELECT *, {k + 1} AS version FROM ({duck(_CHANGES).format(k=k)})' for k in range(2))}),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, row DESC) AS r FROM c) WHERE r = 1)
+SELECT id, label, form_name FROM b WHERE id NOT IN (SELECT id FROM l) UNION ALL SELECT id, label, form_name FROM l WHERE op = 'put'""".replace("STRING", "VARCHAR"),
+)
+def q_snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sets of edits, read as of the second."""
+    log = ChangeLog.created(view(spark, sf_dir, _FIRST, "part"), shared_folder(spark))
+    for k in range(3):
+        log.append(view(spark, sf_dir, _CHANGES.format(k=k), "orders"))
+    return log.as_of(2)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """How many annotations each pass links, over the smallest tables."""
     return q_cascade_counts(spark, "/root/testdata/sf0.001")
