@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from quillmatch.functions.literals import hopeful, required
+from quillmatch.functions.literals import matches
 
 #: Flags that make a Java expression agree with Python's re.search: ignore case, Unicode case and classes, only \n ends a line.
 FLAGS, CASED = "(?iuUd)", "(?uUd)"
@@ -29,23 +29,15 @@ def norm(c: Column) -> Column:
 
 
 def found(c: Column, pattern: str) -> Column:
-    """Whether an expression matches somewhere; it is only tried on texts with a literal that it needs."""
-    literals = required(pattern)
-    match = c.rlike(FLAGS + pattern)
-    return match if literals is None else hopeful(c, literals) & match
+    """Whether an expression matches somewhere; it is only tried on texts that hold what it needs."""
+    return matches(c, pattern, FLAGS)
 
 
 def any_found(c: Column, patterns: list[str]) -> Column:
     """Whether one of several matches. The text and its lower case are bound once, so that a filter, in which no expression is shared, doesn't make them for each literal."""
     if not patterns:
         return F.lit(False)
-
-    def one(x: Column, p: str) -> Column:
-        literals = required(p)
-        match = x["s"].rlike(FLAGS + p)
-        return match if literals is None else hopeful(x["s"], literals, x["low"]) & match
-
-    return F.exists(F.array(F.struct(c.alias("s"), F.lower(c).alias("low"))), lambda x: reduce(lambda a, b: a | b, [one(x, p) for p in patterns]))
+    return F.exists(F.array(F.struct(c.alias("s"), F.lower(c).alias("low"))), lambda x: reduce(lambda a, b: a | b, [matches(x["s"], p, FLAGS, x["low"]) for p in patterns]))
 
 
 def group(c: Column, pattern: str, k: int) -> Column:
