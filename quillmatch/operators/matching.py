@@ -43,21 +43,31 @@ def page_ranks(records: DataFrame) -> DataFrame:
     return pages.withColumn("rank", F.dense_rank().over(Window.partitionBy("pair", "form").orderBy("page")))
 
 
+def short(c: Column) -> Column:
+    """16 bytes in place of a text that is only compared: forms and labels may be whole lines, and are keys of every shuffle of a pass."""
+    return F.unhex(F.md5(c))
+
+
 def keyed(records: DataFrame, label: str) -> DataFrame:
-    return paired(records).withColumns({"form": t.norm(F.col("form_name")), "lab": t.norm(F.col(label)), "y0": F.col("rect")[1]})
+    """With form and lab, ``short`` for the normal form of the form's name and of a label."""
+    return paired(records).withColumns({"form": short(t.norm(F.col("form_name"))), "lab": short(t.norm(F.col(label))), "y0": F.col("rect")[1]})
 
 
 Ranks = tuple[DataFrame, DataFrame]
 
 
+def _short_ranks(records: DataFrame) -> DataFrame:
+    return page_ranks(records).withColumn("form", short(F.col("form")))
+
+
 def ranks_of(annotations: DataFrame, fields: DataFrame) -> Ranks:
-    """Page ranks of both sides, stored: several passes read them."""
-    return stored(page_ranks(annotations)), stored(page_ranks(fields))
+    """Page ranks of both sides with ``short`` forms, stored: several passes read them."""
+    return stored(_short_ranks(annotations)), stored(_short_ranks(fields))
 
 
 def exact_pairs(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame | None = None, ranks: Ranks | None = None) -> DataFrame:
     """(pair, aseq, fseq): rows of equal form and label in order, extras to the last field. Groups on one page of the source look at all pages of the target, others at the page of the same rank."""
-    of_a, of_f = ranks or (page_ranks(annotations if all_annotations is None else all_annotations), page_ranks(fields))
+    of_a, of_f = ranks or (_short_ranks(annotations if all_annotations is None else all_annotations), _short_ranks(fields))
     key = ["pair", "form", "lab"]
     a = keyed(annotations.where(t.strip(F.col("anchor_text")) != ""), "anchor_text").select(*key, "page", "y0", "seq")
     f = keyed(fields, "label").select(*key, "page", "y0", "seq")
@@ -94,15 +104,16 @@ def scored(pairs: DataFrame, threshold: float, boost: float) -> DataFrame:
 def sides_of(annotations: DataFrame, fields: DataFrame, blank: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records that a fuzzy pass compares (``blank``: annotations without an anchor too), with their token-sorted texts and the class (text and visit) that decides their scores."""
     said = annotations if blank else annotations.where(t.strip(F.col("anchor_text")) != "")
-    a = paired(said).select("pair", t.norm(F.col("form_name")).alias("form"), "page", F.col("seq").alias("aseq"), t.token_sorted(F.col("anchor_text")).alias("_a"), F.col("visit").alias("avisit"))
-    f = paired(fields).select("pair", t.norm(F.col("form_name")).alias("form"), "page", F.col("seq").alias("fseq"), t.token_sorted(F.col("label")).alias("_f"), F.col("visit").alias("fvisit"))
+    a = paired(said).select("pair", short(t.norm(F.col("form_name"))).alias("form"), "page", F.col("seq").alias("aseq"), t.token_sorted(F.col("anchor_text")).alias("_a"), F.col("visit").alias("avisit"))
+    f = paired(fields).select("pair", short(t.norm(F.col("form_name"))).alias("form"), "page", F.col("seq").alias("fseq"), t.token_sorted(F.col("label")).alias("_f"), F.col("visit").alias("fvisit"))
     return a.withColumn("c", F.xxhash64("_a", "avisit")), f.withColumn("d", F.xxhash64("_f", "fvisit"))
 
 
 def near_classes(a: DataFrame, f: DataFrame, keys: list[str], threshold: float, boost: float) -> DataFrame:
     """(keys, c, d, score) of the classes of a block that reach the threshold. Only distinct texts are compared."""
-    near = near_pairs(a.select(*keys, "_a").distinct(), f.select(*keys, "_f").distinct(), keys, threshold - max(boost, 0.0))
     one, two = a.select(*keys, "_a", "avisit", "c").distinct(), f.select(*keys, "_f", "fvisit", "d").distinct()
+    near = near_pairs(one.select(*keys, "_a"), two.select(*keys, "_f"), keys, threshold - max(boost, 0.0)).select(*keys, short(F.col("_a")).alias("_a"), short(F.col("_f")).alias("_f"), "_raw")
+    one, two = one.withColumn("_a", short(F.col("_a"))), two.withColumn("_f", short(F.col("_f")))
     score = F.col("_raw") + boost * t.visit_match(F.col("avisit"), F.col("fvisit"))
     return near.join(one, [*keys, "_a"]).join(two, [*keys, "_f"]).withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "c", "d", "score")
 
@@ -123,7 +134,7 @@ class Classes:
 
 def same_form(annotations: DataFrame, fields: DataFrame, all_annotations: DataFrame, threshold: float, boost: float, ranks: Ranks | None = None) -> Classes:
     """Annotations and fields of one form on pages of one rank; g is the block."""
-    of_a, of_f = ranks or (page_ranks(all_annotations), page_ranks(fields))
+    of_a, of_f = ranks or (_short_ranks(all_annotations), _short_ranks(fields))
     a, f = sides_of(annotations, fields)
     a, f = stored(a.join(of_a, ["pair", "form", "page"])), stored(f.join(of_f, ["pair", "form", "page"]))
     group = F.xxhash64("form", "rank").alias("g")
