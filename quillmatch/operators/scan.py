@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmatch.operators.graph import shuffled
+
 ROW_GAP, BAND = 5.0, 50.0
 SEGMENT = ["_p", "_b"]
 
@@ -27,7 +29,7 @@ def segmented(records: DataFrame) -> DataFrame:
 def joined_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """An inner join in which nulls are equal; the keys are those of ``left``."""
     other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    return left.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])).drop(*[f"_r_{k}" for k in keys])
+    return left.join(shuffled(other), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])).drop(*[f"_r_{k}" for k in keys])
 
 
 def with_running(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:

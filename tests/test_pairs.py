@@ -202,3 +202,22 @@ def test_places_repeat_on_pages_and_in_documents(spark):
     out = matching.match_annotations(a, f, dims, dims, Matching(), pairs=pairs).collect()
     assert len(out) == 4 and {(r["pair"], named[r["field_id"]][0] if r["field_id"] else None) for r in out} == {("same", "one"), ("other", "two")}
     assert {r["match_type"] for r in out if r["pair"] == "same"} == {"exact"} and "exact" not in {r["match_type"] for r in out if r["pair"] == "other"}
+
+
+def test_nothing_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
+    """Files of few bytes may hold millions of rows; only the page sizes, nine rows that the query makes, may go through the driver."""
+    from quillmatch.operators import assignment, graph, near
+    from quillmatch.plans import catalogue
+
+    spark.sql("SELECT id AS l_orderkey, id % 40 AS l_partkey, id % 3 AS l_suppkey, CAST(id % 7 AS INT) AS l_linenumber, 1.0D AS l_extendedprice, 1.0D AS l_quantity FROM range(600)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, concat('name ', id % 9, ' of ', id) AS p_name, 'Brand#1' AS p_brand, CAST(id % 2 AS STRING) AS p_type, 1 AS p_size FROM range(40)").write.parquet(f"{tmp_path}/part.parquet")
+    plans, keep = [], graph.stored
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    for module in (assignment, graph, matching, near):
+        monkeypatch.setattr(module, "stored", lambda df: plans.append(plan(df)) or keep(df))
+    monkeypatch.setattr(near, "DIRECT", 100)
+    out = catalogue.q_cascade_pairs(spark, str(tmp_path))
+    assert out.count() == 600 and len(plans) > 8
+    assert not [p for p in plans if "Broadcast" in p]
+    joins = [x for x in plan(out).splitlines() if "Broadcast" in x]
+    assert len(joins) == 2 and all("[page" in x for x in joins), joins
