@@ -2,15 +2,17 @@
 
 A text becomes words (A-Z lower-cased; letters, digits and characters beyond ASCII)
 joined by single spaces. A notice of n characters may be found with k = n // 10 edits of
-code points, but one at least, in a place of whole words that begins with the notice's
-first letter (so "unlicensed under" is no edited "licensed under").
+code points, but one at least, in a place of whole words. Any of its letters may be the
+edited one, the first too (so "unlicensed under cc by nc" is two edits from its notice, and
+found). A ``Scanner`` that isn't to find ``every`` such place takes those that begin with the
+notice's first letter, and of each start the best end only.
 
 Cut into k + 1 pieces, one piece of a notice must stand unchanged in any such place
 (pigeonhole): the pieces are searched for as strings (an Aho-Corasick automaton took five
 times the time, as few states have few branches), and each gives the few word starts where
 the notice could begin. From there an edit distance of bit vectors (Myers) finds the word
-end with fewest errors, the first of equal ones. Of overlapping places of a notice the one
-with fewest errors stays, the first of equal ones. The regex library's bounded-error
+ends within the edits. Of overlapping places of a notice the one with fewest errors stays, the
+first of equal ones, and any place that overlaps no better one is kept. The regex library's bounded-error
 matching then verifies the place and gives its span; as its time grows exponentially with
 the errors, places with more than ``MATCHER_EDITS`` stand by the distance alone. Phrases of
 the base are found exactly.
@@ -102,7 +104,8 @@ def distances(masks: dict[str, int], n: int, text: str) -> list[int]:
 
 
 class Scanner:
-    def __init__(self, notices: dict[str, str] = NOTICES, base: dict[str, str] = BASE) -> None:
+    def __init__(self, notices: dict[str, str] = NOTICES, base: dict[str, str] = BASE, every: bool = False) -> None:
+        self.every = every
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
         self.notices = list(notices.items())
         self.patterns = [[regex.compile(f"(?:{regex.escape(p)}){{e<={e}}}") for e in range(min(edits(p), MATCHER_EDITS) + 1)] for p, _ in self.notices]
@@ -113,12 +116,13 @@ class Scanner:
                 where[piece].append((k, at))
         self.seeds = [(piece, places) for piece, places in where.items()]
 
-    def place(self, k: int, joined: str, start: int) -> tuple[int, int, int] | None:
-        """(errors, start, end) of the best place of notice k that begins at a word start."""
+    def places(self, k: int, joined: str, start: int) -> list[tuple[int, int, int]]:
+        """(errors, start, end) of the places of notice k that begin at a word start; the best one, if not ``every``."""
         notice = self.notices[k][0]
         most = edits(notice)
         far = distances(self.masks[k], len(notice), joined[start : start + len(notice) + most])
-        return min(((d, start, start + i + 1) for i, d in enumerate(far) if d <= most and joined.startswith(" ", start + i + 1)), default=None)
+        found = sorted((d, start, start + i + 1) for i, d in enumerate(far) if d <= most and joined.startswith(" ", start + i + 1))
+        return found if self.every else found[:1]
 
     def fuzzy(self, joined: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of the places in the joined words, which a space begins and ends."""
@@ -129,14 +133,14 @@ class Scanner:
                 for k, at in places:
                     notice = self.notices[k][0]
                     slack = edits(notice)
-                    for start in range(max(found - at - slack, 1), found - at + slack + 1):
-                        if joined[start - 1] == " " and joined[start] == notice[0]:
+                    for start in range(max(found - at - slack, 1), min(found - at + slack + 1, len(joined))):
+                        if joined[start - 1] == " " and (self.every or joined[start] == notice[0]):
                             spots[k].add(start)
                 found = joined.find(piece, found + 1)
         out: list[tuple[int, int, int, int]] = []
         for k, starts in spots.items():
             taken: list[tuple[int, int]] = []
-            for errors, a, b in sorted(p for s in starts if (p := self.place(k, joined, s))):
+            for errors, a, b in sorted(p for s in starts for p in self.places(k, joined, s)):
                 at = bisect_left(taken, (a, b))
                 if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
                     continue
@@ -194,7 +198,7 @@ def license_spans(docs: DataFrame, notices: dict[str, str] = NOTICES, base: dict
     """What the notices and phrases of each row are; ``spans``: label, words from 0 (first and last), code points (start, end), errors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(notices, base)
+        scanner = Scanner(notices, base, every=True)
         for batch in batches:
             for part in slices(batch):
                 rows = [scanner.scan(t.as_py()) for t in part.column("text")]

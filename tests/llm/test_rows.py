@@ -187,6 +187,44 @@ def test_licenses_by_edit_distance():
     assert scanner.scan("unlicensed under cc by nc")["labels"] == "cc-by" and len(scanner.scan(texts[0])["spans"]) == 2
 
 
+def every_place_by_hand(notice, w):
+    """(errors, first word, last word) of the places of a notice among all runs of words, whatever they begin with; best first, none that overlaps one before it."""
+    most, found, out = licenses.edits(notice), [], []
+    for a in range(len(w)):
+        for b in range(a, len(w)):
+            run = " ".join(w[a : b + 1])
+            if len(run) > len(notice) + most:
+                break
+            if len(run) >= len(notice) - most and (d := edit_distance(notice, run)) <= most:
+                found.append((d, a, b))
+    for p in sorted(found):
+        if all(p[1] > q[2] or p[2] < q[1] for q in out):
+            out.append(p)
+    return out
+
+
+def test_licenses_whatever_letter_is_edited(spark, corpus):
+    rng, scanner = seeded(18), licenses.Scanner(every=True)
+    texts = ["Xicensed under the Apache License Version 2.0", "ll rights reserved", "unlicensed under cc by nc", "x all rights reserved s", "nu lesser general public license", "g nu lesser general public license", "redistrib "]
+    for notice in licenses.NOTICES:
+        texts += ["é" + notice[1:], notice[1:], "q" + notice, notice[:-1] + "q", f"{notice[1:]} {notice} {notice[:-1]}"]
+        for _ in range(4):
+            text = list(notice)
+            for p in [0, *(rng.randrange(len(text)) for _ in range(rng.randint(0, licenses.edits(notice))))]:
+                text[p] = rng.choice(["", "x", " ", "é", "qq", "e"])
+            texts.append(rng.choice(["", "the ", "a "]) + "".join(text) + rng.choice(["", " a", " the end"]))
+    for text in texts:
+        w = alnum(text)
+        want = [(label, a, b, d) for notice, label in licenses.NOTICES.items() for d, a, b in every_place_by_hand(notice, w)]
+        got = scanner.scan(text)
+        assert sorted((s["label"], s["first_word"], s["last_word"], s["errors"]) for s in got["spans"]) == sorted(want), text
+    rows = {r["doc_id"]: r for r in licenses.op2_licenses(spark, corpus(list(enumerate(texts)))).collect()}
+    assert rows[0]["labels"] == "apache-2.0" and rows[1]["labels"] == "reserved" and rows[2]["labels"] == "cc-by,cc-by-nc" and len(rows) == len(texts)
+    for k, text in enumerate(texts):
+        labels = {label for notice, label in licenses.NOTICES.items() if every_place_by_hand(notice, alnum(text))}
+        assert labels <= set(rows[k]["labels"].split(","))
+
+
 def test_licenses_in_time():
     import time
 
